@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from loomspark.llm import mixing, sharding
+from loomspark.llm import chat, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op3_format_chats": chat.op3_format_chats,
         "op4_shard_documents": sharding.op4_shard_documents,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE}
