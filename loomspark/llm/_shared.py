@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import sys
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ BROADCAST_ROWS = 400_000
 WORD = r"[^\x20\x09-\x0D]+"
 _staged: list[str] = []
 
+# Python workers get these functions by value, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules["loomspark"])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session names none."""
@@ -97,3 +102,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 LONG, DOUBLE, STRING = T.LongType(), T.DoubleType(), T.StringType()
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Batches to Python workers are bounded in rows, so that a few long texts do not meet thousands more in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import chat, mixing, sharding
+from loomspark.llm import bpe, chat, mixing, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op3_format_chats": chat.op3_format_chats,
         "op4_shard_documents": sharding.op4_shard_documents,
+        "op7_encode_bpe": bpe.op7_encode_bpe,
     }
 
 
