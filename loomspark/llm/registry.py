@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, mixing, sharding
+from loomspark.llm import bpe, chat, html_text, mixing, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_format_chats": chat.op3_format_chats,
         "op4_shard_documents": sharding.op4_shard_documents,
         "op7_encode_bpe": bpe.op7_encode_bpe,
+        "op10_extract_html": html_text.op10_extract_html,
     }
 
 
