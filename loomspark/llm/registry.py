@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, html_text, mixing, sharding
+from loomspark.llm import bpe, chat, fingerprints, html_text, mixing, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_shard_documents": sharding.op4_shard_documents,
         "op7_encode_bpe": bpe.op7_encode_bpe,
         "op10_extract_html": html_text.op10_extract_html,
+        "op5_fingerprint_documents": fingerprints.op5_fingerprint_documents,
     }
 
 
