@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, fingerprints, html_text, mixing, sharding
+from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, mixing, sharding
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op7_encode_bpe": bpe.op7_encode_bpe,
         "op10_extract_html": html_text.op10_extract_html,
         "op5_fingerprint_documents": fingerprints.op5_fingerprint_documents,
+        "op8_jaccard_join": jaccard.op8_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE, "op8_jaccard_join": jaccard.ORACLE}
