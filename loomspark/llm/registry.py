@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, mixing, sharding
+from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, mixing, sharding, suffixes
 
 
 def queries() -> dict:
@@ -14,8 +14,9 @@ def queries() -> dict:
         "op10_extract_html": html_text.op10_extract_html,
         "op5_fingerprint_documents": fingerprints.op5_fingerprint_documents,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
+        "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE, "op8_jaccard_join": jaccard.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE, "op6_suffix_dedup": suffixes.ORACLE, "op8_jaccard_join": jaccard.ORACLE}
