@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, mixing, sharding, suffixes
+from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, mixing, neighbours, sharding, suffixes
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_fingerprint_documents": fingerprints.op5_fingerprint_documents,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op6_suffix_dedup": suffixes.op6_suffix_dedup,
+        "op9_nearest_vectors": neighbours.op9_nearest_vectors,
     }
 
 
