@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, mixing, neighbours, sharding, suffixes
+from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, language, mixing, neighbours, sharding, suffixes
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op6_suffix_dedup": suffixes.op6_suffix_dedup,
         "op9_nearest_vectors": neighbours.op9_nearest_vectors,
+        "op2_language_id": language.op2_language_id,
+        "pages_language": language.page_languages,
     }
 
 
