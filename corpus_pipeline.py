@@ -1,10 +1,90 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs: an executor that is lost costs at most its tasks of one stage. A stage's own tables are deleted
+when the next begins, as their readers have been written by then.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.llm import bpe, jaccard, language, mixing, suffixes
+from loomspark.llm._shared import checked, release, shared_dir, stage, staged_now
+
+_left: list[str] = []
+
+
+def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, [x for x in _left if x in staged_now()])
+        _left.clear()
+        before = staged_now()
+        out = work(docs)
+        _left.extend(x for x in staged_now() if x not in before)
+        return out
+
+    return run_stage
+
+
+def _known_language(docs: DataFrame) -> DataFrame:
+    """Documents whose text is in a language that the model knows."""
+    return language.accept(docs, language.identify_documents(docs))
+
+
+def _one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The document of least id of each group of near duplicates; of rows that share an id one stays."""
+    found = stage(jaccard.similar(docs), "pipeline-groups")
+    gone = stage(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
+    again = stage(found.groupBy(F.struct(F.col("doc_id").alias("k")).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "pipeline-again")
+    kept = docs.join(checked(gone), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    if again.isEmpty():
+        return kept
+    key = F.struct(kept["doc_id"].alias("k"))
+    once = kept.join(checked(again), key.eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(checked(again), key.eqNullSafe(F.col("_again")), "left_anti").unionByName(once)
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    """Texts without the passages of 50 words or more that stand earlier; documents of which nothing is left go."""
+    cut = suffixes.cut_repeats(docs.withColumn("_had", F.col("text").rlike(r"\S")))
+    return cut.where(~F.coalesce("_had", F.lit(False)) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """Documents as often as the mix of sources reads them."""
+    return mixing.mixed(docs)
+
+
+def _encoded(docs: DataFrame) -> DataFrame:
+    """Token ids and their digests, for each reading of a document."""
+    import public_tokenizers
+
+    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
+
+
+STAGES = [
+    ("language ID", _stage(_known_language)),
+    ("n-gram Jaccard join", _stage(_one_of_each_group)),
+    ("suffix-array dedup", _stage(_without_repeats)),
+    ("mixing sources to target weights", _stage(_mixed)),
+    ("BPE encoding and decoding", _stage(_encoded)),
+]
+
+#: The Bayesian model of the first stage, and the encoding of the last, are not SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; all but the last are written into the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, work in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        out = work(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

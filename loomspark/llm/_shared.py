@@ -43,10 +43,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables staged so far; call it once their readers have been written."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+def staged_now() -> list[str]:
+    """The paths staged and not yet released."""
+    return list(_staged)
+
+
+def release(spark: SparkSession, paths: Sequence[str] | None = None) -> None:
+    """Delete staged tables (all without paths); do so once what reads them has been written."""
+    for x in list(_staged if paths is None else paths):
+        if x in _staged:
+            _staged.remove(x)
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

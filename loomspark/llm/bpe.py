@@ -14,6 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -158,7 +159,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 rows[1].append(hashlib.sha256(line.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
                 if ids:
-                    rows[3].append([*map(int, line.split())])
+                    rows[3].append(np.fromstring(line, np.int32, sep=" ") if line else np.empty(0, np.int32))
             out = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             names = ["_key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

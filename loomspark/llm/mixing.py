@@ -104,6 +104,19 @@ def _by_source(rows: DataFrame, by_source: DataFrame, n: int, key: str = "_sourc
     return salted.join(spread, F.col(key).eqNullSafe(F.col("_s")) & (F.col("_salt0") == F.col("_salt"))).drop("_salt", "_salt0")
 
 
+def _goals(docs: DataFrame, weights: Sequence[float], cap: float, source: str, key: str, size: Callable[[Column], Column], text: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes (_key, _source, _size, _h) and limits (source, source_size, target, _full, _upto), both staged."""
+    sized = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), size(F.col(text)).alias("_size"), hash_digits(F.col(key)).alias("_h"))
+    sized = stage(sized, "op1-sized")  # the texts are read once
+    sources = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    goals = stage(targets(sources, weights, cap), "op1-targets")
+    return sized, stage(_thresholds(sized, goals), "op1-limits")
+
+
+def _copies() -> Column:
+    return F.col("_full") + (F.col("_h") <= F.col("_upto")).cast("long")
+
+
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, source: str = "source", key: str = "doc_id",
     size: Callable[[Column], Column] = n_words, text: str = "text",
@@ -114,19 +127,25 @@ def mix(
     "null"; rows with equal keys in a source are read or left together. Empty tables give no rows; sources without
     words get target 0. Other columns are ignored, so none can clash.
     """
-    sized = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), size(F.col(text)).alias("_size"), hash_digits(F.col(key)).alias("_h"))
-    sized = stage(sized, "op1-sized")  # the texts are read once
-    sources = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
-    goals = stage(targets(sources, weights, cap), "op1-targets")
-    limits = stage(_thresholds(sized, goals), "op1-limits")
+    sized, limits = _goals(docs, weights, cap, source, key, size, text)
     joined = _by_source(sized, limits.withColumnRenamed("source", "_s"), limits.count())
-    copies = F.col("_full") + (F.col("_h") <= F.col("_upto")).cast("long")
     return joined.select(
         F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias("size"), "source_size", "target",
-        copies.alias("copies"), (F.col("_size") * copies).alias("taken"),
+        _copies().alias("copies"), (F.col("_size") * _copies()).alias("taken"),
     )
 
 
+def mixed(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, source: str = "source", key: str = "doc_id",
+    size: Callable[[Column], Column] = n_words, text: str = "text",
+) -> DataFrame:
+    """Return the rows of docs as often as the mix reads them, with all their columns; the texts are not shuffled for few sources."""
+    _, limits = _goals(docs, weights, cap, source, key, size, text)
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[source].cast("string").alias("_source"), hash_digits(docs[key]).alias("_h"))
+    joined = _by_source(row, limits.withColumnRenamed("source", "_s"), limits.count())
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))).alias("_")).select("_row.*")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed 5 : 2 : 1, repeating over sources."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
