@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from loomspark.plans import catalog, event_queries, graph_queries, text_queries  # noqa: F401  they register themselves
+
 
 def queries() -> dict:
-    return {}
+    return catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog.SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_queries.retrieve_context(spark, sf_dir)
