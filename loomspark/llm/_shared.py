@@ -114,3 +114,12 @@ LONG, DOUBLE, STRING = T.LongType(), T.DoubleType(), T.StringType()
 def arrow_batches(spark: SparkSession) -> None:
     """Batches to Python workers are bounded in rows, so that a few long texts do not meet thousands more in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows that a hash of the key chooses, the same each time, and at most twice as many; fewer rows are all taken."""
+    total = rows.count()
+    if total <= n:
+        return rows
+    part = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    return rows.where(part < n / total).limit(2 * n)

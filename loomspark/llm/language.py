@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import arrow_batches, checked, read, stage
+from loomspark.llm._shared import arrow_batches, checked, hash_sample, read, stage
 
-TRAINING_ROWS = 3000  # labelled rows that the model is trained on, at most
+TRAINING_ROWS = 3000  # labelled rows that the model is trained on, about; never twice as many
 TRAINING_CHARS = 20_000  # longer texts are not drawn into the sample
 LEAST_LABELS = 5  # rows of a language in the sample for it to be known
 CELLS = 1 << 14
@@ -62,9 +62,9 @@ def likelihoods(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """The model from TRAINING_ROWS rows that a hash of the key chooses."""
-    rows = labelled.where((F.length(text) <= TRAINING_CHARS) & F.col(label).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), F.lower(label).alias("l"))
-    rows = rows.orderBy("h", "t").limit(TRAINING_ROWS).toPandas()
+    """The model from about TRAINING_ROWS rows that a hash of the key chooses."""
+    rows = labelled.where((F.length(text) <= TRAINING_CHARS) & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(label).alias("l"))
+    rows = hash_sample(rows, "k", TRAINING_ROWS).toPandas()
     return train(rows["t"].tolist(), rows["l"].tolist())
 
 

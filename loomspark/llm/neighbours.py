@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from loomspark.llm._shared import arrow_batches, read, stage
+from loomspark.llm._shared import arrow_batches, hash_sample, read, stage
 
 DIMS = 8
 CONFIDENCE = 0.97
-SAMPLE = 20_000  # vectors that the tree's upper part is grown from
+SAMPLE = 10_000  # vectors that the tree's upper part is grown from, about; never twice as many
 BLOCK = 4096  # vectors of a block, about
 LEAF = 64
 QUERIES = 2048  # queries searched in a block by one task
@@ -171,9 +171,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         return unit @ matrix[:-1] + last[:, None] * matrix[-1]
 
     stacked = lambda c: np.array(c.to_pylist(), np.float64).reshape(len(c), -1)
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    sample = hash_sample(rows.select("id", "v"), "id", SAMPLE).toPandas()
     blocks = max(1, -(-n_rows // BLOCK))
-    tree = cut_tree(project(np.stack(sample["v"].to_numpy()), False), blocks) if len(sample) else [0]
+    tree = cut_tree(project(np.stack(sample.sort_values("id")["v"].to_numpy()), False), blocks) if len(sample) else [0]
 
     def place(asks: bool):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
