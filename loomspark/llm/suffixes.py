@@ -150,8 +150,8 @@ def _spans(docs: DataFrame, window: int, k: int) -> DataFrame:
     suffixes = reps.select("doc", F.coalesce("v", F.lit(0)).alias("v"), "s1", F.posexplode("grams").alias("i", "gram"))
     place = F.xxhash64("doc", "v", "i")
     live = suffixes.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("times")).where("a <> b")
-    live = live.select("gram", (F.col("times") >= HOT).alias("is_hot"))
-    by_doc = suffixes.select("gram", "doc", "v", "s1").join(live, "gram").groupBy("doc", "v", "s1")
+    live = stage(live.select("gram", (F.col("times") >= HOT).alias("is_hot")), "op6-live")  # few, or else joined anew, where a hot one can be split
+    by_doc = suffixes.select("gram", "doc", "v", "s1").join(checked(live), "gram").groupBy("doc", "v", "s1")
     by_doc = by_doc.agg(F.collect_set("gram").alias("live"), F.collect_set(F.when(F.col("is_hot"), F.col("gram"))).alias("hot")).withColumnRenamed("doc", "d")
     rows = stage(_neighbours(_windows(docs, by_doc, window, k)).where("more or salt >= 0"), "op6-windows")
     sure = rows.where("salt < 0 or not first").select("doc", "v", "place", "first")
