@@ -81,6 +81,8 @@ def _anchors(texts: list[str], k: int, s: int) -> list[np.ndarray]:
         inside = at + k <= ends[owner]
         at, owner = at[inside], owner[inside]
         values = (mix(stretches(points, k)[at]) >> np.uint64(32)).astype(np.uint32)
+        fresh = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1]))[: len(values)]  # a run of one character gives one
+        values, owner = values[fresh], owner[fresh]
         cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         out = [values[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
     else:
