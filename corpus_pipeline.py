@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, jaccard, language, mixing, suffixes
-from loomspark.llm._shared import checked, release, shared_dir, stage, staged_now
+from loomspark.llm._shared import checked, free_name, release, shared_dir, stage, staged_now
 
 _left: list[str] = []
 
@@ -37,16 +37,27 @@ def _known_language(docs: DataFrame) -> DataFrame:
 
 
 def _one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document of least id of each group of near duplicates; of rows that share an id one stays."""
-    found = stage(jaccard.similar(docs), "pipeline-groups")
-    gone = stage(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
-    again = stage(found.groupBy(F.struct(F.col("doc_id").alias("k")).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "pipeline-again")
-    kept = docs.join(checked(gone), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    if again.isEmpty():
-        return kept
-    key = F.struct(kept["doc_id"].alias("k"))
-    once = kept.join(checked(again), key.eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(checked(again), key.eqNullSafe(F.col("_again")), "left_anti").unionByName(once)
+    """The document of least id of each group of near duplicates.
+
+    A node of the join is an id with a text (by a 64-bit hash of both), so an id of several texts, or null, is as
+    many documents. Of rows alike in both one stays.
+    """
+    node = free_name(docs, "_node")
+    docs = docs.withColumn(node, F.xxhash64("doc_id", "text"))
+    found = stage(jaccard.similar(docs, key=node), "pipeline-groups")
+    ids = docs.groupBy(node).agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n"))
+    # similar() takes and gives nodes as they are, but for the least of all longs, which comes out as null
+    back = lambda c: F.coalesce(F.col(c), F.lit(jaccard.NULL_KEY))
+    found = found.select(back(node).alias(node), back("component_id").alias("_c")).distinct()
+    nodes = stage(found.join(ids, node), "pipeline-nodes")
+    heads = nodes.groupBy("_c").agg(F.min(F.struct("_id", node)).alias("_head")).select(F.col("_head")[node].alias(node))
+    gone = stage(nodes.select(node).join(heads, node, "left_anti"), "pipeline-gone")
+    again = stage(nodes.where("_n > 1").select(node), "pipeline-again")
+    kept = docs.join(checked(gone), node, "left_anti")
+    if not again.isEmpty():
+        once = kept.join(checked(again), node, "left_semi").dropDuplicates([node])
+        kept = kept.join(checked(again), node, "left_anti").unionByName(once)
+    return kept.drop(node)
 
 
 def _without_repeats(docs: DataFrame) -> DataFrame:

@@ -427,3 +427,14 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in out) == Counter(want)
     for r in out:
         assert list(r.ids) == lib.encode(text[r.doc_id], add_special_tokens=False).ids
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(9**6)}" for _ in range(80))
+    null, shared, other = [text() for _ in range(5)], [text(), text()], text()
+    near = lambda t: t + " end"
+    rows = [(None, t) for t in null] + [(7, t) for t in shared] + [(8, near(null[1])), (9, near(shared[1])), (3, near(shared[0])), (1, other), (1, other), (None, null[2])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.STAGES[1][1](spark, docs, SF).collect())
+    assert got == Counter([(None, t) for t in null] + [(3, near(shared[0])), (7, shared[1]), (1, other)])
