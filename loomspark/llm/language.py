@@ -8,6 +8,7 @@ suffix, and that towards the whole: all grouped sums of the text posteriors over
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import arrow_batches, checked, hash_sample, read, stage
+from loomspark.llm._shared import arrow_batches, checked, read, stage
 
-TRAINING_ROWS = 3000  # labelled rows that the model is trained on, about; never twice as many
-TRAINING_CHARS = 20_000  # longer texts are not drawn into the sample
-LEAST_LABELS = 5  # rows of a language in the sample for it to be known
+TRAINING_ROWS = 3000  # labelled rows that the model is trained on, about, dealt evenly to the languages
+LANGUAGE_ROWS = 100  # rows that a language gets in any case, about, if it has as many
+TRAINING_CHARS = 20_000  # of a text that enter the training
+LEAST_LABELS = 5  # labelled rows of a language, of all, for it to be known
 CELLS = 1 << 14
 EVIDENCE = 150.0
 STRENGTH = 20.0  # rows that the wider prior counts as
@@ -37,15 +39,14 @@ def _cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return cells.astype(np.int32), seen[1:-1] != 32
 
 
-def train(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """The languages in order, and for each cell the log probabilities under each."""
-    langs = sorted({x for x in labels if x is not None and labels.count(x) >= LEAST_LABELS})
+def train(texts: list[str], labels: list[str], langs: list[str]) -> np.ndarray:
+    """For each cell the log probabilities under each of langs."""
+    at = {x: i for i, x in enumerate(langs)}
     counts = np.full((CELLS, len(langs)), 0.5)
     for text, label in zip(texts, labels, strict=True):
-        if label in langs:
-            cells, counted = _cells(b" " + text.encode("utf-8", "surrogatepass") + b" ")
-            counts[:, langs.index(label)] += np.bincount(cells[counted], minlength=CELLS)
-    return langs, np.log(counts / counts.sum(0)) if langs else np.zeros((CELLS, 0))
+        cells, counted = _cells(b" " + text.encode("utf-8", "surrogatepass") + b" ")
+        counts[:, at[label]] += np.bincount(cells[counted], minlength=CELLS)
+    return np.log(counts / counts.sum(0)) if langs else np.zeros((CELLS, 0))
 
 
 def likelihoods(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +63,27 @@ def likelihoods(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """The model from about TRAINING_ROWS rows that a hash of the key chooses."""
-    rows = labelled.where((F.length(text) <= TRAINING_CHARS) & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(label).alias("l"))
-    rows = hash_sample(rows, "k", TRAINING_ROWS).toPandas()
-    return train(rows["t"].tolist(), rows["l"].tolist())
+    """The model: the languages in order, and their table.
+
+    Labels are counted over all rows. Each language of LEAST_LABELS rows or more gives about TRAINING_ROWS by the
+    number of languages, but LANGUAGE_ROWS at least, chosen by a hash of key and text; fewer are all taken. Rows alike
+    count once among them. Of long texts the first TRAINING_CHARS characters are read.
+    """
+    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(key, text).alias("h"), F.substring(text, 1, TRAINING_CHARS).alias("t"), F.lower(label).alias("l"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LABELS).collect()}
+    langs = sorted(counts)
+    if not langs:
+        return langs, train([], [], langs)
+    most = max(TRAINING_ROWS // len(langs), LANGUAGE_ROWS)
+    shares = rows.sparkSession.createDataFrame([(x, min(1.0, most / n)) for x, n in counts.items()], "l string, share double")
+    part = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    once = lambda df: df.groupBy("l", "h").agg(F.first("t").alias("t"))
+    drawn = [(r["l"], r["t"]) for r in once(rows.join(checked(shares, len(langs)), "l").where(part < F.col("share"))).orderBy("l", "h").collect()]
+    had = Counter(x for x, _ in drawn)
+    for x in langs:  # a language of few texts with many copies each may have been missed
+        if had[x] < LEAST_LABELS and counts[x] > most:
+            drawn = [d for d in drawn if d[0] != x] + [(x, r["t"]) for r in once(rows.where(F.col("l") == x)).orderBy("h").limit(most).collect()]
+    return langs, train([t for _, t in drawn], [x for x, _ in drawn], langs)
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str, text: str, declared: Column, host: Column, suffix: Column, least: float = 0.5) -> DataFrame:

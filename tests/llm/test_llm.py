@@ -106,6 +106,23 @@ def test_declarations_decide_only_without_text(spark):
     assert got[100].language == "de" and got[1].language == "en" and got[101].language == "en" and not got[101].kept and not got[102].kept and got[1].kept
 
 
+def test_rare_languages_are_known(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAINING_ROWS", 20)
+    monkeypatch.setattr(language, "LANGUAGE_ROWS", 5, raising=False)
+    monkeypatch.setattr(language, "TRAINING_CHARS", 400)
+    rng = random.Random(4)
+    said = {"en": "the and of in that with for are this was".split(), "de": "der die und nicht eine sich auch werden".split(), "fi": "joka kuin olla mutta niin sitten kaikki".split(), "pl": "jest nie tylko przez bardzo wszystko jako".split()}
+    text = lambda lang, n=30: " ".join(rng.choice(said[lang]) for _ in range(n))
+    same = text("pl")
+    rows = [text("en") for _ in range(900)], [text("de") for _ in range(60)], [text("fi", 200) for _ in range(6)], [same] * 40
+    rows = [(t, lang) for lang, texts in zip(("en", "de", "fi", "pl"), rows, strict=True) for t in texts]
+    docs = spark.createDataFrame([(i if lang != "pl" else None, t, lang, "s", len(t)) for i, (t, lang) in enumerate(rows)], DOCS)
+    langs, table = language.fit(docs)
+    assert langs == ["de", "en", "fi", "pl"] and np.allclose(np.exp(table).sum(0), 1)
+    got = language.identify_documents(docs).groupBy("language").count().collect()
+    assert dict(got) == Counter(lang for _, lang in rows)
+
+
 def test_language_on_odd_rows(odd, plain, empty):
     assert language.identify_documents(odd).count() == len(plain) and language.identify_documents(empty).count() == 0
     kept = language.accept(odd, language.identify_documents(odd))
