@@ -4,10 +4,13 @@ Text likelihoods come from byte trigrams of the whole text, under a model traine
 Text that runs long repeats its evidence, so it counts as at most EVIDENCE trigrams. The other evidence is how often
 text of each language declares what a row declares, and a prior of the row's host, smoothed towards its address
 suffix, and that towards the whole: all grouped sums of the text posteriors over all rows, without the row's own.
+Text of no known language is a class of its own, under which every trigram is as likely as any other; it takes part
+in all posteriors, so other languages and junk lend a host nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -25,6 +28,7 @@ TRAINING_CHARS = 20_000  # of a text that enter the training
 LEAST_LABELS = 5  # labelled rows of a language, of all, for it to be known
 CELLS = 1 << 14
 EVIDENCE = 150.0
+UNKNOWN = 1e-3  # prior of text of no known language
 STRENGTH = 20.0  # rows that the wider prior counts as
 CHUNK = 1 << 18
 
@@ -89,7 +93,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str, text: str, declared: Column, host: Column, suffix: Column, least: float = 0.5) -> DataFrame:
     """Return key, text_hash, language, confidence, kept for each row.
 
-    A row is rejected (kept false) when its text has no letters, or when no language is as likely as `least`. Null
+    A row is rejected (kept false) when its text has no letters, or when no language is as likely as `least` next to
+    the others and to text of no known language. Its language is then the best of the known ones all the same. Null
     and empty texts have no letters; they get the language of the other evidence. Null declarations, hosts and
     suffixes are values of their own. Ties go to the first language by name. Without languages in the model the
     language is null and nothing is kept. Repeated rows are judged alike. Other columns are ignored.
@@ -113,8 +118,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str, tex
         return known.select(F.col("_key").alias(key), F.col("_th").alias("text_hash"), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
 
     ll = [F.col("_ll")[i] for i in range(n)]
-    top = F.array_max("_ll")
-    own = [F.when(F.col("_n") > 0, F.exp(x - top) / reduce(lambda a, b: a + b, [F.exp(y - top) for y in ll])).otherwise(F.lit(0.0)) for x in ll]
+    other = F.when(F.col("_n") > 0, math.log(UNKNOWN) - math.log(CELLS) * F.least("_n", F.lit(EVIDENCE))).otherwise(F.lit(-math.inf))
+    top = F.greatest(F.array_max("_ll"), other)
+    own = [F.when(F.col("_n") > 0, F.exp(x - top) / reduce(lambda a, b: a + b, [F.exp(y - top) for y in [*ll, other]])).otherwise(F.lit(0.0)) for x in ll]
     posts = known.withColumns({f"_p{i}": own[i] for i in range(n)})
     whole = posts.agg(*[F.sum(f"_p{i}") for i in range(n)]).first()
     whole = [x or 0.0 for x in whole]
@@ -133,7 +139,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str, tex
 
     scored = posts.withColumn("_score", F.array(*[score(i) for i in range(n)]))
     best = F.array_max("_score")
-    sure = 1 / F.aggregate("_score", F.lit(0.0), lambda a, x: a + F.exp(x - best))
+    ref = F.greatest(best, other)
+    sure = F.exp(best - ref) / F.aggregate("_score", F.exp(other - ref), lambda a, x: a + F.exp(x - ref))
     language = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("_score", best).cast("int"))
     return scored.select(
         F.col("_key").alias(key), F.col("_th").alias("text_hash"), language.alias("language"), F.round(sure, 6).alias("confidence"), ((F.col("_n") > 0) & (sure >= least)).alias("kept"),

@@ -123,6 +123,22 @@ def test_rare_languages_are_known(spark, monkeypatch):
     assert dict(got) == Counter(lang for _, lang in rows)
 
 
+def test_unknown_languages_and_junk_are_rejected(spark):
+    import base64
+
+    rng = random.Random(6)
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    junk = [
+        "Все люди рождаются свободными и равными в своём достоинстве и правах.", "Привет, как дела", "人人生而自由，在尊严和权利上一律平等。", "すべての人間は、生まれながらにして自由である", "😀😀 🎉🎉",
+        base64.b64encode(rng.randbytes(150)).decode(), base64.b64encode(rng.randbytes(3000)).decode(), "asdfjkl qwrtzp xcvbnm dfghjk wqxz sdfkj", "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(60)),
+    ]
+    clean = ["the and of in that", "The other ones are there and", "der die und nicht eine", "la de los y que las", "les des et la que", "and"]
+    rows = [(i, t, None, "h") for i, t in enumerate(junk + clean)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, d string, host string"), model, "doc_id", "text", F.col("d"), F.col("host"), F.lit("com")).collect()}
+    assert [got[i].kept for i in range(len(rows))] == [False] * len(junk) + [True] * len(clean)
+    assert all(got[i].confidence < 0.5 and got[i].language is not None for i in range(len(junk)))
+
+
 def test_language_on_odd_rows(odd, plain, empty):
     assert language.identify_documents(odd).count() == len(plain) and language.identify_documents(empty).count() == 0
     kept = language.accept(odd, language.identify_documents(odd))
