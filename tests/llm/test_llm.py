@@ -408,25 +408,56 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_main_text():
-    tree = html_text.grow(list(html_text.LABELLED))
+    tree = html_text.grow(html_text.labelled_table())
     assert html_text.main_text(PAGE, tree) == "Head & line\n\nFirst boldword next line.\n\nShort.\n\npoint one\n\npoint two"
-    assert html_text.main_text("", tree) == "" and all(html_text.decide(tree, r[:-1]) == bool(r[-1]) for r in html_text.LABELLED)
-    flat = "<body><div><a href=1>One</a> <a href=2>Two</a></div><div>" + "many plain words here " * 12 + "</div><div>" + "and more of them " * 10 + "</div><div><a href=3>End</a></div>"
-    assert html_text.main_text(flat, tree).startswith("many plain") and "One" not in html_text.main_text(flat, tree) and "End" not in html_text.main_text(flat, tree)
+    assert html_text.main_text("", tree) == ""
+    for name in ("alert-free story", "social-quote", "post", "has-sidebar"):
+        assert html_text.main_text(f'<nav><a href=x>A</a></nav><article><p class="{name}">Some plain words.</p></article>', tree) == "Some plain words."
+    for name in ("cookie-notice", "ad", "site-footer", "CommentList", "share links"):
+        assert html_text.main_text(f'<article><p>Some plain words.</p><div class="{name}">Other words</div></article>', tree) == "Some plain words."
+
+
+def test_tree_is_bounded_and_reads_the_neighbours():
+    table = html_text.labelled_table()
+    tree = html_text.grow(table)
+    used = set()
+
+    def depth(node):
+        if isinstance(node, bool):
+            return 0
+        used.add(html_text.FEATURES[node.feature])
+        return 1 + max(depth(node.low), depth(node.high))
+
+    assert depth(tree) <= 10 and {"density before", "density behind", "words behind", "home", "box"} <= used
+    assert sum(html_text.decide(tree, r) == bool(r[-1]) for r in table) >= 0.97 * len(table)
+    assert html_text.grow([(1.0, 1.0), (2.0, 1.0)]) is True and html_text.grow([(1.0, 0.0)] * 5) is False
+
+
+def test_held_out_pages():
+    import re
+
+    from held_out_pages import pages
+
+    tree = html_text.grow(html_text.labelled_table())
+    n = 0
+    for name, html in pages():
+        n += 1
+        assert re.findall(r"\b[ko]\d+", html_text.main_text(html, tree)) == re.findall(r"\bk\d+", html), name
+    assert n >= 30
 
 
 def test_pages_and_odd_rows(spark):
     import html as H
     import re
 
-    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=("page_id", "url", "html")).limit(60).collect():
+    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet"), keep=("page_id", "url", "html")).collect():
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = [" ".join(H.unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
-    rows = [(1, None, None), (1, None, None), (None, "u", ""), (2, "u", "<p>" + "long text " * 200_000), (3, "u", "<" * 1000), (4, "u", '<a b="' * 300)]
+    rows = [(1, None, None), (1, None, None), (None, "u", ""), (5, "u", "<nav>A</nav>"), (2, "u", "<p>" + "long text " * 200_000), (3, "u", "<" * 1000), (4, "u", '<a b="' * 300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))
     got = html_text.extract(df).collect()
-    assert len(got) == 6 and sum(r.n_chars == 0 for r in got) >= 3 and html_text.extract(df.limit(0)).count() == 0
+    assert len(got) == 7 and sum(r.n_chars == 0 for r in got) >= 4 and html_text.extract(df.limit(0)).count() == 0
 
 
 # pipeline
