@@ -32,23 +32,25 @@ def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, Da
 
 
 def _known_language(docs: DataFrame) -> DataFrame:
-    """Documents whose text is in a language that the model knows."""
+    """Documents whose text is in a language that the model knows; null and empty texts go.
+
+    Repeated rows stay or go together. All columns stay, whatever their names; an empty table gives an empty one.
+    """
     return language.accept(docs, language.identify_documents(docs))
 
 
 def _one_of_each_group(docs: DataFrame) -> DataFrame:
     """The document of least id of each group of near duplicates.
 
-    A node of the join is an id with a text (by a 64-bit hash of both), so an id of several texts, or null, is as
-    many documents. Of rows alike in both one stays.
+    A node of the join is an id with a text (by a 63-bit hash of both), so an id of several texts, or null, is as
+    many documents. Of rows alike in both one stays. Null and empty texts have no near duplicates and stay; a null id
+    counts as the least. All columns stay, whatever their names; an empty table gives an empty one.
     """
     node = free_name(docs, "_node")
-    docs = docs.withColumn(node, F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn(node, F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
     found = stage(jaccard.similar(docs, key=node), "pipeline-groups")
     ids = docs.groupBy(node).agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n"))
-    # similar() takes and gives nodes as they are, but for the least of all longs, which comes out as null
-    back = lambda c: F.coalesce(F.col(c), F.lit(jaccard.NULL_KEY))
-    found = found.select(back(node).alias(node), back("component_id").alias("_c")).distinct()
+    found = found.select(node, F.col("component_id").alias("_c")).distinct()
     nodes = stage(found.join(ids, node), "pipeline-nodes")
     heads = nodes.groupBy("_c").agg(F.min(F.struct("_id", node)).alias("_head")).select(F.col("_head")[node].alias(node))
     gone = stage(nodes.select(node).join(heads, node, "left_anti"), "pipeline-gone")
@@ -61,18 +63,26 @@ def _one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def _without_repeats(docs: DataFrame) -> DataFrame:
-    """Texts without the passages of 50 words or more that stand earlier; documents of which nothing is left go."""
-    cut = suffixes.cut_repeats(docs.withColumn("_had", F.col("text").rlike(r"\S")))
-    return cut.where(~F.coalesce("_had", F.lit(False)) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the passages of 50 words or more that stand earlier; documents of which nothing is left go.
+
+    Null texts and texts without words stay as they are. All columns stay, whatever their names, n_chars with the new
+    length; an empty table gives an empty one.
+    """
+    had = free_name(docs, "_had")
+    cut = suffixes.cut_repeats(docs.withColumn(had, F.col("text").rlike(r"\S")))
+    return cut.where(~F.coalesce(had, F.lit(False)) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def _mixed(docs: DataFrame) -> DataFrame:
-    """Documents as often as the mix of sources reads them."""
+    """Documents as often as the mix of sources reads them; a null source is a source of its own, null texts are never read.
+
+    All columns stay, whatever their names; an empty table gives an empty one.
+    """
     return mixing.mixed(docs)
 
 
 def _encoded(docs: DataFrame) -> DataFrame:
-    """Token ids and their digests, for each reading of a document."""
+    """Token ids and their digests, for each reading of a document; null texts have no tokens, an empty table gives no rows."""
     import public_tokenizers
 
     return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
