@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 400_000
 WORD = r"[^\x20\x09-\x0D]+"
+HOT_SHARE = 8  # a group is hot when it has more than one in so many times the number of partitions of all rows
 _staged: list[str] = []
 
 # Python workers get these functions by value, so executors need no copy of the library.
@@ -24,9 +25,11 @@ cloudpickle.register_pickle_by_value(sys.modules["loomspark"])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a local master without one gets its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file:///tmp/loomspark-{os.getuid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -112,8 +115,45 @@ LONG, DOUBLE, STRING = T.LongType(), T.DoubleType(), T.StringType()
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Batches to Python workers are bounded in rows, so that a few long texts do not meet thousands more in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Batches to Python workers are bounded in rows and bytes, so that a few long texts do not meet many more in memory.
+
+    Both are settings of the session, read when a job starts; values that the session was given are left as they are.
+    """
+    for name, value in (("maxRecordsPerBatch", "512"), ("maxBytesPerBatch", "16777216")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) in ("10000", str((1 << 63) - 1), str((1 << 31) - 1), "67108864", "268435456"):
+            spark.conf.set(name, value)
+
+
+def by_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], times: str) -> DataFrame:
+    """rows joined with groups, one row each of the keys, where groups[times] counts the rows of a group.
+
+    Groups of more than one in HOT_SHARE * partitions of all rows are broadcast, as there are at most so many; the rest
+    is shuffled, so no task gets a large group. groups is read several times and should be staged.
+    """
+    total = groups.agg(F.sum(times)).first()[0] or 0
+    bound = max(64, total // (HOT_SHARE * partitions(rows.sparkSession)))
+    hot = groups.where(F.col(times) > bound)
+    if hot.isEmpty():
+        return rows.join(groups, list(keys))
+    large = rows.join(F.broadcast(hot), list(keys))
+    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return large.unionByName(rest.join(groups.where(F.col(times) <= bound), list(keys)))
+
+
+def distinct_texts(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows (doc, th, text) without rows alike in doc and th, and the staged counts (doc, th, times).
+
+    Copies are put together before anything is shuffled by doc; doc may be null.
+    """
+    counts = stage(rows.groupBy("doc", "th").agg(F.count("*").alias("times")), name)
+    again = counts.where("times > 1").select(F.struct("doc", "th").alias("_again"))
+    n = again.count()
+    if not n:
+        return rows, counts
+    same = F.struct("doc", "th").eqNullSafe(F.col("_again"))
+    once = rows.join(checked(again, n), same, "left_semi").groupBy("doc", "th").agg(F.first("text").alias("text"))
+    return rows.join(checked(again, n), same, "left_anti").unionByName(once), counts
 
 
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:

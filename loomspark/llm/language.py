@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import arrow_batches, checked, read, stage
+from loomspark.llm._shared import BROADCAST_ROWS, arrow_batches, by_group, checked, free_name, read, stage
 
 TRAINING_ROWS = 3000  # labelled rows that the model is trained on, about, dealt evenly to the languages
 LANGUAGE_ROWS = 100  # rows that a language gets in any case, about, if it has as many
@@ -127,7 +127,10 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str, tex
     total = sum(whole) + n
     wide = [(x + 1) / total for x in whole]
     for by in ("_d", "_s", "_h"):
-        posts = posts.join(checked(stage(known.groupBy(by).agg(*[F.sum(own[i]).alias(f"{by}{i}") for i in range(n)]), f"op2{by}")), by)
+        sums = stage(known.groupBy(by).agg(F.count("*").alias("_rows"), *[F.sum(own[i]).alias(f"{by}{i}") for i in range(n)]), f"op2{by}")
+        few = sums.count()
+        posts = posts.join(checked(sums, few), by) if few <= BROADCAST_ROWS else by_group(posts, sums, [by], "_rows")
+        posts = posts.drop("_rows")
     one = lambda by: reduce(lambda a, b: a + b, [F.col(f"{by}{i}") - F.col(f"_p{i}") for i in range(n)])
 
     def score(i: int) -> Column:
@@ -148,9 +151,13 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str, tex
 
 
 def accept(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that were rejected; all columns stay."""
-    out = stage(found.where("not kept").select(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("t")).alias("_bad")).distinct(), "op2-rejected")
-    return docs.join(checked(out), F.struct(docs[key].alias("k"), F.xxhash64(docs[text]).alias("t")).eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows that were rejected; all columns stay, whatever their names.
+
+    Rows are told by key and text (a null key is a key like any other), so repeated rows stay or go together.
+    """
+    bad = free_name(docs, "_bad")
+    out = stage(found.where("not kept").select(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("t")).alias(bad)).distinct(), "op2-rejected")
+    return docs.join(checked(out), F.struct(docs[key].alias("k"), F.xxhash64(docs[text]).alias("t")).eqNullSafe(F.col(bad)), "left_anti")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -349,6 +349,44 @@ def test_matrix_finds_links_without_bands(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_hot_tokens_are_met_by_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    head = "one shared run of words"
+    rows = [(i, head + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(7))) for i in range(400)]
+    for i in range(0, 60, 2):  # links whose only common first token may be the shared one
+        rows.append((1000 + i, rows[i][1] + f" y{i}"))
+        rows.append((1001 + i, rows[i][1].replace(head, head + " " + head)))
+    (shared,) = shingle_set(next(iter(word_hashes([head]))), 5)
+    table = np.full(jaccard.CELLS, 9, np.uint8)
+    table[int(shared >> np.uint64(64 - 21))] = 0  # the shared token comes first in every set
+    monkeypatch.setattr(jaccard, "_frequency_table", lambda features: table)
+    monkeypatch.setattr(jaccard, "bands", lambda s: [])
+    monkeypatch.setattr(jaccard, "FLUSH_PAIRS", 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for hot in (20, 10**6):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        got = jaccard.similar(df).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert sum(k != c for k, _, c in want) >= 30
+
+
+def test_null_keys_are_documents_of_their_own(spark):
+    base = near_copies(3, 60, 14)
+    rows = [(None, base[0][1]), (None, base[0][1]), (None, "five plain words stand here"), (4, base[0][1] + " end"), (6, "nothing like it"), (7, "text one of this key now"), (7, "quite another text it has"), (8, "quite another text it has")]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(None, None): 3, (4, None): 1, (6, 6): 1, (7, 7): 2, (8, 7): 1})
+
+
+def test_one_text_many_times(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    copies = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(text)).otherwise(F.concat(F.lit(text), F.lit(" x y"))).alias("text"))
+    got = jaccard.similar(copies)
+    assert got.count() == 3000 and [tuple(r) for r in got.select("component_id").distinct().collect()] == [(None,)]
+    spans = suffixes.repeated_spans(copies.where("doc_id is null"), window=20, k=8)
+    assert spans.where("kept").count() == 1
+
+
 def test_two_texts_of_one_key(spark):
     a, b = near_copies(2, 60, 10)[0][1], " ".join(f"z{i}" for i in range(60))
     rows = [(5, a), (5, b), (9, b), (7, a), (8, "alone")]
