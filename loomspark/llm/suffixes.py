@@ -9,7 +9,8 @@
 4. Windows that overlap are merged into spans of words.
 
 Equal texts are one class: its first document stands for all in these steps, the others repeat it whole. Windows of
-suffixes that occur HOT times or more are sorted in SALTS parts by document and the first ones of the parts once more.
+suffixes that occur HOT times or more are sorted in parts by document and the first ones of the parts once more; the
+parts grow in number with the most frequent suffix. A text is told by its document's key and a hash of the text.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from loomspark.llm._shared import WORD, arrow_batches, checked, read, stage
+from loomspark.llm._shared import BROADCAST_ROWS, WORD, arrow_batches, by_group, checked, distinct_texts, read, stage
 from loomspark.llm._words import word_hashes
 from loomspark.llm.fingerprints import least, mix, stretches
 
 WINDOW, K = 50, 16
-HOT, SALTS = 20_000, 64
+HOT, SALTS = 20_000, 64  # times of a suffix, and parts at least
 NULL_KEY = -(1 << 63)
 PLACE_BITS = 22
 
@@ -57,14 +57,14 @@ def _sequence(words: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))
 
 
-def _retained(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """doc, n, s1, s2 (hashes of the whole sequence) and grams, the hashes at the retained places."""
+def _retained(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """doc, th, n, s1, s2 (hashes of the whole sequence) and grams, the hashes at the retained places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], []]
             grams, sizes = [np.empty(0, np.int64)], [0]
-            for words in word_hashes([x or "" for x in batch.column(1).to_pylist()]):
+            for words in word_hashes([x or "" for x in batch.column(2).to_pylist()]):
                 for row, x in zip(rows, (len(words), *_sequence(words)), strict=True):
                     row.append(x)
                 if len(words) >= window:
@@ -74,34 +74,32 @@ def _retained(docs: DataFrame, window: int, k: int) -> DataFrame:
                 else:
                     sizes.append(0)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(grams)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, pa.int64()) for r in rows], lists], ["doc", "n", "s1", "s2", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(r, pa.int64()) for r in rows], lists], ["doc", "th", "n", "s1", "s2", "grams"])
 
-    return stage(docs.mapInArrow(run, "doc long, n long, s1 long, s2 long, grams array<long>"), "op6-retained")
+    return stage(texts.select("doc", "th", "text").mapInArrow(run, "doc long, th long, n long, s1 long, s2 long, grams array<long>"), "op6-retained")
 
 
-def _windows(docs: DataFrame, live: DataFrame, window: int, k: int) -> DataFrame:
-    """hash, salt, doc, v, place of every window whose minimiser is live; salt is -1 unless it is hot."""
+def _windows(texts: DataFrame, live: DataFrame, window: int, k: int, salts: int) -> DataFrame:
+    """hash, salt, doc, v (the text's hash), place of every window whose minimiser is live; salt is -1 unless it is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.int64, np.int32, np.int64, np.int32, np.int32)]
-            doc, v, s1, grams, hot, texts = (c.to_pylist() for c in batch.columns)
-            for d, version, s, alive, hots, words in zip(doc, v, s1, grams, hot, word_hashes([x or "" for x in texts]), strict=True):
-                if len(words) < window or _sequence(words)[0] != s:
-                    continue
+            out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (np.int64, np.int32, np.int64, np.int64, np.int32)]
+            doc, v, grams, hot, texts = (c.to_pylist() for c in batch.columns)
+            for d, version, alive, hots, words in zip(doc, v, grams, hot, word_hashes([x or "" for x in texts]), strict=True):
                 g, places = minimisers(words, window, k)
                 of = g[places].view(np.int64)
                 at = np.flatnonzero(np.isin(of, np.array(alive, np.int64)))
                 part = np.full(len(at), -1, np.int32)
                 if hots:
-                    part[np.isin(of[at], np.array(hots, np.int64))] = int(mix(np.array([d], np.int64).view(np.uint64))[0] % np.uint64(SALTS))
+                    part[np.isin(of[at], np.array(hots, np.int64))] = int(mix(np.array([d ^ version], np.int64).view(np.uint64))[0] % np.uint64(salts))
                 hashes = mix(stretches(words, window) + np.uint64(window))[at].view(np.int64)
-                for o, x in zip(out, (hashes, part, np.full(len(at), d), np.full(len(at), version, np.int32), at.astype(np.int32)), strict=True):
+                for o, x in zip(out, (hashes, part, np.full(len(at), d), np.full(len(at), version), at.astype(np.int32)), strict=True):
                     o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["hash", "salt", "doc", "v", "place"])
 
-    found = docs.join(live, docs["doc"] == live["d"]).select("doc", "v", "s1", "live", "hot", "text")
-    return found.mapInArrow(run, "hash long, salt int, doc long, v int, place int")
+    found = texts.join(live, ["doc", "th"]).select("doc", "th", "live", "hot", "text")
+    return found.mapInArrow(run, "hash long, salt int, doc long, v long, place int")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -129,7 +127,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
                 before = [r[last - 1] for r in rows]
 
     dealt = rows.repartition("hash", "salt").sortWithinPartitions("hash", "salt", "doc", "v", "place")
-    return dealt.mapInArrow(run, "hash long, salt int, doc long, v int, place int, first boolean, more boolean")
+    return dealt.mapInArrow(run, "hash long, salt int, doc long, v long, place int, first boolean, more boolean")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -137,30 +135,32 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _spans(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """doc, s1, n, spans (start, end, kept) for each distinct text of a document that has any."""
-    own = _retained(docs, window, k)
-    texts = own.select("doc", "n", "s1", "s2").distinct()
-    version = F.row_number().over(W.partitionBy("doc").orderBy("s1", "s2")) - 1
-    known = own.groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("times"))
-    texts = stage(texts.withColumn("v", version).join(known, ["s1", "s2"]), "op6-texts")
-    odd = stage(texts.where((F.col("doc") != F.col("rep")) | (F.col("v") > 0)).select(F.col("doc").alias("d"), F.col("s1").alias("s"), "v", (F.col("doc") != F.col("rep")).alias("copy")), "op6-odd")
-    n_odd = odd.count()
-    reps = own.join(checked(odd, n_odd), (own["doc"] == odd["d"]) & (own["s1"] == odd["s"]), "left").where("coalesce(copy, false) = false")
-    suffixes = reps.select("doc", F.coalesce("v", F.lit(0)).alias("v"), "s1", F.posexplode("grams").alias("i", "gram"))
-    place = F.xxhash64("doc", "v", "i")
+def _spans(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """doc, th, spans (start, end, kept) for each distinct text of a document that has any. rows (doc, th, text)."""
+    once, counts = distinct_texts(rows, "op6-counts")
+    own = _retained(once, window, k)
+    again = counts.where("times > 1").select("doc", "th", F.lit(True).alias("again"))
+    whole = own.where(F.col("n") >= window).select("doc", "th", "n", "s1", "s2").join(checked(again), ["doc", "th"], "left")
+    classes = whole.groupBy("s1", "s2").agg(F.min(F.struct("doc", "th")).alias("rep"), F.count("*").alias("times"))
+    texts = by_group(whole, stage(classes, "op6-classes"), ["s1", "s2"], "times")
+    several = (F.col("times") > 1) | F.coalesce("again", F.lit(False))
+    texts = stage(texts.select("doc", "th", "n", (F.struct("doc", "th") != F.col("rep")).alias("copy"), several.alias("several")), "op6-texts")
+    reps = own.join(checked(texts.where("copy").select("doc", "th")), ["doc", "th"], "left_anti")
+    suffixes = reps.select("doc", "th", F.posexplode("grams").alias("i", "gram"))
+    place = F.xxhash64("doc", "th", "i")
     live = suffixes.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("times")).where("a <> b")
-    live = stage(live.select("gram", (F.col("times") >= HOT).alias("is_hot")), "op6-live")  # few, or else joined anew, where a hot one can be split
-    by_doc = suffixes.select("gram", "doc", "v", "s1").join(checked(live), "gram").groupBy("doc", "v", "s1")
-    by_doc = by_doc.agg(F.collect_set("gram").alias("live"), F.collect_set(F.when(F.col("is_hot"), F.col("gram"))).alias("hot")).withColumnRenamed("doc", "d")
-    rows = stage(_neighbours(_windows(docs, by_doc, window, k)).where("more or salt >= 0"), "op6-windows")
+    live = stage(live.select("gram", "times"), "op6-live")
+    n_live, most = live.agg(F.count("*"), F.max("times")).first()
+    salts = max(SALTS, (most or 0) // HOT)
+    met = suffixes.join(F.broadcast(live), "gram") if n_live <= BROADCAST_ROWS else by_group(suffixes, live, ["gram"], "times")
+    by_text = met.groupBy("doc", "th").agg(F.collect_set("gram").alias("live"), F.collect_set(F.when(F.col("times") >= HOT, F.col("gram"))).alias("hot"))
+    rows = stage(_neighbours(_windows(once, by_text, window, k, salts)).where("more or salt >= 0"), "op6-windows")
     sure = rows.where("salt < 0 or not first").select("doc", "v", "place", "first")
-    again = _neighbours(rows.where("salt >= 0 and first").select("hash", F.lit(0).alias("salt"), "doc", "v", "place"))
+    parted = _neighbours(rows.where("salt >= 0 and first").select("hash", F.lit(0).alias("salt"), "doc", "v", "place"))
     lone = rows.where("salt >= 0 and first").select("hash", "doc", "v", "place", F.col("more").alias("had"))
-    again = again.join(lone, ["hash", "doc", "v", "place"]).where("more or had").select("doc", "v", "place", "first")
-    found = sure.unionByName(again).groupBy("doc", "v").agg(F.collect_list(F.col("place") * 2 + F.col("first").cast("int")).alias("places"))
-    copies = texts.select("doc", "v", "s1", "n", (F.col("doc") != F.col("rep")).alias("copy"), (F.col("times") > 1).alias("several")).where(F.col("n") >= window)
-    both = copies.join(found, ["doc", "v"], "left").where("places is not null or several")
+    parted = parted.join(lone, ["hash", "doc", "v", "place"]).where("more or had").select("doc", "v", "place", "first")
+    found = sure.unionByName(parted).groupBy("doc", F.col("v").alias("th")).agg(F.collect_list(F.col("place") * 2 + F.col("first").cast("int")).alias("places"))
+    both = texts.join(found, ["doc", "th"], "left").where("places is not null or several")
 
     def merged(starts: np.ndarray) -> list[tuple[int, int]]:
         if not len(starts):
@@ -172,7 +172,7 @@ def _spans(docs: DataFrame, window: int, k: int) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept", pa.bool_())]))
         for batch in batches:
             out = []
-            for n, copy, several, places in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
+            for n, copy, several, places in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 code = np.array(places or [], np.int64)
                 again, first = np.unique(code[code % 2 == 0] // 2), np.unique(code[code % 2 == 1] // 2)
                 if copy:
@@ -180,15 +180,15 @@ def _spans(docs: DataFrame, window: int, k: int) -> DataFrame:
                 elif several:
                     first = np.setdiff1d(np.arange(n - window + 1), again, assume_unique=True)
                 out.append([{"start": a, "end": b, "kept": kept} for kept, s in ((False, again), (True, first)) for a, b in merged(s)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3), pa.array(out, kind)], ["doc", "v", "s1", "n", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kind)], ["doc", "th", "spans"])
 
-    both = both.select("doc", "v", "s1", "n", "copy", "several", "places")
-    return both.mapInArrow(run, "doc long, v int, s1 long, n long, spans array<struct<start:int,end:int,kept:boolean>>")
+    both = both.select("doc", "th", "n", "copy", "several", "places")
+    return both.mapInArrow(run, "doc long, th long, spans array<struct<start:int,end:int,kept:boolean>>")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     arrow_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -196,8 +196,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     kept tells runs that stand there for the first time, by key and place; the others can go. Words are compared with
     A-Z as a-z. Keys are integers; a null key comes first. Rows repeated whole count as copies of each other with
-    one key and give their spans once; texts that share a key are told apart. Null, empty and short texts have no
-    spans; an empty table gives no rows. Other columns are ignored.
+    one key and give their spans once; texts that share a key are told apart and stand in the order of a hash. Null,
+    empty and short texts have no spans; an empty table gives no rows. Other columns are ignored.
     """
     found = _spans(_rows(docs, key, text), window, k).select("doc", F.explode("spans").alias("s"))
     return found.select(F.when(F.col("doc") != NULL_KEY, F.col("doc")).alias(key), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kept").alias("kept"))
@@ -206,33 +206,29 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """Return docs without the words that repeat earlier ones; texts without such words stay as they are, null ones too.
 
-    A span goes with the white space behind it. Rows whose text repeats another whole keep an empty text. All
-    columns and rows stay.
+    A span goes with the white space behind it. A row whose text repeats another whole keeps an empty text; rows
+    repeated whole keep theirs, or lose the same, together. All columns and rows stay, whatever the names; an empty
+    table gives an empty one.
     """
     spans = _spans(_rows(docs, key, text), window, k)
-    spans = stage(spans.select("doc", "s1", F.filter("spans", lambda s: ~s["kept"]).alias("spans")).where("size(spans) > 0"), "op6-cuts")
+    spans = stage(spans.select("doc", "th", F.filter("spans", lambda s: ~s["kept"]).alias("spans")).where("size(spans) > 0"), "op6-cuts")
+    weight = spans.agg(F.count("*") + F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
     names = docs.columns
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))
-    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), doc.alias("_doc"))
-    by_doc = spans.groupBy(F.col("doc").alias("_d")).agg(F.collect_list(F.struct("s1", "spans")).alias("_cuts"))
-    found = inner.join(checked(stage(by_doc, "op6-by-doc")), F.col("_doc") == F.col("_d"), "left")
+    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), doc.alias("doc"), F.xxhash64(F.col(text)).alias("th"))
+    found = inner.join(checked(spans, weight), ["doc", "th"], "left")
     word = re.compile(WORD)
 
     def cut(texts, cuts):  # noqa: ANN001, ANN202
         out = []
-        for t, cs in zip(texts, cuts, strict=True):
-            if cs is not None and t:
-                (words,) = word_hashes([t])
-                own = _sequence(words)[0]
-                for c in cs:
-                    if c["s1"] == own:
-                        at = [m.start() for m in word.finditer(t)] + [len(t)]
-                        pieces, last = [], 0
-                        for s in sorted(c["spans"], key=lambda s: s["start"]):
-                            pieces.append(t[last : at[s["start"]]])
-                            last = at[s["end"]]
-                        t = "".join(pieces) + t[last:]  # noqa: PLW2901
-                        break
+        for t, spans in zip(texts, cuts, strict=True):
+            if spans and t:
+                at = [m.start() for m in word.finditer(t)] + [len(t)]
+                pieces, last = [], 0
+                for s in sorted(spans, key=lambda s: s["start"]):
+                    pieces.append(t[last : at[s["start"]]])
+                    last = at[s["end"]]
+                t = "".join(pieces) + t[last:]  # noqa: PLW2901
             out.append(t)
         return out
 
@@ -240,7 +236,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         return pa.array(cut(texts.to_pylist(), cuts.to_pylist()), pa.string())
 
-    fresh = F.when(F.col("_cuts").isNotNull(), without(F.col(f"_row.`{text}`"), F.col("_cuts"))).otherwise(F.col(f"_row.`{text}`"))
+    fresh = F.when(F.col("spans").isNotNull(), without(F.col(f"_row.`{text}`"), F.col("spans"))).otherwise(F.col(f"_row.`{text}`"))
     return found.select(*[(fresh if c == text else F.col(f"_row.`{c}`")).alias(c) for c in names])
 
 

@@ -384,7 +384,8 @@ def test_one_text_many_times(spark):
     got = jaccard.similar(copies)
     assert got.count() == 3000 and [tuple(r) for r in got.select("component_id").distinct().collect()] == [(None,)]
     spans = suffixes.repeated_spans(copies.where("doc_id is null"), window=20, k=8)
-    assert spans.where("kept").count() == 1
+    got = sorted((r.start, r.end) for r in spans.where("kept").collect())  # by which of the two texts comes first
+    assert got in ([(0, 32)], [(0, 30), (11, 32)])
 
 
 def test_two_texts_of_one_key(spark):
