@@ -102,6 +102,33 @@ def _gap(query: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (np.maximum(0, np.maximum(low - query, query - high)) ** 2).sum(-1)
 
 
+def hulls(tree: list, low: dict[int, np.ndarray], high: dict[int, np.ndarray]) -> tuple | None:
+    """The tree as nested (low, high, children or block): boxes of the blocks' own corners, without empty blocks."""
+
+    def grow(node: list | int) -> tuple | None:
+        if isinstance(node, int):
+            return (low[node], high[node], node) if node in low else None
+        sides = [x for x in (grow(node[2]), grow(node[3])) if x]
+        return (np.min([x[0] for x in sides], 0), np.max([x[1] for x in sides], 0), sides) if sides else None
+
+    return grow(tree[0])
+
+
+def visits(hull: tuple | None, points: np.ndarray, reach: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(rows of points, block) for all blocks whose box lies within a point's reach, by walking down the tree."""
+    out: list[tuple[np.ndarray, int]] = []
+    todo = [(hull, np.arange(len(points)))] if hull else []
+    while todo:
+        (low, high, below), rows = todo.pop()
+        rows = rows[_gap(points[rows], low, high) < reach[rows]]
+        if len(rows):
+            if isinstance(below, int):
+                out.append((rows, below))
+            else:
+                todo += [(x, rows) for x in below]
+    return out
+
+
 def search_block(ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, query_points: np.ndarray, bounds: np.ndarray, top_norm: float, k: int, limit: float) -> tuple[list, list, list]:
     """Query ids, vector ids and scores of each query's k nearest in the block that are not farther than its bound (a score)."""
     rows, low, high = _leaves(projected)
@@ -219,12 +246,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     first = stage(visited(queries).withColumn("rank", rank).where(F.col("rank") <= k), "op9-first")
     kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     own = queries.join(kth, "id", "left").select("id", "v", "p", F.col("block").alias("home"), F.coalesce("kth", "bound").alias("bound"))
-    # Queries in blocks against all boxes: a stated query set.
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    reach = F.greatest(F.lit(0.0), 2 - 2 * F.col("bound") / (norm * top_norm)) * (1 + 1e-9) * limit
-    gap = sum((F.greatest(F.lit(0.0), F.col(f"low.x{i}") - F.col("p")[i], F.col("p")[i] - F.col(f"high.x{i}")) ** 2 for i in range(DIMS)), F.lit(0.0))
-    onward = own.join(boxes.select("block", "low", "high"), (F.col("block") != F.col("home")) & ((F.col("bound") == float("-inf")) | (gap < reach)))
-    onward = onward.select("id", "v", "p", "bound", "block")
+    corner = boxes.toPandas()  # a row a leaf of the tree, so bounded by the sample
+    corners_of = lambda c: {b: np.array([x[f"x{i}"] for i in range(DIMS)]) for b, x in zip(corner["block"], corner[c], strict=True)}
+    hull = hulls(tree, corners_of("low"), corners_of("high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, home, bound = stacked(b.column(1)), b.column(3).to_numpy(), b.column(4).to_numpy()
+            far = np.maximum(0.0, 2 - 2 * bound / (np.sqrt((v * v).sum(1)) * top_norm)) * (1 + 1e-9) * limit
+            met = visits(hull, stacked(b.column(2)), np.where(bound == -np.inf, np.inf, far))
+            for rows, block in met:
+                rows = rows[home[rows] != block]
+                part = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(4), pa.array(np.full(len(rows), block, np.int32))], ["id", "v", "p", "bound", "block"])
+
+    onward = own.select("id", "v", "p", "home", "bound").mapInArrow(run, "id long, v array<double>, p array<double>, bound double, block int")
     found = first.select("query_id", "vec_id", "score").unionByName(visited(stage(onward, "op9-onward"))) if blocks > 1 else first.select("query_id", "vec_id", "score")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

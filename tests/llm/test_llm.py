@@ -207,17 +207,66 @@ def test_fingerprints_brute_force(odd, plain, empty, spark):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def brute_anchors(text, k, s):
+    points = np.array([ord(c) for c in text], np.uint64)
+    if len(points) < k:
+        return []
+    inner, outer = fingerprints.mix(fingerprints.stretches(points, s)), fingerprints.mix(fingerprints.stretches(points, k)) >> np.uint64(32)
+    w = k - s + 1
+    return [int(outer[i]) for i in range(len(points) - k + 1) if min(x := inner[i : i + w]) in (x[0], x[-1])]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for i, y in enumerate(b, 1):
+            corner, row[i] = row[i], corner + 1 if x == y else max(row[i], row[i - 1])
+    return row[-1]
+
+
+def test_likeness_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.choice((3, 8, 20, 60, 200)))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        after, half = texts[i - 1], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        for name, (a, b) in {"near_edited": (t, edited), "near_next": (t, after)}.items():
+            k, s = (fingerprints.FINE_K, fingerprints.FINE_S) if max(len(a), len(b)) < fingerprints.SHORT else (fingerprints.K, fingerprints.S)
+            x, y = brute_anchors(a, k, s), brute_anchors(b, k, s)
+            most = 2 * longest_common(x, y) / (len(x) + len(y))
+            assert got[i][name] <= most + 1e-9
+            if len(set(x)) == len(x) and len(set(y)) == len(y):
+                assert got[i][name] == pytest.approx(most)
+        coarse, fine = fingerprints.from_text(got[i].fingerprint)
+        assert coarse.tolist() == brute_anchors(t, fingerprints.K, fingerprints.S) or len(t) < 2 * fingerprints.K
+        assert (fine is None) == (len(t) >= fingerprints.SHORT) and (fine is None or fine.tolist() == brute_anchors(t, 6, 2) or len(t) < 12)
+        if len(t) >= 20 and len(after) >= half:
+            assert got[i].near_edited > 0.2
+
+
 def test_syncmers_are_context_free():
     rng = random.Random(1)
     middle = "".join(rng.choice("abcdefgh ") for _ in range(500))
     extra = "".join(rng.choice("abcdefgh ") for _ in range(90))
     a, b, m = fingerprints.anchors([extra + middle, middle + extra, middle])
-    assert set(m.tolist()) <= set(a.tolist()) & set(b.tolist()) and fingerprints.likeness(m, m) == 1
-    assert fingerprints.likeness(a, b) > 0.7 and len(fingerprints.anchors(['x' * 9999])[0]) == 1 and fingerprints.likeness(*fingerprints.anchors(["one text", "another text"])) == 0
-    points = np.array([ord(c) for c in middle], np.uint64)
-    inner = fingerprints.mix(fingerprints.stretches(points, fingerprints.S))
-    w = fingerprints.K - fingerprints.S + 1
-    assert len(m) == sum(min(x := inner[i : i + w]) in (x[0], x[-1]) for i in range(len(middle) - fingerprints.K + 1))
+    assert set(m.tolist()) <= set(a.tolist()) & set(b.tolist()) and fingerprints.likeness((m, None), (m, None)) == 1
+    assert fingerprints.likeness((a, None), (b, None)) > 0.7 and m.tolist() == brute_anchors(middle, fingerprints.K, fingerprints.S)
+    runs = fingerprints.fingerprints(["x" * 200, "x" * 100_000, "ab " * 100, "ab " * 10_000])
+    assert len(runs[1][0]) < 20 and 0.3 < fingerprints.likeness(*runs[:2]) < 0.9 and fingerprints.likeness(*runs[2:]) < 0.1
+    assert fingerprints.likeness(*fingerprints.fingerprints(["one text", "zwölf Boxkämpfer"])) == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 200])
+def test_neighbours_in_any_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "BLOCK_BYTES", size)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3, -(1 << 63), (1 << 63) - 1, 9]), "t" * rng.randrange(30)) for _ in range(60)]
+    got = fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((k, len(t)) for k, t in rows)
 
 
 # 6 suffixes
@@ -420,6 +469,18 @@ def brute_nearest(rows, k):
     return out
 
 
+def test_walk_finds_all_boxes_in_reach():
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((400, 8))
+    tree = neighbours.cut_tree(points, 32)
+    at = neighbours.leaf_of(tree, points)
+    low, high = ({int(b): f(points[at == b], 0) for b in np.unique(at) if b != 3} for f in (np.min, np.max))
+    queries, reach = rng.standard_normal((50, 8)), rng.uniform(0, 6, 50)
+    got = {(int(q), b) for rows, b in neighbours.visits(neighbours.hulls(tree, low, high), queries, reach) for q in rows}
+    assert got == {(q, b) for b in low for q in range(50) if (np.maximum(0, np.maximum(low[b] - queries[q], queries[q] - high[b])) ** 2).sum() < reach[q]}
+    assert neighbours.visits(neighbours.hulls([0], {}, {}), queries, reach) == []
+
+
 def test_neighbours_recall_and_ties(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 200)
     monkeypatch.setattr(neighbours, "QUERIES", 16)
@@ -431,6 +492,7 @@ def test_neighbours_recall_and_ties(spark, monkeypatch):
     got = {}
     for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r["rank"] == len(got[r.query_id]) and r.score == pytest.approx(float(vectors[r.query_id] @ vectors[r.vec_id]), rel=1e-12, abs=1e-12)
     want = brute_nearest(rows, 20)
     assert set(got) == set(want) and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
     assert got[300] == want[300]
