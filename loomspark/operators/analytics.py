@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomspark.operators.graph import cut_lineage
+
 
 def hourly(events: DataFrame, start: str, end: str, key: str = "user_id") -> DataFrame:
     """hour, key, n, total, mean of value in [start, end)."""
@@ -50,9 +52,18 @@ def latest_runs(runs: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def until_budget(rows: DataFrame, size: str, budget: int, order: list[Column]) -> DataFrame:
-    """Rows in the order, up to and with the one that reaches the budget of their sizes."""
-    before = F.coalesce(F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before", before).where(F.col("before") < budget)
+    """Rows in the order, up to and with the one that reaches the budget of their sizes; with before, the sum of those in front.
+
+    Rows are dealt by range of the order, and totals of the ranges (a row each) give each range its start; only
+    ranges that begin under the budget are sorted.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    dealt = cut_lineage(rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*[F.col(k) for k in keys]).withColumn("_pid", F.spark_partition_id()))
+    totals = dealt.groupBy("_pid").agg(F.sum(size).alias("_t"))
+    starts = totals.select("_pid", F.coalesce(F.sum("_t").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start")).where(F.col("_start") < budget)
+    own = dealt.join(F.broadcast(starts), "_pid")  # as many rows as there are partitions
+    within = F.coalesce(F.sum(size).over(W.partitionBy("_pid").orderBy(*[F.col(k) for k in keys]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("before", F.col("_start") + within).where(F.col("before") < budget).drop("_pid", "_start", *keys)
 
 
 def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
@@ -80,3 +91,27 @@ def paired_lift(scores: DataFrame, arm: str, base: str, resamples: int = 1000, s
     a, b = tasks.where(F.col("arm") == arm).select("task", F.col("m").alias("a")), tasks.where(F.col("arm") == base).select("task", F.col("m").alias("b"))
     diffs = a.join(b, "task").select(F.lit(f"{arm} - {base}").alias("arm"), "task", (F.col("a") - F.col("b")).alias("score"))
     return bootstrap(diffs, resamples, seed).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+def set_scores(found: Column, expected: Column) -> tuple[Column, Column, Column]:
+    """Precision, recall and F1 of two arrays of names as sets in any case, to three places; nothing found has precision 0, nothing expected recall 1."""
+    a, b = (F.array_distinct(F.transform(c, F.lower)) for c in (found, expected))
+    hits = F.size(F.array_intersect(a, b))
+    precision = F.when(F.size(a) > 0, hits / F.size(a)).otherwise(F.lit(0.0))
+    recall = F.when(F.size(b) > 0, hits / F.size(b)).otherwise(F.lit(1.0))
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+    return F.round(precision, 3), F.round(recall, 3), F.round(f1, 3)
+
+
+def run_costs(runs: DataFrame, prices: DataFrame) -> DataFrame:
+    """runs with cost: tokens in and out, the back end's too, by the prices a million tokens of (provider, model); unknown models cost 0."""
+    tokens = lambda side: F.coalesce(F.col(f"tokens_{side}"), F.lit(0)) + F.coalesce(F.col(f"backend_tokens_{side}"), F.lit(0))
+    price = lambda side: F.coalesce(F.col(f"price_{side}"), F.lit(0.0))
+    both = runs.join(F.broadcast(prices), ["provider", "model"], "left")  # one row a model
+    return both.withColumn("cost", tokens("in") / 1e6 * price("in") + tokens("out") / 1e6 * price("out")).drop("price_in", "price_out")
+
+
+def due_connectors(connectors: DataFrame, states: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
+    """connector_id of enabled connectors that never ran, or whose last run is at least so old."""
+    both = connectors.where("enabled").join(states.select("connector_id", "last_run"), "connector_id", "left")
+    return both.where(F.col("last_run").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_run") >= seconds)).select("connector_id").distinct()

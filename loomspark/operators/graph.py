@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df by way of the shared checkpoint folder, so that loops do not build up plans and survive lost executors."""
+    """df by way of the shared checkpoint folder, so that loops do not build up plans and survive lost executors.
+
+    The folder is that of spark.checkpoint.dir; only a local master gets one of its own.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"/tmp/loomspark-checkpoints-{uuid.uuid4().hex[:8]}")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or f"/tmp/loomspark-checkpoints-{uuid.uuid4().hex[:8]}")
     return df.checkpoint()
 
 
-def relation_lines(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int | None = 30) -> DataFrame:
-    """line: 'A -[REL]-> B' for edges with a seed (id) at either end, both ends in nodes; distinct, in order."""
+def relation_lines(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int | None = 30, allowed: Column | None = None) -> DataFrame:
+    """line: 'A -[REL]-> B' for edges with a seed (id) at either end, both ends in nodes and allowed; distinct, in order."""
+    nodes = nodes.where(allowed) if allowed is not None else nodes
     ends = edges.select("source_id", "target_id", "relation")
     touched = ends.join(seeds.select(F.col("id").alias("source_id")), "source_id", "left_semi").unionByName(ends.join(seeds.select(F.col("id").alias("target_id")), "target_id", "left_semi"))
     a = nodes.select(F.col("id").alias("source_id"), F.col("label").alias("a"))
@@ -50,14 +58,24 @@ def within_hops(edges: DataFrame, starts: DataFrame, hops: int, relations: list[
     return seen
 
 
+def degree_counts(edges: DataFrame) -> DataFrame:
+    """id, n of edge ends, parallel edges and loops counted each."""
+    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """id, out, into of the two ends of each pair of nodes that edges join, in one direction; parallel edges count once."""
+    pairs = edges.select("source_id", "target_id").distinct()
+    ends = F.array(F.struct(F.col("source_id").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("target_id").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return pairs.select(F.inline(ends))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, in_degree, out_degree, degree; parallel edges count once, nodes without edges have 0."""
-    pairs = edges.select("source_id", "target_id").distinct()
-    out = pairs.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("out_degree"))
-    into = pairs.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("in_degree"))
+    found = _ends(edges).groupBy("id").agg(F.sum("into").alias("in_degree"), F.sum("out").alias("out_degree"))
+    both = nodes.select("id").join(found, "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    found = nodes.select("id").join(out, "id", "left").join(into, "id", "left")
-    return found.select("id", zero("in_degree").alias("in_degree"), zero("out_degree").alias("out_degree"), (zero("in_degree") + zero("out_degree")).alias("degree"))
+    return both.select("id", zero("in_degree").alias("in_degree"), zero("out_degree").alias("out_degree"), (zero("in_degree") + zero("out_degree")).alias("degree"))
 
 
 def page(nodes: DataFrame, edges: DataFrame, limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -94,6 +112,11 @@ def density(n_nodes, n_edges):  # noqa: ANN001, ANN201
     return F.round(n_edges / F.greatest(F.lit(1), n_nodes * (n_nodes - 1)), 6)
 
 
+def capped_density(n_nodes, n_edges):  # noqa: ANN001, ANN201
+    """The other form: at most 1, and 0 for less than two nodes."""
+    return F.when(n_nodes < 2, F.lit(0.0)).otherwise(F.least(F.lit(1.0), n_edges / (n_nodes * (n_nodes - 1))))
+
+
 def scoped(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, relations: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes of the types and edges of the relations (any case; none named: all) whose ends survive."""
     if types:
@@ -125,6 +148,34 @@ def simple_paths(edges: DataFrame, starts: DataFrame, longest: int, shortest: in
     return found.drop("at")
 
 
+def reached(edges: DataFrame, starts: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
+    """The distinct edges of the subgraph within so many undirected hops of the starts: those with both ends in it."""
+    return coherent(edges if not relations else edges.where(F.col("relation").isin(*relations)), within_hops(edges, starts, hops, relations))
+
+
+def breadth_first_paths(edges: DataFrame, starts: DataFrame, shortest: int = 2, longest: int = 4, most: int = 30) -> DataFrame:
+    """path, relations of at most so many directed paths without a repeated node, shorter ones first, then by their nodes.
+
+    Rounds end as soon as there are enough, so long paths are only looked for where short ones are few. Of parallel
+    edges the first relation by name counts.
+    """
+    step = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"), F.col("relation").alias("r"))
+    step = step.groupBy("at", "to").agg(F.min("r").alias("r"))
+    paths = starts.select(F.array("id").alias("path"), F.array().cast("array<string>").alias("relations"), F.col("id").alias("at"))
+    found, had = None, 0
+    for n in range(1, longest + 1):
+        paths = paths.join(step, "at").where(~F.array_contains("path", F.col("to")))
+        paths = paths.select(F.concat("path", F.array("to")).alias("path"), F.concat("relations", F.array("r")).alias("relations"), F.col("to").alias("at"))
+        if n >= shortest:
+            mine = cut_lineage(paths.orderBy("path").limit(most - had))
+            found = mine if found is None else found.unionByName(mine)
+            had += mine.count()
+            if had >= most:
+                break
+            paths = cut_lineage(paths)
+    return found.select("path", "relations")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component (its least id): labels spread along undirected edges and jump to their own label, so rounds are few."""
     both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("to"))).where("id <> to").distinct()
@@ -154,3 +205,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
         if i % 3 == 2:
             ranks = cut_lineage(ranks)
     return ranks.select("id", "rank")
+
+
+@F.udtf(returnType="start string, finish string, n_edges int, relations string")
+class SubPaths:
+    """A table function: every part of a path (node ids, relations) that has an edge, as SELECT ... FROM sub_paths(path, relations)."""
+
+    def eval(self, path: list, relations: list):  # noqa: ANN201
+        for i in range(len(path or [])):
+            for j in range(i + 1, len(path)):
+                yield path[i], path[j], j - i, ">".join(relations[i:j])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomspark.functions import texts
+
 SENTENCE_ENDS = (".", "!", "?", "。", "！", "？", "؟", "۔")
 
 
@@ -72,11 +72,36 @@ def merge_payload(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return kept, edges.where("source <> target").withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
 
 
+def payload(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (payload, ordinal, label, type, properties) and edges (payload, ordinal, source, target, relation) of extraction answers.
+
+    answers (payload, answer): JSON of {nodes: [{label, type, properties}], edges: [{source, target, relation}]}, perhaps
+    within a code fence. Nodes without a label are left out, and edges that name a label which the payload does not have.
+    """
+    schema = "nodes array<struct<label:string,type:string,properties:string>>, edges array<struct<source:string,target:string,relation:string>>"
+    parsed = answers.select("payload", F.from_json(texts.json_object_text(F.col("answer")), schema).alias("p"))
+    nodes = parsed.select("payload", F.posexplode("p.nodes").alias("ordinal", "n")).where(F.trim("n.label") != "")
+    nodes = nodes.select("payload", "ordinal", F.trim("n.label").alias("label"), texts.node_type(F.coalesce("n.type", F.lit("OTHER"))).alias("type"), F.coalesce("n.properties", F.lit("{}")).alias("properties"))
+    edges = parsed.select("payload", F.posexplode("p.edges").alias("ordinal", "e"))
+    edges = edges.select("payload", "ordinal", F.trim("e.source").alias("source"), F.trim("e.target").alias("target"), texts.relation_type(F.coalesce("e.relation", F.lit("RELATED_TO"))).alias("relation"))
+    names = nodes.select("payload", "label").distinct()
+    for end in ("source", "target"):
+        edges = edges.join(names.withColumnRenamed("label", end), ["payload", end], "left_semi")
+    return nodes, edges.select("payload", "ordinal", "source", "target", "relation")
+
+
 def fact_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, label, type, description of the FACT node of each document with text."""
-    flat = F.regexp_replace(F.col(text), "\n", " ")
+    flat = F.regexp_replace(F.trim(F.col(text)), "\n", " ")
     label = F.concat(F.lit("fact: "), F.substring(flat, 1, 200), F.when(F.length(text) > 200, F.lit("…")).otherwise(F.lit("")))
-    return docs.where(F.col(text).isNotNull()).select(F.concat(F.lit("fact:"), F.col(key).cast("string")).alias("id"), label.alias("label"), F.lit("FACT").alias("type"), F.col(text).alias("description"))
+    told = docs.where(F.col(text).rlike(r"\S"))
+    return told.select(F.concat(F.lit("fact:"), F.col(key).cast("string")).alias("id"), label.alias("label"), F.lit("FACT").alias("type"), F.col(text).alias("description"))
+
+
+def mention_edges(entities: DataFrame, key: str) -> DataFrame:
+    """source_id, target_id, relation: the document's FACT node mentions each of its entities (key, id)."""
+    rows = entities.select(F.concat(F.lit("fact:"), F.col(key).cast("string")).alias("source_id"), F.col("id").alias("target_id"))
+    return rows.distinct().withColumn("relation", F.lit("MENTIONS"))
 
 
 def classify_vectors(rows: DataFrame, dims: int, vector: str = "embedding") -> DataFrame:
@@ -91,11 +116,37 @@ def incremental(current: DataFrame, state: DataFrame) -> DataFrame:
     current (uri, modified, content), state (uri, modified, hash).
     """
     old = state.select("uri", F.col("modified").alias("_m"), F.col("hash").alias("_h"))
-    hashed = current.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256)).join(old, "uri", "left")
-    action = F.when(F.col("modified") == F.col("_m"), "fast_skip").when(F.col("hash") == F.col("_h"), "hash_skip").otherwise("emit")
+    same = F.coalesce(F.col("modified") == F.col("_m"), F.lit(False))
+    seen = current.join(old, "uri", "left").withColumn("_fast", same)
+    hashed = seen.withColumn("hash", F.when(F.col("_fast"), F.col("_h")).otherwise(F.sha2(F.col("content").cast("binary"), 256)))
+    action = F.when(F.col("_fast"), "fast_skip").when(F.col("hash") == F.col("_h"), "hash_skip").otherwise("emit")
     return hashed.select("uri", action.alias("action"), "hash")
 
 
+def changed_pages(pages: DataFrame, state: DataFrame, most: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
+    """url, action, and the new state (url, etag, last_modified, hash) of pages (url, etag, last_modified, content) fetched again.
+
+    not_modified if the tag, or without tags the time, is as before; too_large beyond `most` bytes; same if the content
+    is as before; else emit. The state of a page that is not emitted stays.
+    """
+    old = state.select("url", F.col("etag").alias("_e"), F.col("last_modified").alias("_m"), F.col("hash").alias("_h"))
+    both = pages.join(old, "url", "left").withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    tagged = F.col("etag").isNotNull() & F.col("_e").isNotNull()
+    same = F.when(tagged, F.col("etag") == F.col("_e")).otherwise(F.coalesce(F.col("last_modified") == F.col("_m"), F.lit(False)))
+    action = F.when(same, "not_modified").when(F.octet_length("content") > most, "too_large").when(F.col("hash") == F.col("_h"), "same").otherwise("emit")
+    told = both.withColumn("action", action)
+    new = told.where("action = 'emit'").select("url", "etag", "last_modified", "hash")
+    return told.select("url", "action"), state.select("url", "etag", "last_modified", "hash").join(new.select("url"), "url", "left_anti").unionByName(new)
+
+
+def checked_vectors(rows: DataFrame, dims: int, strict: bool, vector: str = "embedding") -> DataFrame:
+    """rows with vector_state ready or to_embed. Strict: a vector of another size is an error; else it is embedded anew, like a missing one."""
+    state = classify_vectors(rows, dims, vector)
+    wrong = F.col("vector_state") == "wrong_size"
+    after = F.when(wrong & F.lit(strict), F.raise_error(F.lit(f"expected vectors of {dims} numbers"))).when(F.col("vector_state") == "ready", "ready").otherwise("to_embed")
+    return state.withColumn("vector_state", after)
+
+
 def retries(attempts: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """Documents of which some chunk succeeded within so many attempts, and those to set aside.
 
@@ -104,17 +155,3 @@ def retries(attempts: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
     chunks = attempts.where(F.col("attempt") <= most).groupBy("doc_id", "chunk_no").agg(F.max("ok").alias("ok"))
     docs = chunks.groupBy("doc_id").agg(F.max("ok").alias("any_ok"), F.count("*").alias("chunks"), F.sum(F.col("ok").cast("int")).alias("good"))
     return docs.where("any_ok"), docs.where("not any_ok")
-
-
-def lcs_batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For very long answers: column lcs of token lists p and g, by the table's rows in one pass each."""
-    for pdf in rows:
-        out = []
-        for p, g in zip(pdf["p"], pdf["g"], strict=True):
-            row = [0] * (len(g) + 1)
-            for x in p:
-                corner = 0
-                for i, y in enumerate(g, 1):
-                    corner, row[i] = row[i], corner + 1 if x == y else max(row[i], row[i - 1])
-            out.append(row[-1])
-        yield pdf.assign(lcs=out)

@@ -99,7 +99,8 @@ def remap_edges(edges: DataFrame, canonical: DataFrame) -> DataFrame:
 def fuse(pairs: DataFrame) -> DataFrame:
     """id, canonical_id from pairs (keep_id, drop_id, similarity) of one tenant: each dropped node goes to the best node that stays.
 
-    A node that is itself dropped keeps no other, as in one pass by falling similarity; ties by id.
+    A node that is itself dropped keeps no other, as in one pass by falling similarity; ties by id. A node whose only
+    keepers are dropped stays.
     """
     dropped = pairs.select(F.col("drop_id").alias("keep_id")).distinct()
     free = pairs.join(dropped, "keep_id", "left_anti")

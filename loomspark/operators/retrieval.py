@@ -2,51 +2,119 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from loomspark.functions.scores import cosine, dot, norm
-from loomspark.functions.texts import NOT_WORD
+from loomspark.functions.properties import merged
+from loomspark.operators.graph import cut_lineage
+
+
+QUERY_BYTES = 32 << 20  # of query vectors that go to all tasks at once
+BLOCK_ROWS = 2048  # vectors of a block in a join of all with all of a tenant
+
+
+def _unit(vectors) -> np.ndarray:  # noqa: ANN001
+    x = np.array(vectors.to_pylist(), np.float64).reshape(len(vectors), -1)
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
 def vector_topk(nodes: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
-    """query_id, id, score, rank: exact nearest by cosine for a stated set of queries (query_id, vector), tenants filtered first."""
-    found = (nodes.where(allowed) if allowed is not None else nodes).select("id", "embedding")
-    scored = found.crossJoin(F.broadcast(queries.limit(1000))).select("query_id", "id", cosine(F.col("vector"), F.col("embedding")).alias("score"))
+    """query_id, id, score, rank: exact nearest by cosine for a stated set of queries (query_id, vector), tenants filtered first.
+
+    Queries go to all tasks in blocks of at most QUERY_BYTES, so any number of them is answered; a task keeps the k best
+    of its rows for each. Vectors of another length than the queries' are an error; null ones take no part.
+    """
+    found = (nodes.where(allowed) if allowed is not None else nodes).where(F.col("embedding").isNotNull()).select("id", "embedding")
+    asked = cut_lineage(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"))
+    n, most = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n * (most or 0) * 8 // QUERY_BYTES))
+    kinds = [asked.schema["query_id"].dataType, found.schema["id"].dataType]
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
+    parts = [_best_of(found, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked, k, schema) for i in range(blocks)]
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", best).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def _best_of(found: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
+    rows = asked.toPandas()  # at most QUERY_BYTES
+    held = found.sparkSession.sparkContext.broadcast((rows["query_id"].tolist(), [list(v) for v in rows["vector"]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = held.value
+        asks = _unit(pa.array(vectors, pa.list_(pa.float64()))) if ids else np.empty((0, 0))
+        best: list[tuple[list, np.ndarray]] = [([], np.empty(0)) for _ in ids]
+        for b in batches:
+            if not b.num_rows or not ids:
+                continue
+            lengths = set(pc.list_value_length(b.column(1)).to_pylist())
+            if lengths != {asks.shape[1]}:
+                raise ValueError("vectors differ in length")
+            names, scores = b.column(0).to_pylist(), asks @ _unit(b.column(1)).T
+            for q, row in enumerate(scores):
+                at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                had, old = best[q]
+                both, values = had + [names[i] for i in at], np.concatenate([old, row[at]])
+                if len(values) > 4 * k:
+                    order = sorted(range(len(values)), key=lambda i: (-values[i], both[i]))[:k]
+                    both, values = [both[i] for i in order], values[order]
+                best[q] = both, values
+        for q, (names, values) in zip(ids, best, strict=True):
+            if names:
+                yield pa.RecordBatch.from_pydict({"query_id": [q] * len(names), "id": names, "score": values.tolist()})
+
+    return found.mapInArrow(run, schema)
 
 
-def similar_pairs(nodes: DataFrame, low: float, high: float | None = None, by: str = "agent_id", blocks: int = 8) -> DataFrame:
+def similar_pairs(nodes: DataFrame, low: float, high: float | None = None, by: str = "agent_id", rows: int = BLOCK_ROWS) -> DataFrame:
     """a, b (a before b), similarity: pairs of one tenant with cosine in [low, high].
 
-    Rows of a tenant are dealt into blocks, and pairs of blocks meet in tasks of their own, so a large tenant is
-    spread over blocks * (blocks + 1) / 2 tasks and no task holds more than two blocks.
+    Rows of a tenant are dealt into blocks of about `rows`, and pairs of blocks meet in tasks of their own as matrix
+    products, so a large tenant is spread over many tasks and no task holds more than two blocks.
     """
-    n = norm("embedding")
-    unit = nodes.select(by, "id", F.when(n > 0, F.transform("embedding", lambda x: x / n)).otherwise(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    meets = lambda first: F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct((F.col("block") if first else x).alias("i"), (x if first else F.col("block")).alias("j"))))
-    a = unit.select(by, F.col("id").alias("a"), F.col("u").alias("ua"), meets(True).alias("m"))
-    b = unit.select(by, F.col("id").alias("b"), F.col("u").alias("ub"), meets(False).alias("m"))
-    score = dot("ua", "ub")
-    near = a.join(b, [by, "m"]).where("a < b").withColumn("similarity", score).where(F.col("similarity") >= low)
-    return (near.where(F.col("similarity") <= high) if high is not None else near).select("a", "b", "similarity")
-
-
-def fulltext(docs: DataFrame, key: str, text: Column, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score: BM25 of rows with words that begin with one of the terms; each term's matches count together."""
-    words = F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
-    rows = docs.select(key, words.alias("w")).select(key, F.size("w").alias("n"), *[F.size(F.filter("w", _begins(t))).alias(f"f{i}") for i, t in enumerate(terms)])
-    return _bm25(rows, key, len(terms), k1, b)
+    sizes = nodes.groupBy(by).agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    dealt = nodes.select(by, "id", "embedding").where(F.col("embedding").isNotNull()).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, by)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = lambda first: F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct((F.least if first else F.greatest)(F.col("block"), x).alias("i"), (F.greatest if first else F.least)(F.col("block"), x).alias("j"))))
+    own = dealt.withColumn("m", meets(True)).select(by, F.col("m.i").alias("i"), F.col("m.j").alias("j"), "block", "id", "embedding")
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def both(group: pa.Table) -> pa.Table:
+        ids, block, x = np.array(group["id"].to_pylist()), group["block"].to_numpy(), _unit(group["embedding"].combine_chunks())
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        s = x[left] @ x[right].T
+        near = (s >= low - 1e-12) & ((s <= high + 1e-12) if high is not None else True)
+        p, q = np.nonzero(near)
+        a, b, s = ids[left[p]], ids[right[q]], s[p, q]
+        keep = a < b if i == j else a != b
+        a, b, s = a[keep], b[keep], s[keep]
+        swap = a > b
+        return pa.table({"a": pa.array(np.where(swap, b, a).tolist(), group.schema.field("id").type), "b": pa.array(np.where(swap, a, b).tolist(), group.schema.field("id").type), "similarity": pa.array(s, pa.float64())})
+
+    return own.groupBy(by, "i", "j").applyInArrow(both, f"a {kind}, b {kind}, similarity double")
 
 
-def _begins(term: str):  # noqa: ANN202
-    return lambda w: F.startswith(w, F.lit(term))
+def fulltext(docs: DataFrame, key: str, text: Column | Sequence[Column], terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key, score: BM25 of rows with words that begin with one of the terms; each term's matches count together.
+
+    Several fields are searched as one text. Words are counted where they stand, by one pass of a pattern for each term.
+    """
+    fields = [text] if isinstance(text, Column) else list(text)
+    whole = F.lower(F.concat_ws(" ", *fields))
+    counts = [F.regexp_count(whole, F.lit(f"(?<![\\p{{L}}\\p{{N}}_]){re.escape(t)}")).alias(f"f{i}") for i, t in enumerate(terms)]
+    rows = docs.select(key, F.regexp_count(whole, F.lit("[\\p{L}\\p{N}_]+")).alias("n"), *counts)
+    return _bm25(rows, key, len(terms), k1, b)
 
 
 def _bm25(rows: DataFrame, key: str, n_terms: int, k1: float, b: float) -> DataFrame:
@@ -91,24 +159,122 @@ def mmr(candidates: DataFrame, k: int = 15, weight: float = 0.5) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id'].dataType.simpleString()}, id {kinds['id'].dataType.simpleString()}, pick int")
 
 
-def resolve(new: DataFrame, known: DataFrame, fuzzy: float = 0.85) -> DataFrame:
-    """id, match_id, stage: the known node that a new one stands for, of one tenant and by the first rule that holds.
+def _segments(label: str, edits: int) -> list[tuple[int, str]]:
+    """label cut into edits + 1 parts of nearly equal length, with their places."""
+    n, parts = len(label), edits + 1
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return [(a, label[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def edits_allowed(n: int, fuzzy: float) -> int:
+    """The most edits between two labels, the longer of n letters, whose similarity is at least fuzzy."""
+    return int((1 - fuzzy) * n + 1e-9)
 
-    Rules: equal label or alias (1), edit similarity of at least `fuzzy` (2). FACT nodes stand for themselves. Within
-    a rule the first known node by ordinal counts. Labels only meet if their lengths allow the similarity.
+
+def fuzzy_pairs(a: DataFrame, b: DataFrame, by: str, fuzzy: float = 0.85) -> DataFrame:
+    """id (of a), match_id (of b), similarity: labels of one tenant (id, by, label) that are alike in at least fuzzy, any case.
+
+    If two labels are d edits apart, one of d + 1 parts of one stands unchanged in the other, at most d places away. So
+    the parts of b's labels meet the stretches of a's labels of the same length and place, and only what meets is
+    compared. Labels alike but for case are not found here, as an equi-join does that.
     """
-    from loomspark.functions.scores import similarity
 
-    a = new.where("type <> 'FACT'").select("id", "agent_id", F.lower("label").alias("l"), F.length("label").alias("n"))
-    b = known.where("type <> 'FACT'").select(F.col("id").alias("match_id"), "agent_id", F.lower("label").alias("kl"), F.length("label").alias("kn"), "ordinal", "aliases")
-    names = b.select("match_id", "agent_id", "ordinal", F.explode(F.array_union(F.array("kl"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))).alias("l"))
-    exact = a.join(names, ["agent_id", "l"]).select("id", "match_id", "ordinal", F.lit(1).alias("stage"))
+    reach = lambda n: range(max(1, math.ceil(n * fuzzy - 1e-9)), int(n / fuzzy + 1e-9) + 1)
+
+    @F.pandas_udf("array<string>")
+    def parts_of(labels: pd.Series) -> pd.Series:
+        """The parts of a label for each number of edits that a partner of some length allows."""
+        return labels.map(lambda s: sorted({f"{len(s)}:{d}:{i}:{part}" for d in {edits_allowed(max(n, len(s)), fuzzy) for n in reach(len(s))} for i, (_, part) in enumerate(_segments(s, d))}) if s else [])
+
+    @F.pandas_udf("array<string>")
+    def stretches_of(labels: pd.Series) -> pd.Series:
+        """The stretches of a label where parts of a partner could stand, for each length that a partner could have."""
+        out = []
+        for s in labels:
+            found: set[str] = set()
+            for m in reach(len(s)) if s else ():
+                d = edits_allowed(max(m, len(s)), fuzzy)
+                for i in range(d + 1):
+                    lo, n = m * i // (d + 1), m * (i + 1) // (d + 1) - m * i // (d + 1)
+                    found.update(f"{m}:{d}:{i}:{s[at : at + n]}" for at in range(max(0, lo - d), min(len(s) - n, lo + d) + 1))
+            out.append(sorted(found))
+        return pd.Series(out)
+
+    low = lambda df: df.select(by, "id", F.lower("label").alias("l"))
+    left = low(a).select(by, F.col("id").alias("id"), "l", F.explode(stretches_of("l")).alias("key"))
+    right = low(b).select(by, F.col("id").alias("match_id"), F.col("l").alias("kl"), F.explode(parts_of("l")).alias("key"))
+    met = left.join(right, [by, "key"]).where("l <> kl").select("id", "match_id", "l", "kl").distinct()
+    longest = F.greatest(F.length("l"), F.length("kl"))
+    return met.withColumn("similarity", 1 - F.levenshtein("l", "kl") / longest).where(F.col("similarity") >= fuzzy - 1e-12).select("id", "match_id", "similarity")
+
+
+def resolve(new: DataFrame, known: DataFrame, fuzzy: float = 0.85, near: float = 0.9, candidates: int = 20) -> DataFrame:
+    """id, match_id, stage: the known node that a new one stands for, of one tenant and by the first rule that holds.
+
+    Rules: equal label or alias (1), edit similarity of at least `fuzzy` (2), and, where both sides have the column
+    embedding, cosine of at least `near` among the `candidates` nearest (3). FACT nodes stand for themselves. Within the
+    first two rules the first known node by ordinal counts, in the third the nearest.
+    """
+    a = new.where("type <> 'FACT'").select("id", "agent_id", "label", F.lower("label").alias("l"))
+    b = known.where("type <> 'FACT'").select(F.col("id").alias("match_id"), "agent_id", "label", "ordinal", "aliases")
+    names = b.select("match_id", "agent_id", "ordinal", F.explode(F.array_union(F.array(F.lower("label")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))).alias("l"))
+    exact = a.join(names, ["agent_id", "l"]).select("id", "match_id", F.col("ordinal").cast("double").alias("rank"), F.lit(1).alias("stage"))
     rest = a.join(exact.select("id"), "id", "left_anti")
-    span = lambda n: F.explode(F.sequence(F.ceil(n * fuzzy).cast("int"), F.floor(n / fuzzy).cast("int")))
-    near = rest.withColumn("kn", span(F.col("n"))).join(b, ["agent_id", "kn"])
-    near = near.where(similarity(F.col("l"), F.col("kl")) >= fuzzy).select("id", "match_id", "ordinal", F.lit(2).alias("stage"))
-    first = W.partitionBy("id").orderBy("stage", "ordinal", "match_id")
-    return exact.unionByName(near).withColumn("_r", F.row_number().over(first)).where("_r = 1").select("id", "match_id", "stage")
+    close = fuzzy_pairs(rest, b.withColumnRenamed("match_id", "id"), "agent_id", fuzzy)
+    close = close.join(b.select("match_id", "ordinal"), "match_id").select("id", "match_id", F.col("ordinal").cast("double").alias("rank"), F.lit(2).alias("stage"))
+    found = exact.unionByName(close)
+    if "embedding" in new.columns and "embedding" in known.columns:
+        found = cut_lineage(found)
+        left = new.where("type <> 'FACT'").join(found.select("id"), "id", "left_anti").select(F.col("id").alias("query_id"), "agent_id", F.col("embedding").alias("vector"))
+        alike = nearest_of_tenant(left, known.where("type <> 'FACT'"), candidates).where(F.col("score") >= near)
+        found = found.unionByName(alike.select(F.col("query_id").alias("id"), F.col("id").alias("match_id"), (-F.col("score")).alias("rank"), F.lit(3).alias("stage")))
+    first = W.partitionBy("id").orderBy("stage", "rank", "match_id")
+    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("id", "match_id", "stage")
+
+
+def nearest_of_tenant(queries: DataFrame, known: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, id, score: the k nearest known nodes of the same tenant for each query (query_id, agent_id, vector).
+
+    A tenant's known nodes and queries are dealt into blocks, and each pair of blocks is one matrix product that gives
+    the k best of the block for each query.
+    """
+    fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both may come from one table
+    have = fresh(known.where(F.col("embedding").isNotNull()), "agent_id", "id", "embedding")
+    ask = fresh(queries.where(F.col("vector").isNotNull()), "agent_id", "query_id", "vector")
+    n_known = have.groupBy("agent_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("nk"))
+    n_ask = ask.groupBy("agent_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("nq"))
+    sizes = n_known.join(n_ask, "agent_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = have.join(sizes, "agent_id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("nk")).cast("int")).withColumn("j", every("nq")).select("agent_id", "i", "j", "id", "embedding")
+    right = ask.join(sizes, "agent_id").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("i", every("nk")).select("agent_id", "i", "j", "query_id", "vector")
+
+    def both(nodes: pa.Table, asks: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query_id": [], "id": [], "score": []}
+        if nodes.num_rows and asks.num_rows:
+            ids, s = nodes["id"].to_pylist(), _unit(asks["vector"].combine_chunks()) @ _unit(nodes["embedding"].combine_chunks()).T
+            for q, row in zip(asks["query_id"].to_pylist(), s, strict=True):
+                for i in sorted(range(len(ids)), key=lambda i: (-row[i], ids[i]))[:k]:
+                    out["query_id"].append(q)
+                    out["id"].append(ids[i])
+                    out["score"].append(float(row[i]))
+        return pa.table({"query_id": pa.array(out["query_id"], asks.schema.field("query_id").type), "id": pa.array(out["id"], nodes.schema.field("id").type), "score": pa.array(out["score"], pa.float64())})
+
+    kinds = ask.schema["query_id"].dataType.simpleString(), have.schema["id"].dataType.simpleString()
+    right = right.toDF("q_agent", "q_i", "q_j", "query_id", "vector")
+    parts = left.groupBy("agent_id", "i", "j").cogroup(right.groupBy("q_agent", "q_i", "q_j")).applyInArrow(both, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return parts.withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
+
+
+def merged_matches(new: DataFrame, known: DataFrame, matches: DataFrame) -> DataFrame:
+    """id, properties, aliases of the known nodes that new ones stand for: bags united in the order of the new nodes, labels that differ added to the aliases."""
+    said = new.join(matches.select("id", "match_id"), "id")
+    told = said.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("id", "label", "properties"))).alias("said"))
+    both = known.join(told, known["id"] == told["match_id"])
+    bags = F.aggregate("said", F.coalesce(F.col("properties"), F.lit("{}")), lambda old, x: merged(old, x["properties"]))
+    labels = F.transform("said", lambda x: x["label"])
+    other = F.filter(labels, lambda x: F.lower(x) != F.lower(F.col("label")))
+    return both.select(known["id"], bags.alias("properties"), F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), other).alias("aliases"))
 
 
 def embed_once(texts: DataFrame, text: str, embed) -> DataFrame:  # noqa: ANN001

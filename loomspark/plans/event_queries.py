@@ -104,11 +104,11 @@ BOOT = """, t AS (SELECT arm, task, avg(score) AS m FROM scores GROUP BY 1, 2),
 d AS (SELECT arm, b, ('0x' || substr(md5('7:' || b || ':' || i), 1, 8))::BIGINT % n AS i FROM o, range(200) x(b)),
 s AS (SELECT d.arm, d.b, avg(o.m) AS m FROM d JOIN o ON o.arm = d.arm AND o.i = d.i GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY m, b) - 1 AS r FROM s)
 SELECT arm, round((SELECT avg(m) FROM t WHERE t.arm = k.arm), 5) AS mean, round(max(m) FILTER (WHERE r = 5), 5) AS low, round(max(m) FILTER (WHERE r = 195), 5) AS high"""
-SCORES = "WITH scores AS (SELECT event_type AS arm, user_id AS task, value AS score FROM events WHERE user_id < 40)"
+SCORES = "WITH scores AS (SELECT event_type AS arm, user_id AS task, value AS score FROM events)"
 
 
 def _scores(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id < 40").select(F.col("event_type").alias("arm"), F.col("user_id").alias("task"), F.col("value").alias("score"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("user_id").alias("task"), F.col("value").alias("score"))
 
 
 @query(SCORES + BOOT + " FROM k GROUP BY arm")
@@ -117,7 +117,7 @@ def bootstrap_ci(spark, sf_dir):
     return out.select("arm", *[F.round(c, 5).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("""WITH base AS (SELECT event_type AS arm, user_id AS task, avg(value) AS m FROM events WHERE user_id < 40 GROUP BY 1, 2),
+@query("""WITH base AS (SELECT event_type AS arm, user_id AS task, avg(value) AS m FROM events GROUP BY 1, 2),
 scores AS (SELECT 'click - error' AS arm, a.task, a.m - b.m AS score FROM base a JOIN base b ON b.task = a.task AND a.arm = 'click' AND b.arm = 'error')"""
        + BOOT + ", max(m) FILTER (WHERE r = 5) > 0 OR max(m) FILTER (WHERE r = 195) < 0 AS significant FROM k GROUP BY arm")
 def paired_lift(spark, sf_dir):

@@ -6,21 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from loomspark.functions.scores import cleared, dynamic_decay, similarity, synaptic_score
-from loomspark.operators import graph, memory, training
+from loomspark.functions.scores import cleared, dynamic_decay, synaptic_score
+from loomspark.operators import graph, memory, retrieval, training, upkeep
 from loomspark.plans.catalog import query, table
-from loomspark.sources.star import EDGES, NODES, edges, nodes
+from loomspark.sources.star import EDGES, NODES, VECTORS, edges, nodes, vector_nodes
 
 G = f"WITH RECURSIVE {NODES}, {EDGES} "
 
 
-def small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph of regions, nations, customers and suppliers."""
-    n = nodes(spark, sf_dir).where(F.col("type").isin("LOCATION", "PERSON", "ORGANIZATION"))
-    return n, edges(spark, sf_dir).where(F.col("relation").isin("PART_OF", "LOCATED_IN"))
-
-
-SMALL = G + ", sn AS (SELECT * FROM nodes WHERE type IN ('LOCATION', 'PERSON', 'ORGANIZATION')), se AS (SELECT * FROM edges WHERE relation IN ('PART_OF', 'LOCATED_IN')) "
+def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return nodes(spark, sf_dir), edges(spark, sf_dir)
 
 
 @query(G + "SELECT count(*) AS n_nodes, count(DISTINCT type) AS n_types, (SELECT count(*) FROM edges) AS n_edges FROM nodes")
@@ -63,23 +58,36 @@ def node_degrees(spark, sf_dir):
     return graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query(G + DEGREES + """, t AS (SELECT id FROM d ORDER BY in_degree + out_degree DESC, id LIMIT 200)
-SELECT e.id, e.source_id, e.target_id FROM edges e WHERE source_id IN (SELECT id FROM t) AND target_id IN (SELECT id FROM t)""")
+@query(G + DEGREES + """, t AS (SELECT id FROM d ORDER BY in_degree + out_degree DESC, id LIMIT 3000)
+SELECT 'edge' AS kind, id FROM edges WHERE source_id IN (SELECT id FROM t) AND target_id IN (SELECT id FROM t) UNION ALL SELECT 'node', id FROM t""")
 def degree_cap_subgraph(spark, sf_dir):
-    return graph.most_connected(nodes(spark, sf_dir), edges(spark, sf_dir), 200)[1].select("id", "source_id", "target_id")
+    return _both(*graph.most_connected(nodes(spark, sf_dir), edges(spark, sf_dir), 3000))
+
 
+def _both(n, e):
+    return n.select(F.lit("node").alias("kind"), "id").unionByName(e.select(F.lit("edge").alias("kind"), "id"))
 
-@query(G + """, p AS (SELECT id FROM nodes ORDER BY id LIMIT 500 OFFSET 100)
-SELECT e.id, e.source_id, e.target_id FROM edges e WHERE source_id IN (SELECT id FROM p) AND target_id IN (SELECT id FROM p)""")
+
+@query(G + """, p AS (SELECT id FROM nodes ORDER BY id LIMIT 5000 OFFSET 50)
+SELECT 'edge' AS kind, id FROM edges WHERE source_id IN (SELECT id FROM p) AND target_id IN (SELECT id FROM p) UNION ALL SELECT 'node', id FROM p""")
 def paged_subgraph(spark, sf_dir):
-    return graph.page(nodes(spark, sf_dir), edges(spark, sf_dir), 500, 100)[1].select("id", "source_id", "target_id")
+    return _both(*graph.page(nodes(spark, sf_dir), edges(spark, sf_dir), 5000, 50))
+
 
+@query(G + """, b AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
+h(id, hops) AS (SELECT 'n:1', 0 UNION SELECT b.b, h.hops + 1 FROM h JOIN b ON b.a = h.id WHERE h.hops < 2), i AS (SELECT DISTINCT id FROM h)
+SELECT id FROM edges WHERE source_id IN (SELECT id FROM i) AND target_id IN (SELECT id FROM i)""")
+def khop_edges(spark, sf_dir):
+    """The distinct edges of a subgraph of depth 2."""
+    n, e = whole(spark, sf_dir)
+    return graph.reached(e, n.where("id = 'n:1'"), 2).select("id")
 
-@query(SMALL + """, b AS (SELECT source_id AS a, target_id AS b FROM se UNION ALL SELECT target_id, source_id FROM se),
+
+@query(G + """, b AS (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges),
 h(id, hops) AS (SELECT 'r:0', 0 UNION SELECT b.b, h.hops + 1 FROM h JOIN b ON b.a = h.id WHERE h.hops < 2)
 SELECT id, min(hops)::INT AS hops FROM h GROUP BY id""")
 def khop_subgraph(spark, sf_dir):
-    n, e = small(spark, sf_dir)
+    n, e = whole(spark, sf_dir)
     return graph.within_hops(e, n.where("id = 'r:0'"), 2)
 
 
@@ -97,9 +105,20 @@ def relationship_lines(spark, sf_dir):
     return graph.relation_lines(n, edges(spark, sf_dir), n.where("label = 'NATION_3'"))
 
 
-@query(G + "SELECT id, type FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges WHERE source_id = nodes.id) AND NOT EXISTS (SELECT 1 FROM edges WHERE target_id = nodes.id)")
+AGED = G + ", aged AS (SELECT *, TIMESTAMP '2024-01-31' - INTERVAL 1 DAY * (retrieval_count * 2) AS created_at FROM nodes) "
+
+
+def aged(spark, sf_dir):
+    """The nodes with a time of creation."""
+    n = nodes(spark, sf_dir)
+    return n.withColumn("created_at", F.lit("2024-01-31").cast("timestamp") - F.make_dt_interval(days=(F.col("retrieval_count") * 2).cast("int")))
+
+
+@query(AGED + """SELECT a.id, a.type FROM aged a LEFT JOIN (SELECT source_id AS id FROM edges WHERE relation = 'CREATED' UNION SELECT target_id FROM edges WHERE relation = 'CREATED') e ON e.id = a.id
+WHERE e.id IS NULL AND a.created_at < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY""")
 def orphan_prune(spark, sf_dir):
-    return memory.orphans(nodes(spark, sf_dir), edges(spark, sf_dir)).select("id", "type")
+    """Nodes that neither were created nor created any, older than seven days."""
+    return upkeep.pruned(aged(spark, sf_dir), edges(spark, sf_dir).where("relation = 'CREATED'"), F.lit("2024-01-31").cast("timestamp")).select("id", "type")
 
 
 @query(G + "SELECT relation, count(*) FILTER (WHERE greatest(0.1, weight * 0.99) <> weight) AS n_changed, round(sum(greatest(0.1, weight * 0.99)), 3) AS total FROM edges GROUP BY relation")
@@ -108,27 +127,32 @@ def edge_decay(spark, sf_dir):
     return e.groupBy("relation").agg(F.sum(F.col("changed").cast("long")).alias("n_changed"), F.round(F.sum("weight"), 3).alias("total"))
 
 
-AMONG = SMALL + ", i AS (SELECT id FROM sn WHERE retrieval_count >= 6) "
+AMONG = G + ", i AS (SELECT id FROM nodes WHERE retrieval_count >= 6) "
 
 
 def _retrieved(spark, sf_dir):
-    n, e = small(spark, sf_dir)
+    n, e = whole(spark, sf_dir)
     return e, n.where("retrieval_count >= 6").select("id")
 
 
-@query(AMONG + "SELECT id, round(greatest(0.1, weight - 0.1), 6) AS weight FROM se WHERE source_id IN (SELECT id FROM i) AND target_id IN (SELECT id FROM i)")
+@query(AMONG + "SELECT id, round(greatest(0.1, weight - 0.1), 6) AS weight FROM edges WHERE source_id IN (SELECT id FROM i) AND target_id IN (SELECT id FROM i)")
 def hebbian_feedback(spark, sf_dir):
     return memory.feedback(*_retrieved(spark, sf_dir), success=False).select("id", F.round("weight", 6).alias("weight"))
 
 
-@query(AMONG + "SELECT id, round(least(2.0, weight + 0.02), 6) AS weight FROM se WHERE source_id IN (SELECT id FROM i) AND target_id IN (SELECT id FROM i)")
+@query(AMONG + "SELECT id, round(least(2.0, weight + 0.1), 6) AS weight FROM edges WHERE source_id IN (SELECT id FROM i) AND target_id IN (SELECT id FROM i)")
+def hebbian_success(spark, sf_dir):
+    return memory.feedback(*_retrieved(spark, sf_dir), success=True).select("id", F.round("weight", 6).alias("weight"))
+
+
+@query(AMONG + "SELECT id, round(least(2.0, weight + 0.02), 6) AS weight FROM edges WHERE source_id IN (SELECT id FROM i) AND target_id IN (SELECT id FROM i)")
 def implicit_reinforce(spark, sf_dir):
     return memory.feedback(*_retrieved(spark, sf_dir), success=True, step=0.02).select("id", F.round("weight", 6).alias("weight"))
 
 
-@query(AMONG + "SELECT id, CASE WHEN id IN (SELECT id FROM i) THEN 1.0::DOUBLE ELSE energy END AS energy, retrieval_count + CASE WHEN id IN (SELECT id FROM i) THEN 1 ELSE 0 END AS retrieval_count FROM sn")
+@query(AMONG + "SELECT id, CASE WHEN id IN (SELECT id FROM i) THEN 1.0::DOUBLE ELSE energy END AS energy, retrieval_count + CASE WHEN id IN (SELECT id FROM i) THEN 1 ELSE 0 END AS retrieval_count FROM nodes")
 def activation_boost(spark, sf_dir):
-    n, _ = small(spark, sf_dir)
+    n, _ = whole(spark, sf_dir)
     return memory.activate(n, n.where("retrieval_count >= 6"), F.lit("2024-02-01").cast("timestamp")).select("id", "energy", "retrieval_count")
 
 
@@ -149,37 +173,34 @@ def dynamic_decay_energy(spark, sf_dir):
     return nodes(spark, sf_dir).groupBy("type").agg(F.round(F.sum(e), 4).alias("energy"))
 
 
-@query(SMALL + """,
-p AS (SELECT n.id, 'r:' || n_regionkey AS r FROM sn n JOIN nation ON n.id = 'n:' || n_nationkey
-      UNION ALL SELECT id, id FROM sn WHERE id LIKE 'r:%'
-      UNION ALL SELECT 'c:' || c_custkey, 'r:' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey
-      UNION ALL SELECT 's:' || s_suppkey, 'r:' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
-SELECT id, min(id) OVER (PARTITION BY r) AS component FROM p""")
+@query(G + """, b AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges UNION SELECT DISTINCT target_id, source_id FROM edges),
+cc(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
+  SELECT n.id, n.component FROM (SELECT b.b AS id, min(c.component) AS component FROM cc c JOIN b ON b.a = c.id GROUP BY b.b) n JOIN recurring.cc o ON o.id = n.id WHERE n.component < o.component)
+SELECT id, component FROM cc""")
 def connected_components(spark, sf_dir):
-    return graph.components(*small(spark, sf_dir))
+    return graph.components(*whole(spark, sf_dir))
 
 
-PR = SMALL + """, p AS (SELECT DISTINCT source_id AS a, target_id AS b FROM se), o AS (SELECT a, count(*) AS n FROM p GROUP BY a), c AS (SELECT count(*) AS n FROM sn),
-r0 AS (SELECT id, 1.0 / c.n AS r FROM sn, c)"""
+PR = G + """, p AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges), o AS (SELECT a, count(*) AS n FROM p GROUP BY a), c AS (SELECT count(*) AS n FROM nodes),
+r0 AS (SELECT id, 1.0 / c.n AS r FROM nodes, c)"""
 for _i in range(1, 6):
-    PR += f""", r{_i} AS (SELECT sn.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS r FROM sn CROSS JOIN c
+    PR += f""", r{_i} AS (SELECT nodes.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS r FROM nodes CROSS JOIN c
   CROSS JOIN (SELECT coalesce(sum(r), 0) AS lost FROM r{_i - 1} WHERE id NOT IN (SELECT a FROM o)) l
-  LEFT JOIN (SELECT p.b, sum(r / o.n) AS got FROM p JOIN r{_i - 1} q ON q.id = p.a JOIN o ON o.a = p.a GROUP BY p.b) g ON g.b = sn.id)"""
+  LEFT JOIN (SELECT p.b, sum(r / o.n) AS got FROM p JOIN r{_i - 1} q ON q.id = p.a JOIN o ON o.a = p.a GROUP BY p.b) g ON g.b = nodes.id)"""
 
 
 @query(PR + " SELECT id, round(r, 9) AS rank FROM r5")
 def pagerank_fixed_iter(spark, sf_dir):
-    return graph.pagerank(*small(spark, sf_dir), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(*whole(spark, sf_dir), rounds=5).select("id", F.round("rank", 9).alias("rank"))
 
 
-PATHS = G + """, s AS (SELECT * FROM edges WHERE relation <> 'CONTAINS'),
-p AS (SELECT a.source_id || ' -> ' || a.target_id AS path, 1 AS n, a.weight AS w FROM s a WHERE a.source_id LIKE 'c:%'
+PATHS = G + """, s AS (SELECT * FROM edges), p AS (SELECT a.source_id || ' -> ' || a.target_id AS path, 1 AS n, a.weight AS w FROM s a WHERE a.source_id LIKE 'c:%'
       UNION ALL SELECT a.source_id || ' -> ' || a.target_id || ' -> ' || b.target_id, 2, a.weight + b.weight FROM s a JOIN s b ON b.source_id = a.target_id WHERE a.source_id LIKE 'c:%') """
 
 
 @query(PATHS + "SELECT n::INT AS n_edges, count(*) AS n_paths, round(sum(w), 3) AS weight, min(path) AS first_path, max(path) AS last_path FROM p GROUP BY n")
 def simple_paths(spark, sf_dir):
-    found = graph.simple_paths(edges(spark, sf_dir).where("relation <> 'CONTAINS'"), nodes(spark, sf_dir).where("type = 'PERSON'"), 2)
+    found = graph.simple_paths(edges(spark, sf_dir), nodes(spark, sf_dir).where("type = 'PERSON'"), 2)
     rows = found.select(F.size("relations").alias("n_edges"), F.array_join("path", " -> ").alias("path"), F.aggregate("weights", F.lit(0.0), lambda s, w: s + w).alias("w"))
     return rows.groupBy("n_edges").agg(F.count("*").alias("n_paths"), F.round(F.sum("w"), 3).alias("weight"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
@@ -195,51 +216,51 @@ def dpo_pairs(spark, sf_dir):
     return training.dpo_pairs(graph.simple_paths(e, n.where("type = 'PERSON'"), 2, 2), n, bad=0.45)
 
 
-@query(SMALL + """, x AS (SELECT id FROM (SELECT source_id AS id FROM se UNION ALL SELECT target_id FROM se) GROUP BY id HAVING count(*) >= 2),
-l AS (SELECT source_id, target_id, a.label || ' (' || a.type || ') --[' || relation || ']--> ' || b.label || ' (' || b.type || ')' AS line FROM se JOIN sn a ON a.id = source_id JOIN sn b ON b.id = target_id)
+@query(G + """, x AS (SELECT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id HAVING count(*) >= 2),
+l AS (SELECT source_id, target_id, a.label || ' (' || a.type || ') --[' || relation || ']--> ' || b.label || ' (' || b.type || ')' AS line FROM edges JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id)
 SELECT source_id AS id, line FROM l WHERE source_id IN (SELECT id FROM x) UNION ALL SELECT target_id, line FROM l WHERE target_id IN (SELECT id FROM x)""")
 def factual_facts(spark, sf_dir):
-    return training.fact_lines(*small(spark, sf_dir))
+    return training.fact_lines(*whole(spark, sf_dir))
 
 
-@query(SMALL + """SELECT a.agent_id, a.id AS id, count(e.id) AS n_edges FROM sn a LEFT JOIN se e ON e.source_id = a.id AND e.target_id IN (SELECT id FROM sn WHERE type = 'LOCATION')
+@query(G + """SELECT a.agent_id, a.id AS id, count(e.id) AS n_edges FROM nodes a LEFT JOIN edges e ON e.source_id = a.id AND e.target_id IN (SELECT id FROM nodes WHERE type = 'LOCATION')
 WHERE a.type IN ('PERSON', 'LOCATION') GROUP BY 1, 2""")
 def scope_filter(spark, sf_dir):
-    n, e = small(spark, sf_dir)
+    n, e = whole(spark, sf_dir)
     n, e = graph.scoped(n, e, ["person", "Location"], ["located_in", "part_of"])
     return n.join(e.select(F.col("id").alias("edge"), "source_id"), F.col("id") == F.col("source_id"), "left").groupBy("agent_id", "id").agg(F.count("edge").alias("n_edges"))
 
 
-@query(SMALL + """, new AS (SELECT replace(id, 'c:', 'c:1') AS id, 'new ' || label AS label, '{"v": 2}' AS properties, agent_id, type FROM sn WHERE type = 'PERSON' AND retrieval_count = 3)
+@query(G + """, new AS (SELECT replace(id, 'c:', 'c:1') AS id, 'new ' || label AS label, '{"v": 2}' AS properties, agent_id, type FROM nodes WHERE type = 'PERSON' AND retrieval_count = 3)
 SELECT coalesce(o.id, n.id) AS id, coalesce(o.label, n.label) AS label, coalesce(n.properties, '{"v": 1}') AS properties, CASE WHEN o.id IS NULL THEN 'created' WHEN n.id IS NOT NULL THEN 'merged' ELSE 'kept' END AS action
-FROM (SELECT * FROM sn WHERE type = 'PERSON') o FULL JOIN new n ON n.id = o.id""")
+FROM (SELECT * FROM nodes WHERE type = 'PERSON') o FULL JOIN new n ON n.id = o.id""")
 def node_upsert(spark, sf_dir):
-    n = small(spark, sf_dir)[0].where("type = 'PERSON'")
+    n = nodes(spark, sf_dir).where("type = 'PERSON'")
     old = n.select("id", "label", "type", "agent_id", F.lit('{"v": 1}').alias("properties"))
     new = n.where("retrieval_count = 3").select(F.replace("id", F.lit("c:"), F.lit("c:1")).alias("id"), F.concat(F.lit("new "), "label").alias("label"), "type", "agent_id", F.lit('{"v": 2}').alias("properties"))
     return memory.upsert_nodes(old, new, F.lit("2024-02-01").cast("timestamp")).select("id", "label", "properties", "action")
 
 
-@query(SMALL + """, new AS (SELECT id || '!' AS id, source_id, CASE WHEN right(source_id, 1) = '7' THEN 'n:none' ELSE target_id END AS target_id, agent_id FROM se WHERE weight > 0.8)
-SELECT 'taken' AS state, count(*) AS n FROM new e WHERE EXISTS (SELECT 1 FROM sn WHERE id = source_id AND agent_id = e.agent_id) AND EXISTS (SELECT 1 FROM sn WHERE id = target_id AND agent_id = e.agent_id)
-UNION ALL SELECT 'left', count(*) FROM new e WHERE NOT (EXISTS (SELECT 1 FROM sn WHERE id = source_id AND agent_id = e.agent_id) AND EXISTS (SELECT 1 FROM sn WHERE id = target_id AND agent_id = e.agent_id))""")
+@query(G + """, new AS (SELECT id || '!' AS id, source_id, CASE WHEN right(source_id, 1) = '7' THEN 'n:none' ELSE target_id END AS target_id, agent_id FROM edges WHERE weight > 0.8)
+SELECT 'taken' AS state, count(*) AS n FROM new e WHERE EXISTS (SELECT 1 FROM nodes WHERE id = source_id AND agent_id = e.agent_id) AND EXISTS (SELECT 1 FROM nodes WHERE id = target_id AND agent_id = e.agent_id)
+UNION ALL SELECT 'left', count(*) FROM new e WHERE NOT (EXISTS (SELECT 1 FROM nodes WHERE id = source_id AND agent_id = e.agent_id) AND EXISTS (SELECT 1 FROM nodes WHERE id = target_id AND agent_id = e.agent_id))""")
 def edge_upsert(spark, sf_dir):
-    n, e = small(spark, sf_dir)
+    n, e = whole(spark, sf_dir)
     new = e.where("weight > 0.8").select(F.concat("id", F.lit("!")).alias("id"), "source_id", F.when(F.endswith("source_id", F.lit("7")), F.lit("n:none")).otherwise(F.col("target_id")).alias("target_id"), "relation", "weight", "agent_id")
     merged, bad = memory.upsert_edges(e, new, n)
     taken = merged.where(F.endswith("id", F.lit("!"))).agg(F.count("*").alias("n")).select(F.lit("taken").alias("state"), "n")
     return taken.unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("left").alias("state"), "n"))
 
 
-@query(SMALL + "SELECT id, label, energy FROM sn WHERE retrieval_count = 3")
+@query(G + "SELECT id, label, energy FROM nodes WHERE retrieval_count = 3")
 def node_versions(spark, sf_dir):
-    n, _ = small(spark, sf_dir)
+    n, _ = whole(spark, sf_dir)
     return memory.versions(n, n.where("retrieval_count = 3"), F.lit("2024-02-01").cast("timestamp")).select("id", "label", "energy")
 
 
-@query(SMALL + "SELECT (SELECT count(*) FROM sn WHERE id <> 'n:3') AS n_nodes, (SELECT count(*) FROM se WHERE 'n:3' NOT IN (source_id, target_id)) AS n_edges")
+@query(G + "SELECT (SELECT count(*) FROM nodes WHERE id <> 'n:3') AS n_nodes, (SELECT count(*) FROM edges WHERE 'n:3' NOT IN (source_id, target_id)) AS n_edges")
 def cascade_delete(spark, sf_dir):
-    n, e = memory.delete_nodes(*small(spark, sf_dir), small(spark, sf_dir)[0].where("id = 'n:3'"))
+    n, e = memory.delete_nodes(*whole(spark, sf_dir), whole(spark, sf_dir)[0].where("id = 'n:3'"))
     return n.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("n_edges")))
 
 
@@ -252,39 +273,63 @@ def tenant_delete(spark, sf_dir):
     return gone.agg(F.count("*").alias("n_nodes")).crossJoin(e.agg(F.count("*").alias("a"))).crossJoin(kept.agg(F.count("*").alias("b"))).select("n_nodes", (F.col("a") - F.col("b")).alias("n_edges"))
 
 
-@query(SMALL + """SELECT count(*) AS n_nodes, (SELECT count(*) FROM se) + (SELECT count(*) FROM sn) + 4 AS n_edges FROM (SELECT id FROM sn UNION ALL SELECT DISTINCT agent_id FROM sn)""")
+@query(G + """SELECT count(*) AS n_nodes, (SELECT count(*) FROM edges) + (SELECT count(*) FROM nodes) + 4 AS n_edges FROM (SELECT id FROM nodes UNION ALL SELECT DISTINCT agent_id FROM nodes)""")
 def multiverse_graph(spark, sf_dir):
-    n, e = small(spark, sf_dir)
+    n, e = whole(spark, sf_dir)
     hubs = n.select("agent_id", F.upper("agent_id").alias("name")).distinct()
     shares = hubs.where("agent_id <> 'agent0'").select(F.lit("agent0").alias("source"), F.col("agent_id").alias("target"))
     a, b = graph.multiverse(n, e, hubs, shares)
     return a.agg(F.count("*").alias("n_nodes")).crossJoin(b.agg(F.count("*").alias("n_edges")))
 
 
-@query(SMALL + """, c AS (SELECT id, CASE WHEN id LIKE 's:%' THEN 'n:0' ELSE id END AS t FROM sn), e AS (SELECT a.t AS s, b.t AS g, relation, max(weight) AS weight FROM se JOIN c a ON a.id = source_id JOIN c b ON b.id = target_id WHERE a.t <> b.t GROUP BY ALL)
+@query(G + """, c AS (SELECT id, CASE WHEN id LIKE 's:%' THEN 'n:0' ELSE id END AS t FROM nodes), e AS (SELECT a.t AS s, b.t AS g, relation, max(weight) AS weight FROM edges JOIN c a ON a.id = source_id JOIN c b ON b.id = target_id WHERE a.t <> b.t GROUP BY ALL)
 SELECT s AS source_id, g AS target_id, relation, weight FROM e""")
 def remapped_edges(spark, sf_dir):
-    n, e = small(spark, sf_dir)
+    n, e = whole(spark, sf_dir)
     canonical = n.where("id like 's:%'").select("id", F.lit("n:0").alias("canonical_id"))
     return memory.remap_edges(e, canonical).select("source_id", "target_id", "relation", "weight")
 
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(1 - levenshtein(lower(a.s_name), lower(b.s_name)) / greatest(length(a.s_name), length(b.s_name)), 6) AS similarity FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey WHERE levenshtein(lower(a.s_name), lower(b.s_name)) <= 0.15 * greatest(length(a.s_name), length(b.s_name))")
 def fuzzy_labels(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    a, b = s.select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_name").alias("an")), s.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("s_name").alias("bn"))
-    both = a.join(b, "s_nationkey").where("a < b").withColumn("similarity", F.round(similarity(F.col("an"), F.col("bn")), 6))
-    return both.where("similarity >= 0.85").select("a", "b", "similarity")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").cast("string").alias("agent_id"))
+    found = retrieval.fuzzy_pairs(s, s, "agent_id").where("id < match_id")
+    return found.select(F.col("id").alias("a"), F.col("match_id").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH k AS (SELECT p_partkey, lower(p_name) AS l, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS r FROM part)
-SELECT 'p:' || a.p_partkey AS id, 'p:' || b.p_partkey AS match_id, 1::INT AS stage FROM k a JOIN k b ON b.l = a.l AND b.r = 1""")
-def entity_resolve(spark, sf_dir):
-    from loomspark.operators.retrieval import resolve
+RESOLVE = f"""WITH {VECTORS}, k AS (SELECT *, 'entity ' || substr(md5(id::VARCHAR), 1, 12) AS label FROM vecs),
+x AS (SELECT a.id, a.agent_id, b.id AS m, list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / (a.norm * b.norm) AS s FROM k a JOIN k b ON b.agent_id = a.agent_id WHERE a.id % 4 = 3 AND a.id % 20 <> 19),
+y AS (SELECT id, m, row_number() OVER (PARTITION BY id ORDER BY s DESC, m) AS r FROM x WHERE s >= 0.9) """
 
-    n = nodes(spark, sf_dir).where("type = 'PRODUCT'").select("id", "label", "type", F.lit("t").alias("agent_id"))
-    known = n.withColumn("ordinal", F.substring("id", 3, 20).cast("long")).withColumn("aliases", F.lit(None).cast("array<string>"))
-    return resolve(n, known)
+
+def _resolution(spark, sf_dir):
+    """Known entities of the vector table, and new ones that stand for them by label, alias, spelling or vector; some are facts."""
+    v = vector_nodes(spark, sf_dir)
+    md5 = lambda *c: F.substring(F.md5(F.concat(*c).cast("binary")), 1, 12)
+    key = F.col("id").cast("string")
+    known = v.select("id", F.concat(F.lit("entity "), md5(key)).alias("label"), F.lit("CONCEPT").alias("type"), "agent_id", F.col("id").alias("ordinal"), F.array(F.concat(F.lit("aka "), md5(F.lit("a"), key))).alias("aliases"), "embedding", F.lit('{"seen": "1"}').alias("properties"))
+    way = F.col("id") % 4
+    label = F.when(way == 0, F.upper("label")).when(way == 1, F.concat(F.lit("AKA "), md5(F.lit("a"), key))).when(way == 2, F.expr("left(label, length(label) - 1)")).otherwise(F.concat(F.lit("other "), md5(F.lit("z"), key)))
+    new = known.select(F.concat(F.lit("x"), key).alias("id"), label.alias("label"), F.when(F.col("id") % 20 == 19, "FACT").otherwise(F.col("type")).alias("type"), "agent_id", "embedding", F.concat(F.lit('{"from": "'), key, F.lit('"}')).alias("properties"))
+    return new, known
+
+
+@query(RESOLVE + "SELECT 'x' || id AS id, id AS match_id, CASE WHEN id % 4 < 2 THEN 1 ELSE 2 END::INT AS stage FROM k WHERE id % 4 < 3 UNION ALL SELECT 'x' || id, m, 3 FROM y WHERE r = 1")
+def entity_resolve(spark, sf_dir):
+    """Label, alias, spelling, vector: every rule fires."""
+    return retrieval.resolve(*_resolution(spark, sf_dir))
+
+
+@query(RESOLVE + """, w AS (SELECT id, id AS m FROM k WHERE id % 4 < 3 UNION ALL SELECT id, m FROM y WHERE r = 1)
+SELECT m AS id, count(*) AS n_merged, count(*) FILTER (WHERE w.id % 4 <> 0) + (max(CASE WHEN w.id % 4 = 1 THEN 0 ELSE 1 END)) AS n_aliases,
+       max('x' || w.id) AS last_from FROM w GROUP BY m""")
+def resolved_merge(spark, sf_dir):
+    """Bags and aliases of the known entities after resolution."""
+    new, known = _resolution(spark, sf_dir)
+    matches = graph.cut_lineage(retrieval.resolve(new, known))
+    merged = retrieval.merged_matches(new, known, matches)
+    n = matches.groupBy(F.col("match_id").alias("id")).agg(F.count("*").alias("n_merged"))
+    return merged.join(n, "id").select("id", "n_merged", F.size(F.array_distinct(F.transform("aliases", F.lower))).cast("long").alias("n_aliases"), F.concat(F.lit("x"), F.get_json_object("properties", "$.from")).alias("last_from"))
 
 
 @query(G + """, sc AS (SELECT n.id, n.label, coalesce(avg(e.weight), 1.0) * n.energy AS s FROM nodes n LEFT JOIN edges e ON e.source_id = n.id

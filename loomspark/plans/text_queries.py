@@ -16,16 +16,17 @@ COS = "list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / (a.no
 
 
 def _queries(n):
-    return n.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    """The stated query set: every vector whose id is divisible by 20."""
+    return n.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query(V + f", s AS (SELECT a.id AS query_id, b.id AS id, {COS} AS s FROM vecs a JOIN vecs b ON a.id < 5 AND b.agent_id = 'agent1') SELECT query_id, id, round(s, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) WHERE r <= 10")
+@query(V + f", s AS (SELECT a.id AS query_id, b.id AS id, {COS} AS s FROM vecs a JOIN vecs b ON a.id % 20 = 0 AND b.agent_id = 'agent1') SELECT query_id, id, round(s, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) WHERE r <= 10")
 def vector_topk(spark, sf_dir):
     n = vector_nodes(spark, sf_dir)
     return retrieval.vector_topk(n, _queries(n), 10, F.col("agent_id") == "agent1").withColumn("score", F.round("score", 6))
 
 
-@query(V + f", s AS (SELECT a.id AS query_id, b.id AS id, {COS} AS s FROM vecs a JOIN vecs b ON a.id < 5 AND coalesce(b.clearance, 1) <= 2) SELECT query_id, id, round(s, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) WHERE r <= 10")
+@query(V + f", s AS (SELECT a.id AS query_id, b.id AS id, {COS} AS s FROM vecs a JOIN vecs b ON a.id % 20 = 0 AND coalesce(b.clearance, 1) <= 2) SELECT query_id, id, round(s, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) WHERE r <= 10")
 def vector_topk_clearance(spark, sf_dir):
     n = vector_nodes(spark, sf_dir)
     return retrieval.vector_topk(n, _queries(n), 10, cleared(F.col("clearance"), 2)).withColumn("score", F.round("score", 6))
@@ -85,7 +86,7 @@ def mmr_select(spark, sf_dir):
     return retrieval.mmr(top.join(n.select("id", "embedding"), "id"))
 
 
-@query("SELECT 'fact:' || doc_id AS id, 'fact: ' || substr(replace(text, chr(10), ' '), 1, 200) || CASE WHEN length(text) > 200 THEN '…' ELSE '' END AS label, 'FACT' AS type FROM documents WHERE text IS NOT NULL")
+@query("SELECT 'fact:' || doc_id AS id, 'fact: ' || substr(replace(trim(text, ' '), chr(10), ' '), 1, 200) || CASE WHEN length(text) > 200 THEN '…' ELSE '' END AS label, 'FACT' AS type FROM documents WHERE regexp_matches(text, '\\S')")
 def fact_nodes(spark, sf_dir):
     return ingest.fact_nodes(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", "label", "type")
 
@@ -96,24 +97,42 @@ def chunk_documents(spark, sf_dir):
     return ingest.chunked(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("SELECT p_partkey, CASE upper(p_type) WHEN 'ECONOMY' THEN 'OTHER' ELSE 'OTHER' END AS type, CASE WHEN p_size % 3 = 0 THEN 'WORKS_AT' WHEN p_size % 3 = 1 THEN 'CREATED' ELSE 'RELATED_TO' END AS relation FROM part")
+def _values(pairs: dict[str, str]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in pairs.items())
+
+
+TYPED = {"startup": "ORGANIZATION", " City ": "LOCATION", "framework": "TECHNOLOGY", "PERSON": "PERSON", "Year": "DATE", "revenue": "METRIC", "book": "DOCUMENT", "theory": "CONCEPT", "Team": "TEAM", "gadget": "OTHER"}
+SAID = {
+    "employed_by": "WORKS_AT", "MANAGES": "LEADS", "was_founded_by": "FOUNDED_BY", "is_headquartered_in": "LOCATED_IN", "ARE_PART_OF": "PART_OF", "relies_on": "DEPENDS_ON", "is_ceo_of": "IS_CEO_OF",
+    "bought": "ACQUIRED", "LIKES": "RELATED_TO", "was_used": "USES", "": "RELATED_TO",
+}
+
+
+@query(f"""WITH t(raw, type) AS (VALUES {_values(TYPED)}), r(raw, relation) AS (VALUES {_values(SAID)}),
+a AS (SELECT *, row_number() OVER (ORDER BY raw) - 1 AS i FROM t), b AS (SELECT *, row_number() OVER (ORDER BY raw) - 1 AS i FROM r)
+SELECT p_partkey, type, relation FROM part JOIN a ON a.i = p_partkey % {len(TYPED)} JOIN b ON b.i = p_partkey % {len(SAID)}""")
 def type_normalise(spark, sf_dir):
-    raw = F.when(F.col("p_size") % 3 == 0, F.lit("is employed by")).when(F.col("p_size") % 3 == 1, F.lit(" was-built")).otherwise(F.lit("LIKES"))
-    return table(spark, sf_dir, "part").select("p_partkey", texts.node_type(F.col("p_type")).alias("type"), texts.relation_type(raw).alias("relation"))
+    """Every branch: known names, aliases, a leading copula, and what is not known."""
+    pick = lambda d, k: F.element_at(F.array(*[F.lit(x) for x in sorted(d)]), (k % len(d) + 1).cast("int"))
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", texts.node_type(pick(TYPED, k)).alias("type"), texts.relation_type(pick(SAID, k)).alias("relation"))
 
 
-QA = r"""WITH r AS (SELECT item_id, text AS gold, (SELECT b.text FROM benchmark b WHERE b.item_id = (a.item_id + 1) % 40) AS other FROM benchmark a WHERE item_id < 40),
-n AS (SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(CASE WHEN item_id % 4 = 0 THEN gold ELSE other || ' the ' || substr(gold, 1, 60) END), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS p,
+QA = r"""WITH c AS (SELECT count(*) AS n FROM benchmark), o AS (SELECT item_id, text AS gold, lead(text) OVER (ORDER BY item_id) AS after, first(text) OVER (ORDER BY item_id) AS top FROM benchmark),
+r AS (SELECT item_id, gold, coalesce(after, top) AS other FROM o),
+n AS (SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(CASE WHEN item_id % 4 = 0 THEN gold ELSE other || ' the ' || gold END), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS p,
        trim(regexp_replace(regexp_replace(regexp_replace(lower(gold), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS g FROM r),
-t AS (SELECT *, string_split(p, ' ') AS ps, string_split(g, ' ') AS gs FROM n), c AS (SELECT *, len(list_filter(ps, lambda x: list_contains(gs, x))) AS m FROM t)
-SELECT item_id, (p = g)::INT AS exact, round(CASE WHEN m = 0 THEN 0 ELSE 2.0::DOUBLE * (m / len(ps)) * (m / len(gs)) / (m / len(ps) + m / len(gs)) END, 6) AS f1 FROM c WHERE p IS NOT NULL"""
+t AS (SELECT *, string_split(p, ' ') AS ps, string_split(g, ' ') AS gs FROM n), c2 AS (SELECT *, len(list_filter(ps, lambda x: list_contains(gs, x))) AS m FROM t)
+SELECT item_id, (p = g)::INT AS exact, round(CASE WHEN m = 0 THEN 0 ELSE 2.0::DOUBLE * (m / len(ps)) * (m / len(gs)) / (m / len(ps) + m / len(gs)) END, 6) AS f1 FROM c2 WHERE p IS NOT NULL"""
 
 
 def _answers(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40")
-    other = b.select(F.pmod(F.col("item_id") + 39, F.lit(40)).alias("item_id"), F.col("text").alias("other"))
-    pred = F.when(F.col("item_id") % 4 == 0, F.col("text")).otherwise(F.concat("other", F.lit(" the "), F.substring("text", 1, 60)))
-    return b.join(other, "item_id").select("item_id", F.col("text").alias("gold"), pred.alias("pred"))
+    """Each benchmark text as gold, and as prediction itself or, behind the next one's, once more."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
+    ring = W.orderBy("item_id")  # a table of a few hundred tasks
+    b = b.withColumn("other", F.coalesce(F.lead("gold").over(ring), F.first("gold").over(ring)))
+    pred = F.when(F.col("item_id") % 4 == 0, F.col("gold")).otherwise(F.concat("other", F.lit(" the "), "gold"))
+    return b.select("item_id", "gold", pred.alias("pred"))
 
 
 @query(QA)
@@ -138,17 +157,19 @@ s AS (SELECT *, coalesce(sum(t) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED
 def budget_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", texts.token_estimate(F.col("text")).alias("t"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
     d = d.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    # Every row has a token at least, so no more rows than the budget can be taken.
-    first = d.orderBy("h", "doc_id").limit(20000)
-    return analytics.until_budget(first, "t", 20000, [F.col("h"), F.col("doc_id")]).select("doc_id", "before")
+    return analytics.until_budget(d, "t", 20000, [F.col("h"), F.col("doc_id")]).select("doc_id", "before")
 
 
-@query("""SELECT 'agent' || (doc_id % 5) AS agent_id, source AS label, '{"messages":[{"role":"user","content":"What do you know about ' || source || '?"},{"role":"assistant","content":' || to_json(substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 100))::VARCHAR || '}]}' AS line
-FROM documents WHERE trim(substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 100)) <> '' AND doc_id % 4 = 0""")
+@query("""WITH d AS (SELECT *, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS said FROM documents)
+SELECT 'agent' || (doc_id % 5) AS agent_id, coalesce(source, 'Unknown') AS label, md5('{"messages":[{"role":"user","content":"What do you know about ' || coalesce(source, 'Unknown') || '?"},{"role":"assistant","content":"'
+  || said || CASE WHEN lang <> said THEN ' ' || lang ELSE '' END || ' Also known as: ' || lang || ', d' || doc_id || '."}]}') AS line FROM d""")
 def chatml_export(spark, sf_dir):
+    """A question and an answer of description, source text and aliases for each document, as digests of the lines."""
     d = table(spark, sf_dir, "documents")
-    shown = F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 100)
-    return training.chatml(d.select(F.concat(F.lit("agent"), (F.col("doc_id") % 5).cast("string")).alias("agent_id"), F.col("source").alias("label"), shown.alias("description"), (F.col("doc_id") % 4).alias("clearance")))
+    rows = d.select(
+        F.concat(F.lit("agent"), (F.col("doc_id") % 5).cast("string")).alias("agent_id"), F.coalesce("source", F.lit("Unknown")).alias("label"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("description"),
+        F.col("lang").alias("source_text"), F.array("lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("aliases"), F.lit(0).alias("clearance"))
+    return training.chatml(rows).select("agent_id", "label", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
 @query("""WITH l AS (SELECT doc_id AS line_no, CASE doc_id % 4 WHEN 0 THEN '{"a": 1}' WHEN 1 THEN '[1]' WHEN 2 THEN 'no {' ELSE ' ' END AS value FROM documents)
@@ -159,18 +180,23 @@ def jsonl_validate(spark, sf_dir):
     return training.validated_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), value.alias("value")))
 
 
-@query(r"""SELECT doc_id, 'error at ' || source || ': Bearer *** and password=*** via db://u:***@h' AS shown FROM documents""")
+@query(r"""SELECT doc_id, 'error at ' || source || ': [REDACTED] and [REDACTED] or [REDACTED] via db[REDACTED]h' AS shown FROM documents""")
 def error_redaction(spark, sf_dir):
-    raw = F.concat(F.lit("error at "), "source", F.lit(": Bearer abc"), F.col("doc_id").cast("string"), F.lit(" and password=x"), F.col("doc_id").cast("string"), F.lit(" via db://u:pw@h"))
+    k = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("error at "), "source", F.lit(": Bearer a:b|c,"), k, F.lit(" and passwd=x;y&"), k, F.lit(" or Access-Key: z,"), k, F.lit(" via db://u:pw@h"))
     return table(spark, sf_dir, "documents").select("doc_id", texts.redacted(raw).alias("shown"))
 
 
-@query("""WITH n AS (SELECT source AS payload, doc_id AS ordinal, lang AS label FROM documents), f AS (SELECT payload, label, min(ordinal) AS ordinal FROM n GROUP BY 1, 2) SELECT payload, ordinal, label FROM f""")
+@query("""WITH n AS (SELECT source AS payload, doc_id AS ordinal, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS label FROM documents), f AS (SELECT payload, lower(label) AS l, min(ordinal) AS ordinal, arg_min(label, ordinal) AS label FROM n GROUP BY 1, 2),
+e AS (SELECT n.payload, a.label AS source, b.label AS target FROM n JOIN f a ON a.payload = n.payload AND a.l = lower(n.label) JOIN f b ON b.payload = n.payload AND b.l = 'en' WHERE EXISTS (SELECT 1 FROM n m WHERE m.payload = n.payload AND m.label = 'en') AND a.l <> 'en')
+SELECT 'node' AS kind, payload, label AS source, NULL AS target FROM f UNION ALL SELECT DISTINCT 'edge', payload, source, target FROM e""")
 def payload_merge(spark, sf_dir):
+    """Nodes of one label in any case become one, edges follow."""
     d = table(spark, sf_dir, "documents")
     n = d.select(F.col("source").alias("payload"), F.col("doc_id").alias("ordinal"), F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang")).alias("label"))
     e = n.select("payload", "ordinal", F.col("label").alias("source"), F.lit("en").alias("target"), F.lit("X").alias("relation"))
-    return ingest.merge_payload(n, e)[0].select("payload", "ordinal", F.lower("label").alias("label"))
+    kept, joined = ingest.merge_payload(n, e)
+    return kept.select(F.lit("node").alias("kind"), "payload", F.col("label").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(joined.select(F.lit("edge").alias("kind"), "payload", "source", "target"))
 
 
 @query("SELECT user_id % 3 AS agent_id, count(*) AS n FROM events GROUP BY 1")

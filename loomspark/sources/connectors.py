@@ -7,8 +7,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 WRITES = re.compile(r"\b(create|merge|delete|set|remove|detach|drop|insert|update|truncate|alter|replace|refresh|cache|load|grant|call)\b", re.I)
 
@@ -28,6 +29,19 @@ def keyset_page(rows: DataFrame, cursor: str, after, limit: int, content: list[s
     return found.select(F.substring(F.sha2(F.col(id_column).cast("string").cast("binary"), 256), 1, 32).alias("id"), F.col(cursor).alias("cursor"), F.concat_ws("\n", *[F.col(c).cast("string") for c in content]).alias("text"))
 
 
+def keyset_pages(rows: DataFrame, cursor: str, after, batch: int, content: list[str], id_column: str) -> Iterator[DataFrame]:  # noqa: ANN001
+    """Pages of at most `batch` rows until a short one; each begins behind the cursor of the one before, and is read once."""
+    while True:
+        page = keyset_page(rows, cursor, after, batch, content, id_column).persist()
+        n, last = page.agg(F.count("*"), F.max("cursor")).first()
+        if n:
+            yield page
+        page.unpersist()
+        if n < batch:
+            return
+        after = last
+
+
 def export_ndjson(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """section, value: typed JSON lines of nodes, then edges; write them with write.text by section."""
     line = lambda df, kind, n: df.select(F.lit(n).alias("section"), F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*df.columns).alias("data"))).alias("value"))
@@ -80,9 +94,18 @@ def parsed_text(name: str, kind: str | None, content: bytes) -> tuple[str | None
         parser = _Text()
         parser.feed(text)
         return "\n".join(parser.out), None
+    if kind == "text/markdown" or suffix in ("md", "markdown"):
+        return plain_markdown(text), None
     return text, None
 
 
+def plain_markdown(text: str) -> str:
+    """Markdown without fences, marks of headings, lists, quotes and emphasis; links and pictures keep their words."""
+    lines = [re.sub(r"^\s*(?:#{1,6}\s+|>\s?|[-*+]\s+|\d+[.)]\s+)", "", x) for x in text.splitlines() if not re.match(r"^\s*(?:```|~~~|[-*_]{3,}\s*$)", x)]
+    flat = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", "\n".join(lines))
+    return re.sub(r"(\*\*|__|\*|`)(?=\S)(.+?)(?<=\S)\1", r"\2", flat).strip()
+
+
 def uploads(files: DataFrame) -> DataFrame:
     """path, text, error of binary files (path, content), as spark.read.format('binaryFile') gives them; empty files are left out."""
 
@@ -92,3 +115,85 @@ def uploads(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "text": [t for t, _ in both], "error": [e for _, e in both]})
 
     return files.where(F.length("content") > 0).select("path", "content").mapInPandas(run, "path string, text string, error string").where("error is not null or trim(text) <> ''")
+
+
+def split_uploads(files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Texts (path, text) of files, and a dead letter (path, reason, failed_at) for each that could not be read."""
+    read = uploads(files)
+    return read.where("error is null").select("path", "text"), read.where("error is not null").select("path", F.col("error").alias("reason"), now.alias("failed_at"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a file of JSON lines; lines that are no object of the schema are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def listed(spark: SparkSession, text: str, schema: str) -> DataFrame:
+    """A small YAML list of mappings (a corpus or tasks) as rows; missing keys are null, other keys are left out."""
+    import yaml  # only here, so that nothing else needs it
+
+    kind = spark.createDataFrame([], schema).schema
+    rows = [x for x in yaml.safe_load(text) or [] if isinstance(x, dict)]
+    shown = lambda x: x if x is None or isinstance(x, (str, int, float, bool, list, dict)) else str(x)
+    return spark.createDataFrame([tuple(shown(r.get(f.name)) for f in kind.fields) for r in rows], kind)
+
+
+def kafka_source(servers: str, topic: str, rows: int = 100, start: str = "earliest") -> dict[str, str]:
+    """Options of spark.readStream.format('kafka') for micro-batches of at most so many messages; use trigger(processingTime='2 seconds')."""
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "maxOffsetsPerTrigger": str(rows), "startingOffsets": start, "failOnDataLoss": "false"}
+
+
+def kafka_range(servers: str, topic: str, start_ms: int, end_ms: int | None = None) -> dict[str, str]:
+    """Options of spark.read.format('kafka') for the messages of a span of time."""
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingTimestamp": str(start_ms)}
+    return out | ({"endingTimestamp": str(end_ms)} if end_ms is not None else {})
+
+
+def kafka_rows(rows: DataFrame, key: str = "agent_id") -> DataFrame:
+    """key, value for a Kafka sink: rows of one agent keep their order; the value is the row as JSON."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def kafka_sink(servers: str, topic: str) -> dict[str, str]:
+    """Options of writeStream.format('kafka') for an idempotent producer."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true"}
+
+
+class SqlPages(DataSource):
+    """A data source 'sql_pages': the rows of a query on a DB-API database, by keyset pages.
+
+    Options: module (sqlite3), database, query, cursor (an ascending column), batch, and after, a cursor to go on from.
+    Register it with spark.dataSource.register(SqlPages) and give the schema with the read.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sql_pages"
+
+    def reader(self, schema) -> SqlPagesReader:  # noqa: ANN001
+        return SqlPagesReader(schema.fieldNames(), dict(self.options))
+
+
+class SqlPagesReader(DataSourceReader):
+    def __init__(self, columns: list[str], options: dict[str, str]) -> None:
+        query, cursor = options["query"].strip().rstrip(";"), options["cursor"]
+        if not re.match(r"(select|with)\b", query, re.I) or ";" in query or WRITES.search(query) or not re.fullmatch(r"[A-Za-z_]\w*", cursor):
+            raise ValueError("only a reading query and a plain cursor column are allowed")
+        self.columns, self.options, self.query, self.cursor = columns, options, query, cursor
+
+    def read(self, partition) -> Iterator[tuple]:  # noqa: ANN001, ARG002
+        import importlib
+
+        connection = importlib.import_module(self.options.get("module", "sqlite3")).connect(self.options["database"])
+        batch, after = int(self.options.get("batch", "500")), self.options.get("after")
+        names = ", ".join(self.columns)
+        try:
+            while True:
+                where = "" if after is None else f" WHERE {self.cursor} > ?"
+                rows = connection.execute(f"SELECT {names}, {self.cursor} FROM ({self.query}) q{where} ORDER BY {self.cursor} LIMIT {batch}", () if after is None else (after,)).fetchall()
+                yield from (r[:-1] for r in rows)
+                if len(rows) < batch:
+                    return
+                after = rows[-1][-1]
+        finally:
+            connection.close()

@@ -62,6 +62,35 @@ def vector_nodes(spark: SparkSession, sf_dir: str, agents: int = 4) -> DataFrame
     )
 
 
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node for each document: id, label, type, agent_id, clearance, energy, retrieval_count, description, source_text, properties, created_at."""
+    k = F.col("doc_id")
+    bag = F.concat(
+        F.lit('{"temporal":"2024-01-'), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit('","n":'), F.col("n_chars").cast("string"), F.lit(',"lang":"'), F.col("lang"),
+        F.lit('","tags":["a"],"confidence":0.5,"note":null}'),
+    )
+    return table(spark, sf_dir, "documents").select(
+        k.alias("id"), F.concat(F.coalesce("source", F.lit("none")), F.lit(" "), k.cast("string")).alias("label"), F.upper("lang").alias("type"), F.concat(F.lit("agent"), (k % 5).cast("string")).alias("agent_id"),
+        F.when(k % 7 != 0, k % 5 + 1).alias("clearance"), (k * 7 % 101 / 100).alias("energy"), (k % 13).alias("retrieval_count"), F.col("text").alias("description"),
+        F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.concat(F.lit("said "), "lang")).alias("source_text"), bag.alias("properties"),
+        (F.lit("2024-01-31").cast("timestamp") - F.make_dt_interval(days=(k % 30).cast("int"))).alias("created_at"),
+    )
+
+
+def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each document to the first of its ten: id, source_id, target_id, relation, weight, agent_id."""
+    k = F.col("doc_id")
+    verb = F.element_at(F.array(F.lit("CITES"), F.lit("FOLLOWS"), F.lit("QUOTES")), (k % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").where("doc_id % 10 <> 0").select(
+        F.concat(k.cast("string"), F.lit(">")).alias("id"), k.alias("source_id"), (k - k % 10).alias("target_id"), verb.alias("relation"), (0.5 + k % 20 / 10).alias("weight"), F.concat(F.lit("agent"), (k % 5).cast("string")).alias("agent_id"))
+
+
+DOCS = """docs AS (
+  SELECT doc_id AS id, coalesce(source, 'none') || ' ' || doc_id AS label, upper(lang) AS type, 'agent' || (doc_id % 5) AS agent_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 5 + 1 END AS clearance,
+         (doc_id * 7 % 101) / 100.0::DOUBLE AS energy, doc_id % 13 AS retrieval_count, text AS description, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'said ' || lang END AS source_text,
+         '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS temporal, n_chars AS n, lang, TIMESTAMP '2024-01-31' - INTERVAL 1 DAY * (doc_id % 30) AS created_at FROM documents),
+links AS (SELECT doc_id || '>' AS id, doc_id AS source_id, doc_id - doc_id % 10 AS target_id, ['CITES', 'FOLLOWS', 'QUOTES'][doc_id % 3 + 1] AS relation, 0.5::DOUBLE + (doc_id % 20) / 10.0::DOUBLE AS weight,
+         'agent' || (doc_id % 5) AS agent_id FROM documents WHERE doc_id % 10 <> 0)"""
 NODES = """nodes AS (
   SELECT id, label, type, 'agent' || (k % 5) AS agent_id, (k * 7 % 101) / 100.0::DOUBLE AS energy, (k % 13)::BIGINT AS retrieval_count,
          CASE WHEN k % 11 <> 0 THEN k % 5 + 1 END::BIGINT AS clearance

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,22 +25,146 @@ def session_stream(events: DataFrame, gap: str = "1 hour", late: str = "10 minut
     return windows.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
-def limited(events: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """event_id, user_id, used, allowed: a sliding log per user in keyed state; denied requests are logged too."""
+def limited(events: DataFrame, limit: int = 60, seconds: int = 60, idle: int = 3600) -> DataFrame:
+    """event_id, user_id, used, allowed: a sliding log per user in keyed state; denied requests are logged too.
+
+    A user not heard of for `idle` seconds is forgotten. Within a batch events count in order of time; an event older
+    than the last one seen counts at that one's time.
+    """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        log = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"], kind="stable")
         used = []
-        for t in rows["t"]:
-            log = [x for x in log if x > t - seconds * 1_000_000]
+        for t in rows["t"].tolist():
+            now = max(t, log[-1]) if log else t
+            while log and log[0] <= now - seconds * 1_000_000:
+                log.popleft()
             used.append(len(log))
-            log.append(int(t))
-        state.update((log,))
+            log.append(now)
+        state.update((list(log),))
+        state.setTimeoutDuration(idle * 1000)
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "used": used, "allowed": [u < limit for u in used]})
 
     timed = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return timed.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, used long, allowed boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("user_id").applyInPandasWithState(decide, "event_id long, user_id long, used long, allowed boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def leases(claims: DataFrame, seconds: int = 60) -> DataFrame:
+    """claim_id, node_id, agent_id, granted: an exclusive lease of a node for so many seconds of event time; its holder may renew it.
+
+    claims (claim_id, node_id, agent_id, ts). The state of a node goes once its lease is long over.
+    """
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        holder, until = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["t", "claim_id"], kind="stable")
+        granted = []
+        for agent, t in zip(rows["agent_id"], rows["t"].tolist(), strict=True):
+            free = holder is None or until <= t or holder == agent
+            granted.append(free)
+            if free:
+                holder, until = agent, t + seconds * 1_000_000
+        state.update((holder, until))
+        state.setTimeoutDuration(10 * seconds * 1000)
+        yield pd.DataFrame({"claim_id": rows["claim_id"], "node_id": key[0], "agent_id": rows["agent_id"], "granted": granted})
+
+    timed = claims.select("claim_id", "node_id", "agent_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return timed.groupBy("node_id").applyInPandasWithState(decide, "claim_id long, node_id long, agent_id string, granted boolean", "holder string, until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def sessions_memory(turns: DataFrame, most: int = 6, ttl: int = 3600) -> DataFrame:
+    """session_id, turns: the last turns of each session after a batch, kept for so many seconds after the last one.
+
+    turns (session_id, turn, role, text). A session that has run out begins anew.
+    """
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        had = list(zip(*state.get, strict=True)) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
+        had = (had + list(zip(rows["turn"].tolist(), (rows["role"] + ": " + rows["text"]).tolist(), strict=True)))
+        had = sorted(dict(had).items())[-most:]
+        state.update(([n for n, _ in had], [t for _, t in had]))
+        state.setTimeoutDuration(ttl * 1000)
+        yield pd.DataFrame({"session_id": [key[0]], "turns": ["\n".join(t for _, t in had)]})
+
+    return turns.groupBy("session_id").applyInPandasWithState(keep, "session_id long, turns string", "turn array<long>, text array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def consumer_log(entries: DataFrame, idle: int = 60) -> DataFrame:
+    """entry_id, action: deliver for a new entry, done for its acknowledgement, redeliver when none came for `idle` seconds, dropped if it is malformed.
+
+    entries (entry_id, kind: added or acked, body) are a log; an entry that is delivered twice is delivered once.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            if state.get[0] == "pending":
+                state.setTimeoutDuration(idle * 1000)
+                yield pd.DataFrame({"entry_id": [key[0]], "action": ["redeliver"]})
+            else:
+                state.remove()
+            return
+        status, out = (state.get[0] if state.exists else None), []
+        rows = pd.concat(list(batches))
+        for kind, body in zip(rows["kind"], rows["body"], strict=True):
+            if kind == "acked" and status == "pending":
+                status, _ = "done", out.append("done")
+            elif kind == "added" and status is None:
+                good = isinstance(body, str) and body.lstrip().startswith("{")
+                status = "pending" if good else "done"
+                out.append("deliver" if good else "dropped")
+        if status:
+            state.update((status,))
+            state.setTimeoutDuration(idle * 1000)
+        yield pd.DataFrame({"entry_id": [key[0]] * len(out), "action": out})
+
+    rows = entries.select("entry_id", "kind", "body")
+    return rows.groupBy("entry_id").applyInPandasWithState(follow, "entry_id long, action string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def dead_letters(dead: DataFrame, topic: str, now: Column) -> DataFrame:
+    """key, value, headers (seven names and texts) of messages (message_id, agent_id, body, reason, attempts, source) for a dead-letter sink."""
+    named = {"original_topic": F.lit(topic), "message_id": F.col("message_id"), "agent_id": F.col("agent_id"), "reason": F.col("reason"), "attempts": F.col("attempts"), "source": F.col("source"), "failed_at": now}
+    headers = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(v.cast("string"), F.lit("")).alias("value")) for k, v in named.items()])
+    return dead.select(F.col("agent_id").cast("string").alias("key"), F.col("body").alias("value"), headers.alias("headers"))
+
+
+def retried(send: Callable[[], None], attempts: int = 5, first: float = 0.5, wait: Callable[[float], None] = time.sleep) -> int:
+    """Call send until it succeeds, waiting twice as long each time; the last failure is raised. Returns the number of calls."""
+    for n in range(1, attempts + 1):
+        try:
+            send()
+        except Exception:
+            if n == attempts:
+                raise
+            wait(first * 2 ** (n - 1))
+        else:
+            return n
+    return attempts
+
+
+def tenant_batches(read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], merge: Callable[[DataFrame, DataFrame], DataFrame], reject: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes all good payloads of a batch at once, each row under its own agent_id; rows without one are rejected.
+
+    If the write fails the batch fails, so nothing is committed and it is delivered again.
+    """
+    inner = upsert_sink(read, write, merge)
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        reject(rows.where("agent_id is null or id is null"), epoch)
+        inner(rows.where("agent_id is not null and id is not null"), epoch)
+
+    return batch
 
 
 def triage(messages: DataFrame, failed: Column, fatal: Column, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
