@@ -160,7 +160,7 @@ def json_objects(text: Column) -> Column:
     found = F.try_parse_json(json_array_text(text))
     members = F.try_variant_get(found, "$", "array<variant>")
     objects = F.filter(members, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
-    return F.coalesce(F.transform(objects, F.to_json), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(objects, lambda v: F.to_json(v)), F.array().cast("array<string>"))
 
 
 def sub_questions(answer: Column, question: Column, most: int = 5) -> Column:

@@ -148,7 +148,7 @@ def subgraph_lines(nodes: DataFrame, edges: DataFrame, most: int = CONTEXT_NODES
     names = nodes.select(F.col("id").alias("target_id"), F.col("label").alias("_to"))
     heavy = F.row_number().over(W.partitionBy("source_id").orderBy(F.desc(F.coalesce("weight", F.lit(1.0))), "id"))
     kept = edges.withColumn("_r", heavy).where(F.col("_r") <= per_node).join(names, "target_id", "left")
-    said = F.struct("_r", F.concat("relation", F.lit(" → "), F.coalesce("_to", "target_id")).alias("s"))
+    said = F.struct("_r", F.concat("relation", F.lit(" → "), F.coalesce(F.col("_to"), F.col("target_id").cast("string"))).alias("s"))
     rels = kept.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["s"]), "; ").alias("_rels"))
     order = [F.desc(F.coalesce("score", F.lit(0.0))), F.col("ordinal")]
     top = nodes.orderBy(*order).limit(most).join(rels, "id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.plans import access_queries, catalog, event_queries, graph_queries, text_queries  # noqa: F401  they register themselves
+from loomspark.plans import access_queries, catalog, context_queries, event_queries, graph_queries, stream_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

@@ -15,13 +15,15 @@ from pyspark.sql.window import Window as W
 
 def hourly_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """start, user_id, n, total per hour of event time; later events than `late` are dropped."""
-    windows = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "user_id")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = timed.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "user_id")
     return windows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "user_id", "n", "total")
 
 
 def session_stream(events: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, end, user_id, n of sessions that a gap ends."""
-    windows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = timed.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return windows.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
