@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -227,7 +228,7 @@ def common_run(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _common_runs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_run(list(x), list(y)) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="Int64")
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -207,7 +208,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
     return ranks.select("id", "rank")
 
 
-@F.udtf(returnType="start string, finish string, n_edges int, relations string")
+@F.udtf(returnType=T.StructType([T.StructField(n, T.IntegerType() if n == "n_edges" else T.StringType()) for n in ("start", "finish", "n_edges", "relations")]))
 class SubPaths:
     """A table function: every part of a path (node ids, relations) that has an edge, as SELECT ... FROM sub_paths(path, relations)."""
 
