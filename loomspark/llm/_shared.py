@@ -51,6 +51,13 @@ def staged_now() -> list[str]:
     return list(_staged)
 
 
+def stage_over(df: DataFrame, name: str, since: Sequence[str]) -> DataFrame:
+    """Stage df and delete what was staged after `since`: nothing but df may need it any more."""
+    out = stage(df, name)
+    release(df.sparkSession, [x for x in _staged[:-1] if x not in since])
+    return out
+
+
 def release(spark: SparkSession, paths: Sequence[str] | None = None) -> None:
     """Delete staged tables (all without paths); do so once what reads them has been written."""
     for x in list(_staged if paths is None else paths):
