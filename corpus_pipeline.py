@@ -7,25 +7,23 @@ when the next begins, as their readers have been written by then.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, jaccard, language, mixing, suffixes
-from loomspark.llm._shared import checked, free_name, release, shared_dir, stage, staged_now
+from loomspark.llm._shared import checked, free_name, release, stage, staged_now
 
-_left: list[str] = []
+_left: dict[str, list[str]] = {}  # by sf_dir, the tables that a stage's result still reads
 
 
 def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, [x for x in _left if x in staged_now()])
-        _left.clear()
+        release(spark, [x for x in _left.pop(sf_dir, []) if x in staged_now()])
         before = staged_now()
         out = work(docs)
-        _left.extend(x for x in staged_now() if x not in before)
+        _left[sf_dir] = [x for x in staged_now() if x not in before]
         return out
 
     return run_stage
@@ -101,11 +99,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; all but the last are written into the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; all but the last are written into the shared folder and read again.
+
+    A stage's table goes when the next one is written, the last one's when the process ends.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, work in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        out = work(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = stage(work(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        release(spark, before)
+        before = staged_now()[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
