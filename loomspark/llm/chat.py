@@ -112,7 +112,9 @@ def read_back(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Return conv, n_turns, turns (role, newline, text, newline each), loss, formatted_chars from formatted windows.
 
     A conversation is gathered within its block; only those of several blocks, whose result is one long text by
-    the nature of the digest, are gathered once more.
+    the nature of the digest, are gathered once more. A null id is a conversation of its own, null roles and texts
+    come back as empty ones, repeated rows as often as they were written; no windows give no rows. Other columns are
+    ignored.
     """
     roles = F.regexp_extract_all("text", F.lit(TURN), F.lit(1))
     texts = F.regexp_extract_all("text", F.lit(TURN), F.lit(2))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._shared import prefix_sums, read, stage
+from loomspark.llm._shared import free_name, prefix_sums, read, stage
 
 OVERHEAD = 16  # bytes that a record takes besides its text
 
@@ -51,14 +51,16 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text"
 def write_shards(docs: DataFrame, path: str, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the rows of docs as Parquet under path, one folder shard=k each, and return the assignment.
 
-    Rows find their shard by key and text, so keys should be unique; rows repeated whole are written as often as
-    they stand in docs.
+    All columns stay; where docs has a column shard the folder's is _shard, and so on. Rows find their shard by key
+    and text, so keys should be unique; null keys and texts count like any other, and rows repeated whole are
+    written as often as they stand in docs. An empty table writes none.
     """
     where = stage(assign(docs, shards, key, text), "op4-assigned")
-    same = F.struct(F.col(key).alias("k"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("c"))
-    to = where.groupBy(F.struct(F.col(key).alias("k"), F.col("text_crc32").alias("c")).alias("_same")).agg(F.min("shard").alias("shard"))
-    kept = docs.drop("shard").withColumn("_same", same)
-    kept.join(to, kept["_same"].eqNullSafe(to["_same"])).drop("_same").write.partitionBy("shard").parquet(path)
+    same, folder = free_name(docs, "_same"), free_name(docs, "shard")
+    told = F.struct(F.col(key).alias("k"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("c"))
+    to = where.groupBy(F.struct(F.col(key).alias("k"), F.col("text_crc32").alias("c")).alias(same)).agg(F.min("shard").alias(folder))
+    rows = docs.withColumn(f"{same}0", told)
+    rows.join(to, F.col(f"{same}0").eqNullSafe(F.col(same))).drop(f"{same}0", same).write.partitionBy(folder).parquet(path)
     return where
 
 

@@ -39,7 +39,7 @@ def odd(spark):
     rows = [(i, t, ("en", None, "de")[i % 3], (None, "s", "t", "")[i % 4], 0) for i, t in enumerate(texts)]
     rows += [rows[5], rows[3], (None, "a null key", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit(7) for c in ("_key", "size", "shard", "_h", "rep", "n", "spans", "_text")})
+    return df.withColumns({c: F.lit(7) for c in ("_key", "size", "shard", "_h", "rep", "n", "spans", "_text", "_bad", "_gone", "_again", "_had", "_node", "_row", "doc", "th", "_same", "_doc")})
 
 
 @pytest.fixture(scope="module")
@@ -139,6 +139,57 @@ def test_unknown_languages_and_junk_are_rejected(spark):
     assert all(got[i].confidence < 0.5 and got[i].language is not None for i in range(len(junk)))
 
 
+def brute_identify(rows, model, least=0.5):
+    """key, language, confidence, kept of rows (key, text, declared, host, suffix), row by row with floats."""
+    import math
+
+    langs, table = model
+    sums, sizes = language.likelihoods([t or "" for _, t, *_ in rows], table)
+    posts, others = [], []
+    for ll, n in zip(sums, sizes, strict=True):
+        other = math.log(language.UNKNOWN) - math.log(language.CELLS) * min(n, language.EVIDENCE) if n else -math.inf
+        top = max(max(ll), other)
+        total = sum(math.exp(x - top) for x in [*ll, other])
+        posts.append([math.exp(x - top) / total if n else 0.0 for x in ll])
+        others.append(other)
+    whole = np.sum(posts, axis=0)
+    wide = (whole + 1) / (whole.sum() + len(langs))
+    by = [{}, {}, {}]
+    for row, p in zip(rows, posts, strict=True):
+        for sums_by, v in zip(by, row[2:], strict=True):
+            sums_by[v] = sums_by.get(v, 0) + np.array(p)
+    out = []
+    for row, p, ll, n, other in zip(rows, posts, sums, sizes, others, strict=True):
+        p = np.array(p)
+        d, h, x = (sums_by[v] - p for sums_by, v in zip(by, row[2:], strict=True))
+        by_suffix = (np.maximum(x, 0) + language.STRENGTH * wide) / (max(x.sum(), 0) + language.STRENGTH)
+        by_host = (np.maximum(h, 0) + language.STRENGTH * by_suffix) / (max(h.sum(), 0) + language.STRENGTH)
+        score = (ll if n else 0) + np.log(by_host) + np.log((np.maximum(d, 0) + 1) / (whole - p + 2))
+        best, ref = score.max(), max(score.max(), other)
+        sure = math.exp(best - ref) / (np.exp(score - ref).sum() + math.exp(other - ref))
+        out.append((row[0], langs[int(score.argmax())], sure, bool(n and sure >= least)))
+    return out
+
+
+def test_fusion_brute_force(spark, odd):
+    from urllib.parse import urlparse
+
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    tree = html_text.grow(html_text.labelled_table())
+    pages = [(r.page_id, html_text.main_text(r.html, tree), (re.search(r"<html[^>]*\slang=\"?([a-z]+)", r.html) or ["", ""])[1], urlparse(r.url).hostname) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    want = brute_identify([(k, t, d, h, h.rsplit(".", 1)[-1]) for k, t, d, h in pages], model)
+    got = {r.page_id: r for r in language.page_languages(spark, SF).collect()}
+    assert len(got) == len(want) and len({h for *_, h in pages}) > 1
+    rows = [(r.doc_id, r.text, (r.lang or "").lower(), (r.source or "").lower(), "") for r in docs.collect()]
+    rest = brute_identify(rows, model)
+    for found, brute in ((got, want), ({r.doc_id: r for r in language.identify_documents(docs).collect()}, rest)):
+        for k, lang, sure, kept in brute:
+            assert (found[k].language, found[k].kept) == (lang, kept) and found[k].confidence == pytest.approx(sure, abs=2e-6)
+
+
 def test_language_on_odd_rows(odd, plain, empty):
     assert language.identify_documents(odd).count() == len(plain) and language.identify_documents(empty).count() == 0
     kept = language.accept(odd, language.identify_documents(odd))
@@ -185,9 +236,35 @@ def test_shards_on_odd_rows(odd, plain, empty, spark):
     assert (copies[copies["size"] < 0.05 * sizes.mean()]["shard"] == 1).all()
 
 
+def test_shards_brute_force(spark):
+    import xxhash
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs += [(10_000 + i, docs[3][1]) for i in range(9)] + [(20_000, None), (20_001, "")]
+    shards = 7
+    rows = sorted((int.from_bytes(xxhash.xxh64(((t or "").encode()), seed=42).digest(), "big", signed=True), k, len((t or "").encode()) + 16) for k, t in docs)
+    total, at, own = sum(n for *_, n in rows), 0, []
+    place = lambda twice: min(twice * shards // (2 * total), shards - 1)
+    for g, k, n in rows:
+        own.append([g, k, place(2 * at + n), at, n])
+        at += n
+    groups = {}
+    for g, k, shard, start, n in own:
+        groups.setdefault(g, []).append((shard, start, n))
+    whole = {g: place(2 * x[0][1] + sum(n for *_, n in x)) for g, x in groups.items() if x[0][0] < x[-1][0] and sum(n for *_, n in x) <= 0.05 * total / shards}
+    want, seen = {}, Counter()
+    for g, k, shard, *_ in own:
+        shard = whole.get(g, shard)
+        want[k] = (shard, seen[shard])
+        seen[shard] += 1
+    got = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), shards).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
 def test_written_shards_hold_all_rows(spark, odd, tmp_path):
     sharding.write_shards(odd, f"file://{tmp_path}/s", 4)
-    assert spark.read.parquet(f"file://{tmp_path}/s").count() == odd.count()
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert back.count() == odd.count() and set(back.columns) == set(odd.columns) | {"_shard"} and back.where("shard <> 7 or _same <> 7").count() == 0
 
 
 # 5 fingerprints
@@ -594,6 +671,15 @@ def test_pipeline_stages(spark):
         assert list(r.ids) == lib.encode(text[r.doc_id], add_special_tokens=False).ids
 
 
+def test_stages_on_odd_rows(spark, odd, empty):
+    for name, work in corpus_pipeline.STAGES[:-1]:
+        out = work(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert all(r["_had"] == 7 and r["_bad"] == 7 and r["doc"] == 7 for r in rows), name
+        assert work(spark, empty, SF).count() == 0, name
+
+
 def test_pipeline_keeps_texts_that_share_an_id(spark):
     rng = random.Random(12)
     text = lambda: " ".join(f"w{rng.randrange(9**6)}" for _ in range(80))
