@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, language, mixing, neighbours, sharding, suffixes
+from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, language, mixing, neighbours, resampling, sharding, suffixes
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op6_suffix_dedup": suffixes.op6_suffix_dedup,
         "op9_nearest_vectors": neighbours.op9_nearest_vectors,
         "op2_language_id": language.op2_language_id,
+        "op11_importance_resample": resampling.op11_importance_resample,
         "pages_language": language.page_languages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE, "op6_suffix_dedup": suffixes.ORACLE, "op8_jaccard_join": jaccard.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE, "op6_suffix_dedup": suffixes.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op11_importance_resample": resampling.ORACLE}
