@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, language, mixing, neighbours, prefix_trie, resampling, sharding, suffixes
+from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, language, mixing, neighbours, prefix_trie, resampling, sharding, suffixes, topk
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op2_language_id": language.op2_language_id,
         "op11_importance_resample": resampling.op11_importance_resample,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_exact_topk": topk.op13_exact_topk,
         "pages_language": language.page_languages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE, "op6_suffix_dedup": suffixes.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op11_importance_resample": resampling.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_format_chats": chat.ORACLE, "op6_suffix_dedup": suffixes.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op11_importance_resample": resampling.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_exact_topk": topk.ORACLE}
