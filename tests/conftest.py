@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -35,7 +36,7 @@ def duck():
 
 
 def _shown(x):
-    if x is None or isinstance(x, float) and x != x:
+    if x is None or x is pd.NA or isinstance(x, float) and x != x:
         return "NULL"
     if isinstance(x, float):
         return f"{x:.6f}"
@@ -44,6 +45,9 @@ def _shown(x):
 
 def same_rows(df, sql_frame):
     assert sorted(df.columns) == sorted(sql_frame.columns)
+    for c in df.columns:  # whole numbers beside nulls
+        if pd.api.types.is_float_dtype(df[c]) and pd.api.types.is_integer_dtype(sql_frame[c]):
+            df[c] = df[c].astype("Int64")
     frames = [sorted(tuple(_shown(x) for x in row) for row in f[sorted(f.columns)].itertuples(index=False)) for f in (df, sql_frame)]
     assert frames[0] == frames[1]
 
