@@ -32,8 +32,12 @@ def flattened(properties: Column) -> Column:
 
 
 def merged(old: Column, new: Column) -> Column:
-    """One bag of both, the new values first in rank; as JSON text."""
-    a, b = flattened(old), flattened(new)
+    """One bag of both as JSON text, the values of new first in rank; numbers, booleans, lists, objects and nulls stay what they are.
+
+    What is no object counts as an empty one.
+    """
+    of = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    a, b = of(old), of(new)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
 
 

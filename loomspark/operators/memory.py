@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomspark.operators.graph import cut_lineage
+
 
 def upsert_nodes(old: DataFrame, new: DataFrame, at: Column, keep: Sequence[str] = ("label", "type", "agent_id"), fill: Sequence[str] = ("embedding", "description", "source_text"), replace: Sequence[str] = ("properties",)) -> DataFrame:
     """old with new merged by id, and the column action (created, merged, kept).
@@ -32,14 +34,30 @@ def upsert_nodes(old: DataFrame, new: DataFrame, at: Column, keep: Sequence[str]
     return both.select(*out, action.alias("action"))
 
 
-def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """old with the new edges whose ends are nodes of the edge's tenant; and the edges that were not taken."""
+def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """old with the new edges whose ends are nodes of the edge's tenant; and the edges that were not taken.
+
+    An edge (id and ends) that is there already keeps relation, weight and all else, and takes only the new properties
+    and `at` as updated_at, where old has these columns. Of several new rows of one edge the first by `ordinal` (or,
+    without it, by their values) makes it and the last one's properties count.
+    """
+    keys = ["id", "source_id", "target_id", "agent_id"]
     ids = nodes.select("id", "agent_id")
     a, b = ids.select(F.col("id").alias("source_id"), "agent_id"), ids.select(F.col("id").alias("target_id"), "agent_id")
     good = new.join(a, ["source_id", "agent_id"], "left_semi").join(b, ["target_id", "agent_id"], "left_semi")
-    bad = new.join(good.select("id"), "id", "left_anti")
-    merged = old.join(good.select("id"), "id", "left_anti").unionByName(good.select(*old.columns))
-    return merged, bad
+    bad = new.join(good.select(*keys).distinct(), keys, "left_anti")
+    order = F.struct("ordinal") if "ordinal" in new.columns else F.struct(*[c for c in new.columns if c not in keys])
+    rest = [c for c in new.columns if c not in (*keys, "ordinal")]
+    one = good.groupBy(*keys).agg(*[(F.max_by if c == "properties" else F.min_by)(F.struct(c), order)[c].alias(c) for c in rest], F.lit(True).alias("_new"))
+    known, told = F.col("a._old").isNotNull(), F.col("b._new").isNotNull()
+    out = []
+    for c in old.columns:
+        mine, yours = F.col(f"a.{c}"), F.col(f"b.{c}") if c in one.columns else F.lit(None).cast(old.schema[c].dataType)
+        value = F.coalesce(mine, yours) if c in keys else F.when(known, F.when(told, yours).otherwise(mine) if c == "properties" and c in rest else mine).otherwise(yours)
+        out.append((F.when(told, at).otherwise(value) if c == "updated_at" and at is not None else value).alias(c))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "agent_id" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
+    both = old.withColumn("_old", F.lit(True)).alias("a").join(one.alias("b"), same, "full")
+    return both.select(*out), bad
 
 
 def versions(old: DataFrame, new: DataFrame, at: Column) -> DataFrame:
@@ -81,10 +99,11 @@ def feedback(edges: DataFrame, ids: DataFrame, success: bool, step: float = 0.1,
 
 
 def activate(nodes: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
-    """Nodes, those of ids with full energy, one more retrieval and last_activated_at."""
+    """Nodes, those of ids with full energy, one more retrieval and `at` as last_activated_at; all others as they were."""
+    before = F.col("last_activated_at") if "last_activated_at" in nodes.columns else F.lit(None).cast("timestamp")
     hit = nodes.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     return hit.withColumn("energy", F.when(F.col("_hit"), F.lit(1.0)).otherwise(F.col("energy"))).withColumn(
-        "retrieval_count", F.col("retrieval_count") + F.coalesce(F.col("_hit").cast("long"), F.lit(0))).withColumn("last_activated_at", F.when(F.col("_hit"), at)).drop("_hit")
+        "retrieval_count", F.col("retrieval_count") + F.coalesce(F.col("_hit").cast("long"), F.lit(0))).withColumn("last_activated_at", F.when(F.col("_hit"), at).otherwise(before)).drop("_hit")
 
 
 def remap_edges(edges: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -97,15 +116,38 @@ def remap_edges(edges: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def fuse(pairs: DataFrame) -> DataFrame:
-    """id, canonical_id from pairs (keep_id, drop_id, similarity) of one tenant: each dropped node goes to the best node that stays.
+    """id, canonical_id from pairs (keep_id, drop_id) of near duplicates: where each dropped node ends up.
+
+    The rule is one pass over nodes by id: a node that is still there meets its greater partners that are still there,
+    by id; of each pair one is dropped, and the pass goes on with the next node once the node itself is. A node goes to
+    its keeper, and with it to the keeper's keeper.
 
-    A node that is itself dropped keeps no other, as in one pass by falling similarity; ties by id. A node whose only
-    keepers are dropped stays.
+    In each round those nodes take their turn of which no lesser node, still to come, shares a partner or a pair, so
+    turns of one round do not touch each other; most groups of duplicates need one or two rounds.
     """
-    dropped = pairs.select(F.col("drop_id").alias("keep_id")).distinct()
-    free = pairs.join(dropped, "keep_id", "left_anti")
-    best = W.partitionBy("drop_id").orderBy(F.desc("similarity"), "keep_id")
-    return free.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(F.col("drop_id").alias("id"), F.col("keep_id").alias("canonical_id"))
+    a, b = F.least("keep_id", "drop_id"), F.greatest("keep_id", "drop_id")
+    left = cut_lineage(pairs.where("keep_id <> drop_id").select(a.alias("a"), b.alias("b"), (F.col("keep_id") == a).alias("stays")).distinct())
+    done = None
+    while not left.isEmpty():
+        least = left.select(F.explode(F.array("a", "b")).alias("v"), "a").groupBy("v").agg(F.min("a").alias("low"))
+        near = left.join(least.select(F.col("v").alias("b"), F.col("low").alias("low_b")), "b").join(least.select(F.col("v").alias("a"), F.col("low").alias("low_a")), "a")
+        turns = near.groupBy("a").agg(F.bool_and((F.col("low_a") == F.col("a")) & (F.col("low_b") == F.col("a"))).alias("ready"), F.min(F.when(~F.col("stays"), F.col("b"))).alias("ends")).where("ready")
+        met = left.join(turns.select("a", "ends"), "a")
+        dropped = met.where("ends IS NULL OR b < ends").select(F.col("b").alias("id"), F.col("a").alias("to"))
+        dropped = cut_lineage(dropped.unionByName(turns.where("ends IS NOT NULL").select(F.col("a").alias("id"), F.col("ends").alias("to"))))
+        done = dropped if done is None else done.unionByName(dropped)
+        gone = dropped.select("id")
+        left = left.join(turns.select("a"), "a", "left_anti").join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
+        left = cut_lineage(left)
+    if done is None:
+        return left.select(F.col("b").alias("id"), F.col("a").alias("canonical_id"))
+    done = cut_lineage(done)
+    while True:  # keepers of keepers, half the way each time
+        onward = done.select(F.col("id").alias("to"), F.col("to").alias("_next"))
+        longer = cut_lineage(done.join(onward, "to", "left").select("id", "to", "_next"))
+        if longer.where("_next IS NOT NULL").isEmpty():
+            return done.select("id", F.col("to").alias("canonical_id"))
+        done = longer.select("id", F.coalesce("_next", "to").alias("to"))
 
 
 def claim_leases(claims: DataFrame, leases: DataFrame, now: Column, seconds: int = 60) -> DataFrame:

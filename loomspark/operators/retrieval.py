@@ -17,16 +17,10 @@ from pyspark.sql.window import Window as W
 
 from loomspark.functions.properties import merged
 from loomspark.operators.graph import cut_lineage
+from loomspark.operators.similarity import BLOCK_ROWS, unit
 
 
 QUERY_BYTES = 32 << 20  # of query vectors that go to all tasks at once
-BLOCK_ROWS = 2048  # vectors of a block in a join of all with all of a tenant
-
-
-def _unit(vectors) -> np.ndarray:  # noqa: ANN001
-    x = np.array(vectors.to_pylist(), np.float64).reshape(len(vectors), -1)
-    n = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
 def vector_topk(nodes: DataFrame, queries: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
@@ -52,7 +46,7 @@ def _best_of(found: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = held.value
-        asks = _unit(pa.array(vectors, pa.list_(pa.float64()))) if ids else np.empty((0, 0))
+        asks = unit(pa.array(vectors, pa.list_(pa.float64()))) if ids else np.empty((0, 0))
         best: list[tuple[list, np.ndarray]] = [([], np.empty(0)) for _ in ids]
         for b in batches:
             if not b.num_rows or not ids:
@@ -60,7 +54,7 @@ def _best_of(found: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFra
             lengths = set(pc.list_value_length(b.column(1)).to_pylist())
             if lengths != {asks.shape[1]}:
                 raise ValueError("vectors differ in length")
-            names, scores = b.column(0).to_pylist(), asks @ _unit(b.column(1)).T
+            names, scores = b.column(0).to_pylist(), asks @ unit(b.column(1)).T
             for q, row in enumerate(scores):
                 at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
                 had, old = best[q]
@@ -76,35 +70,6 @@ def _best_of(found: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFra
     return found.mapInArrow(run, schema)
 
 
-def similar_pairs(nodes: DataFrame, low: float, high: float | None = None, by: str = "agent_id", rows: int = BLOCK_ROWS) -> DataFrame:
-    """a, b (a before b), similarity: pairs of one tenant with cosine in [low, high].
-
-    Rows of a tenant are dealt into blocks of about `rows`, and pairs of blocks meet in tasks of their own as matrix
-    products, so a large tenant is spread over many tasks and no task holds more than two blocks.
-    """
-    sizes = nodes.groupBy(by).agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
-    dealt = nodes.select(by, "id", "embedding").where(F.col("embedding").isNotNull()).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, by)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = lambda first: F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct((F.least if first else F.greatest)(F.col("block"), x).alias("i"), (F.greatest if first else F.least)(F.col("block"), x).alias("j"))))
-    own = dealt.withColumn("m", meets(True)).select(by, F.col("m.i").alias("i"), F.col("m.j").alias("j"), "block", "id", "embedding")
-    kind = nodes.schema["id"].dataType.simpleString()
-
-    def both(group: pa.Table) -> pa.Table:
-        ids, block, x = np.array(group["id"].to_pylist()), group["block"].to_numpy(), _unit(group["embedding"].combine_chunks())
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        s = x[left] @ x[right].T
-        near = (s >= low - 1e-12) & ((s <= high + 1e-12) if high is not None else True)
-        p, q = np.nonzero(near)
-        a, b, s = ids[left[p]], ids[right[q]], s[p, q]
-        keep = a < b if i == j else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        swap = a > b
-        return pa.table({"a": pa.array(np.where(swap, b, a).tolist(), group.schema.field("id").type), "b": pa.array(np.where(swap, a, b).tolist(), group.schema.field("id").type), "similarity": pa.array(s, pa.float64())})
-
-    return own.groupBy(by, "i", "j").applyInArrow(both, f"a {kind}, b {kind}, similarity double")
-
-
 def fulltext(docs: DataFrame, key: str, text: Column | Sequence[Column], terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score: BM25 of rows with words that begin with one of the terms; each term's matches count together.
 
@@ -251,7 +216,7 @@ def nearest_of_tenant(queries: DataFrame, known: DataFrame, k: int, rows: int =
     def both(nodes: pa.Table, asks: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "id": [], "score": []}
         if nodes.num_rows and asks.num_rows:
-            ids, s = nodes["id"].to_pylist(), _unit(asks["vector"].combine_chunks()) @ _unit(nodes["embedding"].combine_chunks()).T
+            ids, s = nodes["id"].to_pylist(), unit(asks["vector"].combine_chunks()) @ unit(nodes["embedding"].combine_chunks()).T
             for q, row in zip(asks["query_id"].to_pylist(), s, strict=True):
                 for i in sorted(range(len(ids)), key=lambda i: (-row[i], ids[i]))[:k]:
                     out["query_id"].append(q)

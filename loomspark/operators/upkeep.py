@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from loomspark.operators.graph import cut_lineage, degree_counts
 from loomspark.operators.memory import decay_edges, orphans, remap_edges
-from loomspark.operators.retrieval import similar_pairs
+from loomspark.operators.similarity import similar_pairs
 
 
 def fusion_pairs(nodes: DataFrame, edges: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import properties, texts
-from loomspark.operators import access, analytics, context, graph, ingest, retrieval, training, upkeep
+from loomspark.operators import access, analytics, context, graph, ingest, retrieval, similarity, training, upkeep
 from loomspark.plans.catalog import query, table
 from loomspark.sources.star import DOCS, EDGES, NODES, VECTORS, document_edges, document_nodes, edges, nodes, vector_nodes
 
@@ -187,27 +187,47 @@ def federated_query(spark, sf_dir):
 
 # Consolidation
 def _twins(spark, sf_dir):
-    """Every third vector node has a twin of the same direction; some of these are facts."""
+    """Every third vector node has a twin of the same direction, some of these facts, and every sixth another one with more edges than both."""
     v = vector_nodes(spark, sf_dir).select(F.col("id"), F.lit("CONCEPT").alias("type"), "agent_id", "embedding")
     twin = v.where("id % 3 = 0").select((F.col("id") + 100_000).alias("id"), F.when(F.col("id") % 9 == 0, "FACT").otherwise("CONCEPT").alias("type"), "agent_id", F.transform("embedding", lambda x: x * 2).alias("embedding"))
     e = v.select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 6 == 0, F.col("id") + 100_000).otherwise(F.col("id")).alias("source_id"), ((F.col("id") * 7 + 4) % 200).alias("target_id"), F.lit("R").alias("relation"), F.lit(1.0).alias("weight"), "agent_id")
-    return v.unionByName(twin), e
+    more = v.where("id % 6 = 0").withColumn("id", F.col("id") + 200_000)
+    extra = more.select("id", "agent_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k")).withColumn("k", F.col("id") * 10 + F.col("k"))
+    e = e.unionByName(extra.select(F.col("k").cast("string").alias("id"), F.col("id").alias("source_id"), (F.col("k") % 200).alias("target_id"), F.lit("R").alias("relation"), F.lit(1.0).alias("weight"), "agent_id"))
+    return v.unionByName(twin).unionByName(more), e
 
 
-TWINS = V + """, n AS (SELECT id, 'CONCEPT' AS type, agent_id, e, norm FROM vecs UNION ALL SELECT id + 100000, CASE WHEN id % 9 = 0 THEN 'FACT' ELSE 'CONCEPT' END, agent_id, list_transform(e, lambda x: x * 2), norm * 2 FROM vecs WHERE id % 3 = 0),
-ed AS (SELECT id::VARCHAR AS id, CASE WHEN id % 6 = 0 THEN id + 100000 ELSE id END AS s, (id * 7 + 4) % 200 AS t FROM vecs), dg AS (SELECT x AS id, count(*) AS n FROM (SELECT s AS x FROM ed UNION ALL SELECT t FROM ed) GROUP BY 1),
+TWINS = V + """, n AS (SELECT id, 'CONCEPT' AS type, agent_id, e, norm FROM vecs UNION ALL SELECT id + 100000, CASE WHEN id % 9 = 0 THEN 'FACT' ELSE 'CONCEPT' END, agent_id, list_transform(e, lambda x: x * 2), norm * 2 FROM vecs WHERE id % 3 = 0 UNION ALL SELECT id + 200000, 'CONCEPT', agent_id, e, norm FROM vecs WHERE id % 6 = 0),
+ed AS (SELECT id::VARCHAR AS id, CASE WHEN id % 6 = 0 THEN id + 100000 ELSE id END AS s, (id * 7 + 4) % 200 AS t FROM vecs
+  UNION ALL SELECT ((id + 200000) * 10 + k)::VARCHAR, id + 200000, ((id + 200000) * 10 + k) % 200 FROM vecs, range(9) r(k) WHERE id % 6 = 0), dg AS (SELECT x AS id, count(*) AS n FROM (SELECT s AS x FROM ed UNION ALL SELECT t FROM ed) GROUP BY 1),
 p AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id AND a.agent_id = b.agent_id AND a.type <> 'FACT' AND b.type <> 'FACT' WHERE """ + COS + """ >= 0.95),
 kd AS (SELECT CASE WHEN coalesce(x.n, 0) >= coalesce(y.n, 0) THEN a ELSE b END AS keep_id, CASE WHEN coalesce(x.n, 0) >= coalesce(y.n, 0) THEN b ELSE a END AS drop_id FROM p LEFT JOIN dg x ON x.id = a LEFT JOIN dg y ON y.id = b) """
 
 
+#: The rule of fusion, pair by pair: g holds what was dropped, m where to; f follows keepers to the last.
+FUSED = TWINS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY least(keep_id, drop_id), greatest(keep_id, drop_id)) AS k FROM kd),
+st(k, g, m) AS (SELECT 0::BIGINT, []::BIGINT[], []::STRUCT(id BIGINT, t BIGINT)[]
+  UNION ALL SELECT o.k, CASE WHEN list_contains(g, keep_id) OR list_contains(g, drop_id) THEN g ELSE list_append(g, drop_id) END,
+    CASE WHEN list_contains(g, keep_id) OR list_contains(g, drop_id) THEN m ELSE list_append(m, {'id': drop_id, 't': keep_id}) END FROM st JOIN o ON o.k = st.k + 1),
+mp AS MATERIALIZED (SELECT x.id AS id, x.t AS t FROM (SELECT unnest(m) AS x FROM st WHERE k = (SELECT max(k) FROM st))),
+f(id, t, n) AS (SELECT id, t, 0 FROM mp UNION ALL SELECT f.id, mp.t, n + 1 FROM f JOIN mp ON mp.id = f.t),
+cm AS (SELECT id, max_by(t, n) AS k FROM f GROUP BY id) """
+
+
 @query(TWINS + "SELECT keep_id, drop_id FROM kd")
 def duplicate_fusion(spark, sf_dir):
     """The node of more edges is kept; facts never fuse."""
     return upkeep.fusion_pairs(*_twins(spark, sf_dir)).select("keep_id", "drop_id")
 
 
-@query(TWINS + """, c AS (SELECT drop_id AS id, min(keep_id) AS k FROM kd WHERE keep_id NOT IN (SELECT drop_id FROM kd) GROUP BY 1)
-SELECT coalesce(x.k, s) AS source_id, coalesce(y.k, t) AS target_id FROM ed LEFT JOIN c x ON x.id = s LEFT JOIN c y ON y.id = t WHERE coalesce(x.k, s) <> coalesce(y.k, t) GROUP BY 1, 2""")
+@query(FUSED + "SELECT id, k AS canonical_id FROM cm")
+def fused_nodes(spark, sf_dir):
+    """Where each dropped node ends up, by way of keepers that are dropped themselves."""
+    n, e = _twins(spark, sf_dir)
+    return upkeep.fused(n, e, graph.cut_lineage(upkeep.fusion_pairs(n, e)))[2]
+
+
+@query(FUSED + "SELECT coalesce(x.k, s) AS source_id, coalesce(y.k, t) AS target_id FROM ed LEFT JOIN cm x ON x.id = s LEFT JOIN cm y ON y.id = t WHERE coalesce(x.k, s) <> coalesce(y.k, t) GROUP BY 1, 2")
 def fused_edges(spark, sf_dir):
     """Edges after fusion: redirected, without loops and repeats."""
     n, e = _twins(spark, sf_dir)
@@ -220,7 +240,7 @@ SELECT a, b FROM w WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.a = w.a AND j.b = w
 def unconnected_pairs(spark, sf_dir):
     """Alike nodes without a path of one or two edges between them."""
     e = _twins(spark, sf_dir)[1]
-    pairs = graph.cut_lineage(retrieval.similar_pairs(vector_nodes(spark, sf_dir), 0.25, 0.92))
+    pairs = graph.cut_lineage(similarity.similar_pairs(vector_nodes(spark, sf_dir), 0.25, 0.92))
     return upkeep.unconnected(pairs, e, 2).select("a", "b")
 
 
@@ -237,17 +257,17 @@ def link_proposal(spark, sf_dir):
     return upkeep.proposed_links(n, e, propose, 0.25, 0.92)
 
 
-@query(TWINS + """, cm AS (SELECT drop_id AS id, min(keep_id) AS k FROM kd WHERE keep_id NOT IN (SELECT drop_id FROM kd) GROUP BY 1),
-f AS (SELECT id FROM cm),
+@query(FUSED + """, alone AS (SELECT id + 300000 AS id FROM vecs WHERE id % 50 = 0),
+fs AS (SELECT id FROM cm),
 e2 AS (SELECT DISTINCT coalesce(x.k, s) AS s, coalesce(y.k, t) AS t FROM ed LEFT JOIN cm x ON x.id = s LEFT JOIN cm y ON y.id = t WHERE coalesce(x.k, s) <> coalesce(y.k, t))
-SELECT 4::BIGINT AS n_pruned, (SELECT count(*) FROM f) AS n_fused, (SELECT count(*) FROM e2) AS n_decayed, (SELECT count(*) FROM n) + 4 - (SELECT count(*) FROM f) AS n_nodes, (SELECT count(*) FROM e2) AS n_edges""")
+SELECT (SELECT count(*) FROM alone WHERE id % 100 = 0) AS n_pruned, (SELECT count(*) FROM fs) AS n_fused, (SELECT count(*) FROM e2) AS n_decayed, (SELECT count(*) FROM n) + (SELECT count(*) FROM alone WHERE id % 100 <> 0) - (SELECT count(*) FROM fs) AS n_nodes, (SELECT count(*) FROM e2) AS n_edges""")
 def consolidation_report(spark, sf_dir):
-    """Prune, fuse, decay, and what came of it. A few nodes without edges are added, half of them old."""
+    """Prune, fuse, decay, and what came of it. Nodes without edges are added, half of them old."""
     n, e = _twins(spark, sf_dir)
-    alone = spark.range(200_001, 200_009).select("id", F.lit("CONCEPT").alias("type"), F.lit("agent9").alias("agent_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    alone = vector_nodes(spark, sf_dir).where("id % 50 = 0").select((F.col("id") + 300_000).alias("id"), F.lit("CONCEPT").alias("type"), "agent_id", F.lit(None).cast("array<double>").alias("embedding"))
     at = F.lit("2024-01-31").cast("timestamp")
     aged = lambda df, old: df.withColumn("created_at", F.when(old, at - F.expr("INTERVAL 8 DAYS")).otherwise(at))
-    both = aged(n, F.lit(False)).unionByName(aged(alone, F.col("id") % 2 == 0))
+    both = aged(n, F.lit(False)).unionByName(aged(alone, F.col("id") % 100 == 0))
     return upkeep.consolidate(both, e, at)[2]
 
 

@@ -150,10 +150,13 @@ def implicit_reinforce(spark, sf_dir):
     return memory.feedback(*_retrieved(spark, sf_dir), success=True, step=0.02).select("id", F.round("weight", 6).alias("weight"))
 
 
-@query(AMONG + "SELECT id, CASE WHEN id IN (SELECT id FROM i) THEN 1.0::DOUBLE ELSE energy END AS energy, retrieval_count + CASE WHEN id IN (SELECT id FROM i) THEN 1 ELSE 0 END AS retrieval_count FROM nodes")
+@query(AMONG + """SELECT id, CASE WHEN id IN (SELECT id FROM i) THEN 1.0::DOUBLE ELSE energy END AS energy, retrieval_count + CASE WHEN id IN (SELECT id FROM i) THEN 1 ELSE 0 END AS retrieval_count,
+epoch(CASE WHEN id IN (SELECT id FROM i) THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-31' - INTERVAL 1 DAY * (retrieval_count * 2) END)::BIGINT AS last_activated_at FROM nodes""")
 def activation_boost(spark, sf_dir):
-    n, _ = whole(spark, sf_dir)
-    return memory.activate(n, n.where("retrieval_count >= 6"), F.lit("2024-02-01").cast("timestamp")).select("id", "energy", "retrieval_count")
+    """Nodes that are hit get full energy and a new time; the clocks of the others run on."""
+    n = aged(spark, sf_dir).withColumnRenamed("created_at", "last_activated_at")
+    out = memory.activate(n, n.where("retrieval_count >= 6"), F.lit("2024-02-01").cast("timestamp"))
+    return out.select("id", "energy", "retrieval_count", F.col("last_activated_at").cast("long").alias("last_activated_at"))
 
 
 @query(G + """, u AS (SELECT n.id, n.label, n.energy, n.retrieval_count, coalesce(avg(e.weight), 1.0) AS utility FROM nodes n LEFT JOIN edges e ON e.source_id = n.id
@@ -241,15 +244,22 @@ def node_upsert(spark, sf_dir):
     return memory.upsert_nodes(old, new, F.lit("2024-02-01").cast("timestamp")).select("id", "label", "properties", "action")
 
 
-@query(G + """, new AS (SELECT id || '!' AS id, source_id, CASE WHEN right(source_id, 1) = '7' THEN 'n:none' ELSE target_id END AS target_id, agent_id FROM edges WHERE weight > 0.8)
-SELECT 'taken' AS state, count(*) AS n FROM new e WHERE EXISTS (SELECT 1 FROM nodes WHERE id = source_id AND agent_id = e.agent_id) AND EXISTS (SELECT 1 FROM nodes WHERE id = target_id AND agent_id = e.agent_id)
-UNION ALL SELECT 'left', count(*) FROM new e WHERE NOT (EXISTS (SELECT 1 FROM nodes WHERE id = source_id AND agent_id = e.agent_id) AND EXISTS (SELECT 1 FROM nodes WHERE id = target_id AND agent_id = e.agent_id))""")
+@query(G + """, new AS (SELECT CASE WHEN right(source_id, 1) IN ('1', '2', '3') THEN id ELSE id || '!' END AS id, source_id, CASE WHEN right(source_id, 1) = '7' THEN 'n:none' ELSE target_id END AS target_id, agent_id, '{"from":' || (length(id) % 3) || '}' AS properties FROM edges WHERE weight > 0.8),
+ok AS (SELECT * FROM new e WHERE EXISTS (SELECT 1 FROM nodes WHERE id = source_id AND agent_id = e.agent_id) AND EXISTS (SELECT 1 FROM nodes WHERE id = target_id AND agent_id = e.agent_id))
+SELECT CASE WHEN o.id IS NULL THEN 'created' WHEN k.id IS NULL THEN 'kept' ELSE 'merged' END AS state, coalesce(o.id, k.id) AS id, coalesce(o.relation, 'OTHER') AS relation, coalesce(o.weight, 0.5)::DOUBLE AS weight, k.properties
+FROM edges o FULL JOIN ok k ON k.id = o.id AND k.source_id = o.source_id AND k.target_id = o.target_id
+UNION ALL SELECT 'left', id, 'OTHER', 0.5, properties FROM new e WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.id = e.id AND ok.source_id = e.source_id AND ok.target_id = e.target_id)""")
 def edge_upsert(spark, sf_dir):
+    """Edges that are there keep relation and weight and take the new bag; new ones are made; those without both ends are left."""
     n, e = whole(spark, sf_dir)
-    new = e.where("weight > 0.8").select(F.concat("id", F.lit("!")).alias("id"), "source_id", F.when(F.endswith("source_id", F.lit("7")), F.lit("n:none")).otherwise(F.col("target_id")).alias("target_id"), "relation", "weight", "agent_id")
-    merged, bad = memory.upsert_edges(e, new, n)
-    taken = merged.where(F.endswith("id", F.lit("!"))).agg(F.count("*").alias("n")).select(F.lit("taken").alias("state"), "n")
-    return taken.unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("left").alias("state"), "n"))
+    there = F.right("source_id", F.lit(1)).isin("1", "2", "3")
+    new = e.where("weight > 0.8").select(
+        F.when(there, F.col("id")).otherwise(F.concat("id", F.lit("!"))).alias("id"), "source_id", F.when(F.endswith("source_id", F.lit("7")), F.lit("n:none")).otherwise(F.col("target_id")).alias("target_id"),
+        F.lit("OTHER").alias("relation"), F.lit(0.5).alias("weight"), "agent_id", F.concat(F.lit('{"from":'), (F.length("id") % 3).cast("string"), F.lit("}")).alias("properties"))
+    old = e.select("id", "source_id", "target_id", "relation", "weight", "agent_id", F.lit(None).cast("string").alias("properties"))
+    merged, bad = memory.upsert_edges(old, new, n)
+    state = F.when(F.endswith("id", F.lit("!")), "created").when(F.col("properties").isNull(), "kept").otherwise("merged")
+    return merged.select(state.alias("state"), "id", "relation", "weight", "properties").unionByName(bad.select(F.lit("left").alias("state"), "id", "relation", "weight", "properties"))
 
 
 @query(G + "SELECT id, label, energy FROM nodes WHERE retrieval_count = 3")
@@ -307,7 +317,7 @@ def _resolution(spark, sf_dir):
     v = vector_nodes(spark, sf_dir)
     md5 = lambda *c: F.substring(F.md5(F.concat(*c).cast("binary")), 1, 12)
     key = F.col("id").cast("string")
-    known = v.select("id", F.concat(F.lit("entity "), md5(key)).alias("label"), F.lit("CONCEPT").alias("type"), "agent_id", F.col("id").alias("ordinal"), F.array(F.concat(F.lit("aka "), md5(F.lit("a"), key))).alias("aliases"), "embedding", F.lit('{"seen": "1"}').alias("properties"))
+    known = v.select("id", F.concat(F.lit("entity "), md5(key)).alias("label"), F.lit("CONCEPT").alias("type"), "agent_id", F.col("id").alias("ordinal"), F.array(F.concat(F.lit("aka "), md5(F.lit("a"), key))).alias("aliases"), "embedding", F.lit('{"seen": 1, "tags": ["k"], "of": {"n": null}}').alias("properties"))
     way = F.col("id") % 4
     label = F.when(way == 0, F.upper("label")).when(way == 1, F.concat(F.lit("AKA "), md5(F.lit("a"), key))).when(way == 2, F.expr("left(label, length(label) - 1)")).otherwise(F.concat(F.lit("other "), md5(F.lit("z"), key)))
     new = known.select(F.concat(F.lit("x"), key).alias("id"), label.alias("label"), F.when(F.col("id") % 20 == 19, "FACT").otherwise(F.col("type")).alias("type"), "agent_id", "embedding", F.concat(F.lit('{"from": "'), key, F.lit('"}')).alias("properties"))
@@ -322,14 +332,14 @@ def entity_resolve(spark, sf_dir):
 
 @query(RESOLVE + """, w AS (SELECT id, id AS m FROM k WHERE id % 4 < 3 UNION ALL SELECT id, m FROM y WHERE r = 1)
 SELECT m AS id, count(*) AS n_merged, count(*) FILTER (WHERE w.id % 4 <> 0) + (max(CASE WHEN w.id % 4 = 1 THEN 0 ELSE 1 END)) AS n_aliases,
-       max('x' || w.id) AS last_from FROM w GROUP BY m""")
+       '{"seen":1,"tags":["k"],"of":{"n":null},"from":"' || max('x' || w.id)[2:] || '"}' AS properties FROM w GROUP BY m""")
 def resolved_merge(spark, sf_dir):
     """Bags and aliases of the known entities after resolution."""
     new, known = _resolution(spark, sf_dir)
     matches = graph.cut_lineage(retrieval.resolve(new, known))
     merged = retrieval.merged_matches(new, known, matches)
     n = matches.groupBy(F.col("match_id").alias("id")).agg(F.count("*").alias("n_merged"))
-    return merged.join(n, "id").select("id", "n_merged", F.size(F.array_distinct(F.transform("aliases", F.lower))).cast("long").alias("n_aliases"), F.concat(F.lit("x"), F.get_json_object("properties", "$.from")).alias("last_from"))
+    return merged.join(n, "id").select("id", "n_merged", F.size(F.array_distinct(F.transform("aliases", F.lower))).cast("long").alias("n_aliases"), "properties")
 
 
 @query(G + """, sc AS (SELECT n.id, n.label, coalesce(avg(e.weight), 1.0) * n.energy AS s FROM nodes n LEFT JOIN edges e ON e.source_id = n.id

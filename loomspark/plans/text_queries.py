@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from loomspark.functions import texts
 from loomspark.functions.scores import cleared
-from loomspark.operators import analytics, ingest, retrieval, training
+from loomspark.operators import analytics, ingest, retrieval, similarity, training
 from loomspark.plans.catalog import query, table
 from loomspark.sources.star import VECTORS, vector_nodes
 
@@ -34,12 +34,12 @@ def vector_topk_clearance(spark, sf_dir):
 
 @query(V + f"SELECT a.id AS a, b.id AS b, round({COS}, 6) AS similarity FROM vecs a JOIN vecs b ON a.id < b.id AND a.agent_id = b.agent_id WHERE {COS} >= 0.38")
 def dup_pairs(spark, sf_dir):
-    return retrieval.similar_pairs(vector_nodes(spark, sf_dir), 0.38).withColumn("similarity", F.round("similarity", 6))
+    return similarity.similar_pairs(vector_nodes(spark, sf_dir), 0.38).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(V + f"SELECT a.id AS a, b.id AS b, round({COS}, 6) AS similarity FROM vecs a JOIN vecs b ON a.id < b.id AND a.agent_id = b.agent_id WHERE {COS} BETWEEN 0.3 AND 0.36")
 def link_candidates_band(spark, sf_dir):
-    return retrieval.similar_pairs(vector_nodes(spark, sf_dir), 0.3, 0.36).withColumn("similarity", F.round("similarity", 6))
+    return similarity.similar_pairs(vector_nodes(spark, sf_dir), 0.3, 0.36).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(V + "SELECT len(e)::INT AS dims, count(*) AS n FROM vecs GROUP BY 1")

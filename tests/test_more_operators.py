@@ -138,7 +138,7 @@ def test_resolution_and_traps(spark):
     row = retrieval.merged_matches(new, known, found).first()  # all matches of one node are folded in order
     import json
 
-    assert json.loads(row.properties) == {"a": "1", "b": "3"} and row.aliases == ["ACME", "Acme Corps", "acme", "Else"]
+    assert json.loads(row.properties) == {"a": 1, "b": 3} and row.aliases == ["ACME", "Acme Corps", "acme", "Else"]
 
 
 def test_checked_vectors_in_strict_mode(spark):

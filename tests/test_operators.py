@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import scores, texts
-from loomspark.operators import analytics, graph, ingest, memory, retrieval, training
+from loomspark.operators import analytics, graph, ingest, memory, retrieval, similarity, training
 from loomspark.plans import text_queries
 from loomspark.sources import connectors, star
 from loomspark.streaming import jobs
@@ -159,7 +159,7 @@ def test_payload_merge_and_retries(spark):
 
 def test_similar_pairs_need_no_order(spark):
     n = star.vector_nodes(spark, SF)
-    assert {(r.a, r.b) for r in retrieval.similar_pairs(n, 0.3, rows=1000).collect()} == {(r.a, r.b) for r in retrieval.similar_pairs(n, 0.3, rows=30).collect()}
+    assert {(r.a, r.b) for r in similarity.similar_pairs(n, 0.3, rows=1000).collect()} == {(r.a, r.b) for r in similarity.similar_pairs(n, 0.3, rows=30).collect()}
 
 
 def test_training_lines(spark):
