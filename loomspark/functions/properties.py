@@ -85,9 +85,3 @@ def swarm_line(agent: Column, label: Column, type_: Column, description: Column,
     about = F.coalesce(F.nullif(description, F.lit("")), *[F.nullif(F.get_json_object(properties, f"$.{n}"), F.lit("")) for n in ("description", "summary")], F.substring(F.try_element_at(values, F.lit(1)), 1, 200))
     head = F.concat(F.lit("[Agent: "), F.coalesce(agent, F.lit("unknown")), F.lit("] "), F.coalesce(label, F.lit("")), F.lit(" ("), F.coalesce(type_, F.lit("")), F.lit(")"))
     return F.concat(head, F.coalesce(F.concat(F.lit(": "), F.substring(about, 1, 300)), F.lit("")))
-
-
-def state_hash(ids: Column) -> Column:
-    """16 hex digits of a set of ids (an array), alike in any order: of its JSON list with ', ' between."""
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(ids), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.lit("]"))
-    return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)

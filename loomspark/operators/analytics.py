@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -115,3 +119,33 @@ def due_connectors(connectors: DataFrame, states: DataFrame, now: Column, second
     """connector_id of enabled connectors that never ran, or whose last run is at least so old."""
     both = connectors.where("enabled").join(states.select("connector_id", "last_run"), "connector_id", "left")
     return both.where(F.col("last_run").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_run") >= seconds)).select("connector_id").distinct()
+
+
+def state_hashes(nodes: DataFrame, by: str) -> DataFrame:
+    """by, hash: 16 hex digits of each group's set of ids (texts), alike in any order: of its JSON list with ', ' between.
+
+    A task hashes the sorted ids of a group as they pass, so a group of any size takes no more memory than a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, state = None, None, None
+        done: list[tuple[str, str]] = []
+
+        def end() -> None:
+            state.update(b"]")
+            done.append((key, state.hexdigest()[:16]))
+
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if state is None or k != key:
+                    if state is not None:
+                        end()
+                    key, last, state = k, None, hashlib.sha256(b"[")
+                if x != last:
+                    state.update(((", " if last is not None else "") + f'"{x}"').encode())
+                    last = x
+        if state is not None:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([h for _, h in done], pa.string())], [by, "hash"])
+
+    return nodes.select(by, "id").repartition(by).sortWithinPartitions(by, "id").mapInArrow(run, f"{by} string, hash string")

@@ -13,7 +13,10 @@ from loomspark.functions.properties import context_line, swarm_line
 from loomspark.functions.scores import cleared, synaptic_score
 from loomspark.functions.texts import cut
 from loomspark.operators import retrieval
+from loomspark.operators.folders import scratch
 from loomspark.operators.graph import coherent, cut_lineage, relation_lines
+from loomspark.operators.text_index import TextIndex, question_terms
+from loomspark.operators.vector_index import VectorIndex
 
 FETCHED, SELECTED = 40, 15  # candidates of a ranked search, and those that re-ranking keeps
 CONTEXT_NODES, CONTEXT_EDGES = 40, 5
@@ -66,6 +69,7 @@ def scored(nodes: DataFrame, edges: DataFrame, hours: Column, least: float = 0.3
 def ranked_context(nodes: DataFrame, edges: DataFrame, allowed: DataFrame, question: str, clearance: int, hours: Column, top_k: int | None = None, least: float = 0.3) -> DataFrame:
     """Seeds that are not forgotten, by synaptic score, 40 of them re-ranked to 15 if all have vectors; with rank.
 
+
     Without seeds all visible nodes are ranked, and if all are forgotten the plain keyword context is given.
     """
     mine = visible(nodes, allowed, clearance)
@@ -77,7 +81,7 @@ def ranked_context(nodes: DataFrame, edges: DataFrame, allowed: DataFrame, quest
         return keyword_context(nodes, allowed, question, clearance, top_k)
     rank = F.row_number().over(W.orderBy(F.desc("synaptic_score"), "id"))  # of at most FETCHED rows
     n, vectors = found.agg(F.count("*"), F.count("embedding")).first() if "embedding" in found.columns else (found.count(), 0)
-    if n <= SELECTED or vectors < n:
+    if n <= SELECTED or vectors < n:  # the rule of the engine: without all vectors the best by score
         return found.withColumn("rank", rank).where(F.col("rank") <= SELECTED)
     picked = retrieval.mmr(found.select(F.lit(1).alias("query_id"), "id", F.col("synaptic_score").alias("score"), "embedding"), SELECTED)
     return found.join(picked.select("id", F.col("pick").alias("rank")), "id")
@@ -94,14 +98,19 @@ def relationship_lines(nodes: DataFrame, edges: DataFrame, records: DataFrame, a
     return relation_lines(visible(nodes, allowed, clearance), edges, records, limit)
 
 
-def fused_seeds(nodes: DataFrame, questions: DataFrame, terms: dict[int, list[str]], top_k: int = 8, tenant: Column | None = None) -> DataFrame:
-    """query_id, id, score, rank: vector and keyword lists of each question (query_id, vector), fused by rank; twice top_k of them."""
+def fused_seeds(nodes: DataFrame, questions: DataFrame, top_k: int = 8, tenant: Column | None = None, vectors: VectorIndex | None = None, words: TextIndex | None = None) -> DataFrame:
+    """query_id, id, score, rank: vector and keyword lists of each question (query_id, vector, question), fused by rank; twice top_k of them.
+
+    All questions are answered at once. Without indexes on disk, vectors are scanned and a text index is made for the
+    call; given ones must cover the same nodes (the tenant's).
+    """
     mine = nodes.where(tenant) if tenant is not None else nodes
-    lists = retrieval.vector_topk(mine.select("id", "embedding"), questions, top_k).select("query_id", F.lit("vector").alias("list"), "rank", "id")
-    for q, words in terms.items():
-        if words:
-            found = retrieval.fulltext(mine, "id", [F.col(c) for c in ("label", "description", "source_text")], words).orderBy(F.desc("score"), "id").limit(top_k)
-            lists = lists.unionByName(found.select(F.lit(q).cast(questions.schema["query_id"].dataType).alias("query_id"), F.lit("words").alias("list"), F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"), "id"))
+    asked = questions.select("query_id", "vector")
+    near = vectors.search(asked, top_k) if vectors is not None else retrieval.vector_topk(mine.select("id", "embedding"), asked, top_k)
+    if words is None:
+        words = TextIndex.build(mine, "id", [F.col(c) for c in ("label", "description", "source_text")], scratch(nodes.sparkSession, "seeds"))
+    said = words.top(questions.select("query_id", question_terms(F.col("question")).alias("terms")), top_k)
+    lists = near.select("query_id", F.lit("vector").alias("list"), "rank", "id").unionByName(said.select("query_id", F.lit("words").alias("list"), "rank", F.col("key").alias("id")))
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return retrieval.rrf(lists).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= 2 * top_k).select("query_id", "id", "score", "rank")
 

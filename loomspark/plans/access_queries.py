@@ -326,11 +326,10 @@ def candidate_starts(spark, sf_dir):
     return upkeep.candidate_starts(document_nodes(spark, sf_dir), document_edges(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
-@query(D + "SELECT agent_id, substr(sha256('[\"' || string_agg(id::VARCHAR, '\", \"' ORDER BY id::VARCHAR) || '\"]'), 1, 16) AS hash FROM docs WHERE id < 500 GROUP BY 1")
+@query(D + "SELECT agent_id, substr(sha256('[\"' || string_agg(id::VARCHAR, '\", \"' ORDER BY id::VARCHAR) || '\"]'), 1, 16) AS hash FROM docs GROUP BY 1")
 def state_hash(spark, sf_dir):
-    """A fingerprint of each tenant's nodes; a set of ids is one value by nature, so those of the first 500."""
-    n = document_nodes(spark, sf_dir).where("id < 500")
-    return n.groupBy("agent_id").agg(properties.state_hash(F.collect_list(F.col("id").cast("string"))).alias("hash"))
+    """A fingerprint of each tenant's nodes."""
+    return analytics.state_hashes(document_nodes(spark, sf_dir).select("agent_id", F.col("id").cast("string").alias("id")), "agent_id")
 
 
 @query(D + "SELECT agent_id, round(CASE WHEN n < 2 THEN 0 ELSE least(1.0, e / (n * (n - 1))) END, 9) AS density FROM (SELECT agent_id, count(*) AS n FROM docs GROUP BY 1) JOIN (SELECT agent_id, count(*) AS e FROM links GROUP BY 1) USING (agent_id)")

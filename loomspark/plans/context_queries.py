@@ -95,20 +95,26 @@ def context_relations(spark, sf_dir):
     return context.relationship_lines(n, document_edges(spark, sf_dir), n.where("id % 10 = 3"), _allowed(spark), 3)
 
 
-TWO = D + f""", {FULL}, v AS (SELECT a.vec_id AS q, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
-    / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id IN (0, 20) AND b.vec_id IN (SELECT id FROM docs)),
-l AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS r FROM v UNION ALL SELECT 0, id, row_number() OVER (ORDER BY score DESC, id) FROM hits),
+TWO = D + r""", w AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', label, description, source_text)), '[\p{L}\p{N}_]+') AS ws FROM docs), st AS (SELECT count(*) AS c, avg(len(ws)) AS a FROM w),
+tf AS (SELECT id, wn, word, count(*) AS f FROM (SELECT id, len(ws) AS wn, unnest(ws) AS word FROM w) GROUP BY ALL),
+qs AS (SELECT conv_id AS q, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 AND conv_id IN (SELECT vec_id FROM embeddings) GROUP BY 1),
+qt AS (SELECT q, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:10]) AS t FROM (SELECT q, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 3) AS l FROM qs)),
+pf AS (SELECT q, t, id, wn, sum(f) AS f FROM qt JOIN tf ON starts_with(word, t) GROUP BY ALL), pd AS (SELECT q, t, count(*) AS d FROM pf GROUP BY ALL),
+hits AS (SELECT q, id, sum(ln(1 + (c - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * wn / a))) AS score FROM pf JOIN pd USING (q, t), st GROUP BY 1, 2),
+v AS (SELECT a.vec_id AS q, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
+    / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id IN (SELECT id FROM docs)),
+l AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS r FROM v UNION ALL SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) FROM hits),
 f AS (SELECT q, id, sum(1.0::DOUBLE / (60 + r)) AS score FROM l WHERE r <= 8 GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM f) """
 
 
 @query(TWO + "SELECT q AS query_id, id, round(score, 8) AS score, rank::INT AS rank FROM g WHERE rank <= 16")
 def hybrid_seeds(spark, sf_dir):
-    """Vector and keyword lists of two sub-questions, fused; twice the seeds survive."""
+    """Vector and keyword lists of every question, fused; twice the seeds survive. Questions are the vectors of the query set with the first user turn of the conversation of that number, if there is one."""
     v = vector_nodes(spark, sf_dir)
     n = document_nodes(spark, sf_dir).join(v.select("id", "embedding"), "id", "left")
-    questions = v.where("id in (0, 20)").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    out = context.fused_seeds(n, questions, {0: context.terms_of(ASKED), 20: []})
-    return out.select("query_id", "id", F.round("score", 8).alias("score"), "rank")
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("question"))
+    questions = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")).join(said, "query_id", "left")
+    return context.fused_seeds(n, questions).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
 
 
 EXPANDED = D + """, seen AS (SELECT * FROM docs WHERE coalesce(clearance, 1) <= 3), s AS (SELECT id FROM seen WHERE id % 50 = 0), one AS (SELECT * FROM links WHERE source_id IN (SELECT id FROM s) OR target_id IN (SELECT id FROM s)),
@@ -433,13 +439,14 @@ def substring_judge(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", texts.holds_all(F.col("text"), F.array(F.lit("TION"), F.lit("the"))).alias("good"))
 
 
-@query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN (contains(lower(text), 'the')::INT + contains(lower(text), 'zzz')::INT) / 2.0::DOUBLE END AS hit FROM documents WHERE length(text) > 20 AND NOT regexp_matches(substr(text, 5, 6), '^\s|\s$')""")
+@query(r"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS low, lower(trim(substr(coalesce(text, ''), 5, 6))) AS a FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN length(a) >= 3 AND a NOT IN ('yes', 'no') THEN (contains(low, a) AND low <> '')::INT::DOUBLE END
+  WHEN 1 THEN CASE WHEN low = '' THEN 0 ELSE (contains(low, 'the')::INT + contains(low, 'zzz')::INT) / 2.0::DOUBLE END END AS hit FROM a""")
 def retrieval_hit(spark, sf_dir):
-    """Answer containment, or the share of titles for answers that say yes or are too short."""
+    """Answer containment, or the share of titles for answers that say yes or are too short; over all texts."""
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").where((F.length("text") > 20) & ~F.substring("text", 5, 6).rlike(r"^\s|\s$"))
     titles = F.when(k % 3 == 1, F.array(F.lit("The"), F.lit("zzz"))).otherwise(F.array().cast("array<string>"))
-    return d.select("doc_id", texts.retrieval_hit(F.col("text"), F.when(k % 3 == 0, F.substring("text", 5, 6)).when(k % 3 == 1, "Yes").otherwise("no"), titles).alias("hit"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.retrieval_hit(F.col("text"), F.when(k % 3 == 0, F.substring("text", 5, 6)).when(k % 3 == 1, "Yes").otherwise("no"), titles).alias("hit"))
 
 
 @query("""SELECT event_type AS model, round(sum((event_id % 1000 + 10) / 1e6 * CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN 0.15 ELSE 0 END + coalesce(user_id, 0) / 1e6 * CASE event_type WHEN 'click' THEN 5.0 WHEN 'error' THEN 0.6 ELSE 0 END), 9) AS cost FROM events GROUP BY 1""")

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window as W
 from loomspark.functions import texts
 from loomspark.functions.scores import cleared
 from loomspark.operators import analytics, ingest, retrieval, similarity, training
+from loomspark.operators.folders import scratch
+from loomspark.operators.text_index import TextIndex
+from loomspark.operators.vector_index import VectorIndex
 from loomspark.plans.catalog import query, table
 from loomspark.sources.star import VECTORS, vector_nodes
 
@@ -32,6 +35,18 @@ def vector_topk_clearance(spark, sf_dir):
     return retrieval.vector_topk(n, _queries(n), 10, cleared(F.col("clearance"), 2)).withColumn("score", F.round("score", 6))
 
 
+@query(V + f""", now AS (SELECT id, clearance, CASE WHEN id % 30 = 0 THEN list_reverse(e) ELSE e END AS e, norm FROM vecs WHERE id % 13 <> 0),
+s AS (SELECT a.id AS query_id, b.id AS id, {COS} AS s FROM vecs a JOIN now b ON a.id % 20 = 0 AND coalesce(b.clearance, 1) <= 2)
+SELECT query_id, id, round(s, 6) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) WHERE r <= 10""")
+def vector_index_search(spark, sf_dir):
+    """The index on disk after rows have moved and gone, asked for what a caller may see."""
+    n = vector_nodes(spark, sf_dir)
+    index = VectorIndex.build(n, scratch(spark, "vector-index"))
+    index.upsert(n.where("id % 30 = 0").withColumn("embedding", F.reverse("embedding")))
+    index.delete(n.where("id % 13 = 0"))
+    return index.search(_queries(n), 10, cleared(F.col("clearance"), 2)).withColumn("score", F.round("score", 6))
+
+
 @query(V + f"SELECT a.id AS a, b.id AS b, round({COS}, 6) AS similarity FROM vecs a JOIN vecs b ON a.id < b.id AND a.agent_id = b.agent_id WHERE {COS} >= 0.38")
 def dup_pairs(spark, sf_dir):
     return similarity.similar_pairs(vector_nodes(spark, sf_dir), 0.38).withColumn("similarity", F.round("similarity", 6))
@@ -64,6 +79,13 @@ def _fulltext(spark, sf_dir):
     return retrieval.fulltext(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), ["tion", "clown"])
 
 
+@query(FULL + "SELECT doc_id, round(s, 5) AS score FROM b")
+def text_index_search(spark, sf_dir):
+    """The same scores from the index on disk, for all rows that match."""
+    index = TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), scratch(spark, "text-index"))
+    return index.search(["tion", "clown"]).select(F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
 @query(FULL + "SELECT doc_id, round(s, 5) AS score FROM b ORDER BY s DESC, doc_id LIMIT 25")
 def fulltext_topk(spark, sf_dir):
     return _fulltext(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(25).withColumn("score", F.round("score", 5))
@@ -160,16 +182,16 @@ def budget_sample(spark, sf_dir):
     return analytics.until_budget(d, "t", 20000, [F.col("h"), F.col("doc_id")]).select("doc_id", "before")
 
 
-@query("""WITH d AS (SELECT *, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS said FROM documents)
-SELECT 'agent' || (doc_id % 5) AS agent_id, coalesce(source, 'Unknown') AS label, md5('{"messages":[{"role":"user","content":"What do you know about ' || coalesce(source, 'Unknown') || '?"},{"role":"assistant","content":"'
-  || said || CASE WHEN lang <> said THEN ' ' || lang ELSE '' END || ' Also known as: ' || lang || ', d' || doc_id || '."}]}') AS line FROM d""")
+@query("""SELECT 'agent' || (doc_id % 5) AS agent_id, coalesce(source, 'Unknown') AS label, md5('{"messages":[{"role":"user","content":' || to_json('What do you know about ' || coalesce(source, 'Unknown') || '?')
+  || '},{"role":"assistant","content":' || to_json(CASE WHEN text <> '' THEN text || ' ' ELSE '' END || CASE WHEN lang <> coalesce(text, '') THEN lang || ' ' ELSE '' END || 'Also known as: ' || lang || ', d' || doc_id || '.') || '}]}') AS line
+FROM documents WHERE coalesce(CASE WHEN doc_id % 7 <> 0 THEN doc_id % 3 END, 0) <= 1""")
 def chatml_export(spark, sf_dir):
-    """A question and an answer of description, source text and aliases for each document, as digests of the lines."""
-    d = table(spark, sf_dir, "documents")
-    rows = d.select(
-        F.concat(F.lit("agent"), (F.col("doc_id") % 5).cast("string")).alias("agent_id"), F.coalesce("source", F.lit("Unknown")).alias("label"), F.regexp_replace("text", "[^a-zA-Z ]", "").alias("description"),
-        F.col("lang").alias("source_text"), F.array("lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("aliases"), F.lit(0).alias("clearance"))
-    return training.chatml(rows).select("agent_id", "label", F.md5(F.col("line").cast("binary")).alias("line"))
+    """A question and an answer of the whole description, source text and aliases for each cleared document, as digests of the lines."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("agent"), (k % 5).cast("string")).alias("agent_id"), F.coalesce("source", F.lit("Unknown")).alias("label"), F.col("text").alias("description"),
+        F.col("lang").alias("source_text"), F.array("lang", F.concat(F.lit("d"), k.cast("string"))).alias("aliases"), F.when(k % 7 != 0, k % 3).alias("clearance"))
+    return training.chatml(rows, 1).select("agent_id", "label", F.md5(F.col("line").cast("binary")).alias("line"))
 
 
 @query("""WITH l AS (SELECT doc_id AS line_no, CASE doc_id % 4 WHEN 0 THEN '{"a": 1}' WHEN 1 THEN '[1]' WHEN 2 THEN 'no {' ELSE ' ' END AS value FROM documents)
