@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators import memory
+from loomspark.operators.bucketed import BucketedTable
+from loomspark.operators.folders import scratch
 from loomspark.plans.catalog import query, table
 from loomspark.streaming import jobs
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{named or 'file:///tmp/loomspark-streams'}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,25 +79,31 @@ def stream_sessions(spark, sf_dir):
     return out.groupBy("session_id").agg(F.max_by("turns", F.length("turns")).alias("turns")).select("session_id", F.md5(F.col("turns").cast("binary")).alias("turns"))
 
 
-@query("SELECT doc_id AS id, 'agent' || (doc_id % 5) AS agent_id, md5(text) AS label FROM documents WHERE doc_id % 5 <> 4")
+@query("""WITH d AS (SELECT doc_id AS id, 'agent' || (doc_id % 5) AS agent_id, md5(text) AS label FROM documents WHERE doc_id % 5 <> 4)
+SELECT 'node' AS kind, id::VARCHAR AS id, agent_id, label, NULL AS to_id FROM d
+UNION ALL SELECT 'edge', d.id || '>', d.agent_id, CASE WHEN d.id % 2 = 0 THEN 'EVEN' ELSE 'ODD' END, o.id::VARCHAR FROM d JOIN d o ON o.id = d.id - 5
+UNION ALL SELECT 'left', d.id || '>', d.agent_id, NULL, (d.id - 5)::VARCHAR FROM d WHERE d.id - 5 NOT IN (SELECT id FROM d)""")
 def stream_tenants(spark, sf_dir):
-    """Batches of several tenants upserted at once; rows without a tenant are set aside."""
+    """Batches of several tenants, nodes and edges, upserted into buckets; rows without a tenant and edges without ends are set aside."""
     folder = _folder(spark)
+    k = F.col("doc_id")
     d = _stream(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 4, F.concat(F.lit("agent"), (F.col("doc_id") % 5).cast("string"))).alias("agent_id"), F.md5(F.col("text").cast("binary")).alias("label"), F.lit(0).alias("ordinal"))
-    kept: list[str] = []
-
-    def read() -> DataFrame | None:
-        return spark.read.parquet(kept[-1]) if kept else None
+        k.alias("id"), F.when(k % 5 != 4, F.concat(F.lit("agent"), (k % 5).cast("string"))).alias("agent_id"), F.md5(F.col("text").cast("binary")).alias("label"), F.lit(0).alias("ordinal"))
+    nodes = BucketedTable.create(spark.createDataFrame([], "id long, agent_id string, label string, updated_at timestamp"), f"{folder}/nodes")
+    edges = BucketedTable.create(spark.createDataFrame([], "id string, source_id long, target_id long, relation string, agent_id string, updated_at timestamp"), f"{folder}/edges")
+    left: list[str] = []
 
-    def write(rows: DataFrame, epoch: int) -> None:
-        path = f"{folder}/nodes-{epoch}"
-        rows.write.mode("overwrite").parquet(path)
-        kept.append(path)
+    def reject(rows: DataFrame, epoch: int) -> None:
+        left.append(f"{folder}/left-{len(left)}")
+        rows.write.mode("overwrite").parquet(left[-1])
 
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return memory.upsert_nodes(old, new, F.lit("2024-01-31").cast("timestamp")).select(*old.columns)
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        n = F.col("id")
+        return rows, rows.select(F.concat(n.cast("string"), F.lit(">")).alias("id"), n.alias("source_id"), (n - 5).alias("target_id"), F.when(n % 2 == 0, "EVEN").otherwise("ODD").alias("relation"), "agent_id")
 
-    step = jobs.tenant_batches(read, write, merge, lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{folder}/dead-{epoch}"))
+    step = jobs.tenant_batches(nodes, edges, split, F.lit("2024-01-31").cast("timestamp"), reject)
     d.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(kept[-1]).select("id", "agent_id", "label")
+    text = lambda c: F.col(c).cast("string")
+    out = nodes.read().select(F.lit("node").alias("kind"), text("id").alias("id"), "agent_id", "label", F.lit(None).cast("string").alias("to_id"))
+    out = out.unionByName(edges.read().select(F.lit("edge").alias("kind"), "id", "agent_id", F.col("relation").alias("label"), text("target_id").alias("to_id")))
+    return out.unionByName(spark.read.parquet(left[-1]).select(F.lit("left").alias("kind"), "id", "agent_id", F.lit(None).cast("string").alias("label"), text("target_id").alias("to_id")))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
+from loomspark.operators import memory
+from loomspark.operators.bucketed import BucketedTable
+from loomspark.operators.graph import cut_lineage
+
 
 def hourly_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """start, user_id, n, total per hour of event time; later events than `late` are dropped."""
@@ -155,16 +159,26 @@ def retried(send: Callable[[], None], attempts: int = 5, first: float = 0.5, wai
     return attempts
 
 
-def tenant_batches(read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], merge: Callable[[DataFrame, DataFrame], DataFrame], reject: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes all good payloads of a batch at once, each row under its own agent_id; rows without one are rejected.
+def tenant_batches(nodes: BucketedTable, edges: BucketedTable | None, split: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]], at: Column, reject: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes all good payloads of a batch at once, each row under its own agent_id.
 
-    If the write fails the batch fails, so nothing is committed and it is delivered again.
+    split gives the nodes and the edges of the batch. Rows without tenant or id, and edges without both ends among the
+    tenant's nodes, are rejected. Only the buckets of the rows are rewritten. If a write fails the batch fails, and it is
+    delivered again; what was written whole is then left as it is.
     """
-    inner = upsert_sink(read, write, merge)
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        reject(rows.where("agent_id is null or id is null"), epoch)
-        inner(rows.where("agent_id is not null and id is not null"), epoch)
+        new, links = split(rows)
+        bad = F.col("agent_id").isNull() | F.col("id").isNull()
+        reject(rows.where(bad), epoch)
+        good = latest_in_batch(new.where(~bad))
+        nodes.upsert(good, lambda old, new: memory.upsert_nodes(old, new, at), epoch)
+        if edges is None or links is None:
+            return
+        links = cut_lineage(links.where(~bad))
+        ends = cut_lineage(nodes.of(links.select(F.explode(F.array("source_id", "target_id")).alias("id"))).select("id", "agent_id"))
+        edges.upsert(links, lambda old, new: memory.upsert_edges(old, new, ends, at)[0], epoch)
+        reject(memory.upsert_edges(edges.read().limit(0), links, ends)[1], epoch)
 
     return batch
 
@@ -183,13 +197,11 @@ def latest_in_batch(batch: DataFrame, key: str = "id", order: str = "ordinal") -
     return batch.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
 
 
-def upsert_sink(read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: merge is idempotent by id, so a batch that is delivered again changes nothing."""
+def upsert_sink(table: BucketedTable, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the buckets of a batch are rewritten, and a batch that is delivered again changes nothing."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        old = read()
-        new = latest_in_batch(rows)
-        write(new if old is None else merge(old, new), epoch)
+        table.upsert(latest_in_batch(rows), merge, epoch)
 
     return batch
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import scores, texts
 from loomspark.operators import analytics, graph, ingest, memory, retrieval, similarity, training
+from loomspark.operators.bucketed import BucketedTable
 from loomspark.plans import text_queries
 from loomspark.sources import connectors, star
 from loomspark.streaming import jobs
@@ -205,21 +206,19 @@ def test_hourly_stream_matches_batch(spark, tmp_path):
 def test_upsert_sink_is_idempotent(spark, tmp_path):
     schema = "id string, v int, ordinal int"
     source = _stream(spark, str(tmp_path / "in"), [("a", 1, 0), ("a", 2, 1), ("b", 3, 0)], schema)
-    state = {}
+    table = BucketedTable.create(spark.createDataFrame([], schema), str(tmp_path / "t"))
+    rows = lambda: sorted(tuple(r) for r in table.read().collect())
 
     def merge(old, new):
         return old.join(new.select("id"), "id", "left_anti").unionByName(new)
 
-    def write(df, epoch):
-        state["rows"] = [tuple(r) for r in df.collect()]
-
-    sink = jobs.upsert_sink(lambda: spark.createDataFrame(state["rows"], schema) if state else None, write, merge)
+    sink = jobs.upsert_sink(table, merge)
     query = source.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
-    first = sorted(state["rows"])
+    first = rows()
     sink(spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 0)], schema), 0)
-    assert sorted(state["rows"]) == first == [("a", 2, 1), ("b", 3, 0)]
+    assert rows() == first == [("a", 2, 1), ("b", 3, 0)]
 
 
 def test_triage(spark):
