@@ -10,9 +10,11 @@ A form or a named box that holds most of a page's prose is taken for the page's
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from html import unescape
+from random import Random
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,6 +40,11 @@ NEUTRAL_PARTS = frozenset(
     "site page main top bottom left right inner outer wrapper wrap container box block area section list item items row col column bar slot unit panel widget module global "
     "primary secondary links link buttons button text body content head title posts stories articles thread feed js fixed sticky sm md lg xl id no".split()
 )
+QUOTE_PARTS = frozenset("pullquote pull quote quotes".split())  # of an aside that is the article's own
+TALK = re.compile(
+    r"^\s*(?:(?:\d+|one|two|three|no|reader|readers'?)\s+)*(?:comments?|responses?|replies|thoughts?|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas)"
+    r"(?:\s*\(?\d+\)?|\s+on\b.*|\s+to\b.*)?\s*:?\s*$|^\s*(?:leave|post|add|write)\s+a\s+(?:comment|reply|response)\b", re.I,
+)
 HOME_PARTS = frozenset("article content post entry story main body text".split())
 HOME_STRONG = frozenset("article content post entry story".split())
 OWN_END = frozenset("li dd dt td th tr option".split())
@@ -76,6 +83,8 @@ def _named(value: str) -> tuple[int, int]:
 def _marks(tag: str, attributes: str, within: int) -> tuple[int, int]:
     """The box that an element opens, and the home. A header within a home is that article's own."""
     box = STRONG if tag in FURNITURE or tag == "header" and not within else FORM if tag == "form" else NONE
+    if tag == "aside" and within and any(n.lower() == "class" and {x.lower() for x in PART.findall(v)} & QUOTE_PARTS for n, v in ATTRIBUTE.findall(attributes)):
+        box = NONE
     home = 2 if tag in ("article", "main") else 0
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
@@ -185,30 +194,38 @@ def blocks(html: str) -> list[Block]:
 
 FEATURES = (
     "box", "home", "heading", "sentence", "separators", "words", "density", "words before", "density before", "words behind", "density behind",
-    "words two before", "words two behind", "prose before", "prose behind",
+    "words two before", "words two behind", "prose before", "prose behind", "astray", "talk",
 )
 SENTENCE = tuple(".!?…:;。！？؟。\"”’»)")
 SEPARATORS = re.compile(r"[|·•©®→]|\ball rights reserved\b", re.I)
 
 
 def features(page: Sequence[Block]) -> list[tuple[float, ...]]:
-    """One row of FEATURES for each block."""
+    """One row of FEATURES for each block. astray: how much more of a home the page's prose has than the block; talk: behind a heading of comments."""
     words = [0.0, 0.0, *(float(b.words) for b in page), 0.0, 0.0]
     density = [0.0, 0.0, *(min(1.0, b.links / b.words) for b in page), 0.0, 0.0]
     prose = [i for i, b in enumerate(page) if b.box == 0 and b.words >= LONG and b.links < PROSE * b.words]
     first, last = (prose[0], prose[-1]) if prose else (len(page), -1)
+    top = max((page[i].home for i in prose), default=0)
+    talk, said = [], False
+    for b in page:
+        said = bool(TALK.match(b.text[:80])) if b.heading else said
+        talk.append(float(said))
     return [
         (
             float(b.box), float(b.home), float(b.heading), float(b.text.endswith(SENTENCE)), float(min(3, len(SEPARATORS.findall(b.text[:400])))), words[i], density[i],
-            words[i - 1], density[i - 1], words[i + 1], density[i + 1], words[i - 2], words[i + 2], float(first < i - 2), float(last > i - 2),
+            words[i - 1], density[i - 1], words[i + 1], density[i + 1], words[i - 2], words[i + 2], float(first < i - 2), float(last > i - 2), float(top - b.home), talk[i - 2],
         )
         for i, b in enumerate(page, 2)
     ]
 
 
-def labelled_table(pages: str = LABELLED_PAGES) -> list[tuple[float, ...]]:
-    """The labelled table: the features of each block of the labelled pages, and 1 for main text."""
-    rows: list[tuple[float, ...]] = []
+VARIANTS = 30  # of each labelled page, with sizes drawn anew
+
+
+def labelled_blocks(pages: str = LABELLED_PAGES) -> list[tuple[list[Block], list[bool]]]:
+    """The labelled pages as blocks, and for each block whether it is main text."""
+    out = []
     for page in pages.strip().split("\n\n"):
         found, labels = [], []
         for line in page.splitlines():
@@ -216,11 +233,52 @@ def labelled_table(pages: str = LABELLED_PAGES) -> list[tuple[float, ...]]:
                 continue
             label, where, n_words, n_links, *form = line.split()
             at = where.split(".")
-            text = "x" * (not form) + "".join({"s": ".", "|": "|"}[f] for f in sorted(form, reverse=True))
+            text = "x" * (not form) + "".join({"s": ".", "|": "|", "t": "comments"}[f] for f in sorted(form, reverse=True))
             box = 2 if "box" in at else 1 if "named" in at else 0
             found.append(Block(text, int(n_words), int(n_links), box, 2 if "article" in at else 1 if "content" in at else 0, int("h" in at)))
-            labels.append(float(label == "+"))
-        rows += [(*f, y) for f, y in zip(features(found), labels, strict=True)]
+            labels.append(label == "+")
+        out.append((found, labels))
+    return out
+
+
+def varied(page: Sequence[Block], labels: Sequence[bool], rng: Random) -> tuple[list[Block], list[bool]]:
+    """A page of the same layout with other sizes, so that no cut rests on the sizes that a labelled page happens to have.
+
+    Between prose of the article a paragraph that is mostly links may come in, as where a text says what else to read,
+    and furniture that is named as such anywhere.
+    """
+    out: list[Block] = []
+    kept: list[bool] = []
+    up_to = lambda least, most: int(math.exp(rng.uniform(math.log(least), math.log(most + 0.99))))
+    for i, (b, y) in enumerate(zip(page, labels, strict=True)):
+        share = b.links / b.words
+        if y:
+            n = rng.randint(1, 14) if b.heading or b.words < LONG else up_to(8, 160)
+        elif b.box or b.words >= LONG:
+            n = up_to(1, 70) if b.box else up_to(8, 120)
+        else:
+            n = rng.randint(1, 4) if share == 1 else max(1, round(b.words * rng.uniform(0.5, 1.5)))
+        out.append(b._replace(words=n, links=round(share * n)))
+        kept.append(y)
+        if rng.random() < 0.12:  # furniture may stand anywhere
+            n = up_to(1, 60)
+            out.append(Block(rng.choice(("x", "x.")), n, rng.choice((0, n)), rng.choice((1, 2)), b.home, 0))
+            kept.append(False)
+        follows = any(z and not x.heading and x.words >= LONG for x, z in zip(page[i + 1 :], labels[i + 1 :], strict=True))
+        if y and not b.box and follows and (b.home or b.words >= LONG) and rng.random() < 0.25:
+            n = rng.randint(1, 30)
+            out.append(b._replace(text=rng.choice(("x", "x.")), words=n, heading=0, links=min(n, max(1, round(n * rng.uniform(0.3, 1.0 if b.home else 0.9))))))
+            kept.append(True)
+    return out, kept
+
+
+def labelled_table(pages: str = LABELLED_PAGES, variants: int = VARIANTS) -> list[tuple[float, ...]]:
+    """The labelled table: the features of each block of the labelled pages and of their variants, and 1 for main text."""
+    rows: list[tuple[float, ...]] = []
+    for k, (page, labels) in enumerate(labelled_blocks(pages)):
+        for i in range(variants + 1):
+            found, kept = varied(page, labels, Random(f"{k} {i}")) if i else (page, labels)
+            rows += [(*f, float(y)) for f, y in zip(features(found), kept, strict=True)]
     return rows
 
 
@@ -231,7 +289,7 @@ class Node(NamedTuple):
     high: Node | bool
 
 
-def grow(rows: list[tuple[float, ...]], depth: int = 10, leaf: int = 2) -> Node | bool:
+def grow(rows: list[tuple[float, ...]], depth: int = 8, leaf: int = 15) -> Node | bool:
     """A decision tree by Gini impurity, of at most that depth and with at least `leaf` rows on each side of a cut.
 
     The earliest feature and the least limit win ties, so it is the same each time.

@@ -2,7 +2,7 @@
 
 A page is a run of lines, one block each in page order: + for main text or - for the rest, where it stands (plain, or
 of box, named, content, article and h for a heading, joined by dots), its words, its words within links, and of its
-form s (ends like a sentence) and | (holds a separator such as a bar or a copyright sign).
+form s (ends like a sentence), | (holds a separator such as a bar or a copyright sign) and t (speaks of comments).
 """
 
 LABELLED_PAGES = """
@@ -149,21 +149,6 @@ LABELLED_PAGES = """
 - content 2 2
 - named 12 12
 
-# unlucky name in the middle of prose
-- box 1 1
-+ content 85 0 s
-+ named 90 0 s
-+ content 70 0 s
-- box 3 3
-
-# unlucky names, without a column
-+ plain 60 0 s
-+ named 95 1 s
-+ plain 45 0 s
-+ named 110 0 s
-+ plain 52 0 s
-- plain 2 2
-
 # named sidebar of long texts beside links
 + plain.h 6 0
 + plain 70 0 s
@@ -617,4 +602,146 @@ LABELLED_PAGES = """
 + content 5 0 s
 - content 2 2
 - content 4 0 |
+
+# unnamed comments behind an article
+- box 1 1
+- box 2 2
++ article.h 6 0
++ article 50 0 s
++ article 40 2 s
++ article 22 0 s
+- plain.h 2 0 t
+- plain 30 0 s
+- plain 2 1
+- plain 55 0 s
+- plain 14 0 s
+- plain 1 1
+- box 4 0 |
+
+# unnamed comments behind an article, no heading of their own
+- box 3 3
++ article.h 5 0
++ article 34 0 s
++ article 61 0 s
+- plain 3 1
+- plain 25 0 s
+- plain 3 1
+- plain 41 0 s
+- plain 2 0
+
+# unnamed comments inside an article
++ article.h 5 0
++ article 34 0 s
++ article 61 0 s
++ article.h 3 0
++ article 28 0 s
+- article.h 2 0 t
+- article 31 0 s
+- article 2 1
+- article 18 0 s
+
+# unnamed comments on a page without an article element
+- plain 2 2
+- plain 1 1
++ plain.h 6 0
++ plain 60 0 s
++ plain 35 0 s
++ plain 48 4 s
+- plain.h 2 0 t
+- plain 30 0 s
+- plain 2 0
+- plain 44 0 s
+- plain 12 0 s
+
+# comments behind a content box
+- box 2 2
++ plain.h 7 0
++ content 50 0 s
++ content 40 0 s
++ content 4 0
++ content 27 0 s
+- plain.h 2 0 t
+- plain 35 0 s
+- plain 21 0 s
+- plain 3 0 |
+
+# heading above the content box, other stories below
+- plain 1 1
+- plain 2 2
++ plain.h 7 0
++ content 50 0 s
++ content 31 0 s
++ content 64 3 s
+- plain.h 2 0
+- plain 6 6
+- plain 5 5
+- plain 7 7
+- plain 5 0 |
+
+# what else to read at the end of an article
+- box 1 1
++ article.h 8 0
++ article 44 0 s
++ article 52 0 s
+- article.h 2 0
+- article 3 3
+- article 2 2
+- article 4 4
+
+# article among paragraphs that lead elsewhere
++ article.h 8 0
++ article 30 0 s
++ article 6 4
++ article 30 0 s
++ article 9 6 s
++ article 25 0 s
++ article 5 3
++ article 16 0 s
+
+# plain page with paragraphs that lead elsewhere
+- plain 1 1
+- plain 1 1
+- plain 2 2
++ plain.h 5 0
++ plain 30 0 s
++ plain 6 4
++ plain 30 0 s
++ plain 33 0 s
++ plain 12 6 s
++ plain 40 0 s
+- plain 1 1
+- plain 2 2
+- plain 3 0 |
+
+# a post beside the article element
+- box 2 2
++ article 9 0
++ article 40 0 s
++ article 33 0 s
++ content 31 0 s
++ content 25 0 s
+
+# steps of an article that are links
+- box 1 1
++ article.h 5 0
++ article 20 0 s
++ article 3 3
++ article.h 2 0
++ article 24 0 s
++ article 2 2
++ article 4 4
++ article 3 0
++ article 31 0 s
+
+# subheads before short lines
+- box 2 2
++ article.h 5 0
++ article 30 0 s
++ article.h 2 0
++ article 3 0 s
++ article 28 0 s
++ article.h 1 0
++ article 2 0
++ article.h 3 0
++ article 40 0 s
 """

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import blind_pages
 import corpus_pipeline
+import held_out_pages
 from loomspark.llm import bpe, chat, fingerprints, html_text, jaccard, language, links, mixing, neighbours, registry, sharding, suffixes
 from loomspark.llm._words import shingle_set, word_hashes
 
@@ -606,16 +608,16 @@ def test_tree_is_bounded_and_reads_the_neighbours():
         used.add(html_text.FEATURES[node.feature])
         return 1 + max(depth(node.low), depth(node.high))
 
-    assert depth(tree) <= 10 and {"density before", "density behind", "words behind", "home", "box"} <= used
+    assert depth(tree) <= 8 and {"density behind", "words behind", "words before", "home", "box", "astray", "talk"} <= used
     assert sum(html_text.decide(tree, r) == bool(r[-1]) for r in table) >= 0.97 * len(table)
+    assert html_text.labelled_table() == table
     assert html_text.grow([(1.0, 1.0), (2.0, 1.0)]) is True and html_text.grow([(1.0, 0.0)] * 5) is False
 
 
-def test_held_out_pages():
+@pytest.mark.parametrize("pages", [held_out_pages.pages, blind_pages.pages])
+def test_held_out_pages(pages):
     import re
 
-    from held_out_pages import pages
-
     tree = html_text.grow(html_text.labelled_table())
     n = 0
     for name, html in pages():
@@ -624,6 +626,18 @@ def test_held_out_pages():
     assert n >= 30
 
 
+def test_no_paragraph_is_lost_and_no_menu_kept_at_any_size():
+    tree = html_text.grow(html_text.labelled_table())
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    for n in range(1, 90):
+        assert html_text.main_text(f"<nav><a href=x>A</a></nav><article><p>{text(n)}.</p></article>", tree) == text(n) + ".", n
+    for box in ("<article>{}</article>", "<main>{}</main>", "<div class='post-content'>{}</div>", "<div>{}</div>"):
+        for n in (13, 20, 30, 45, 80, 150):
+            for m in (2, 4, 9):
+                inner = f"<p>{text(n)}.</p><p>Read more: <a href=x>{text(m)}</a></p><p>{text(n)}.</p>"
+                assert html_text.main_text(box.format(inner), tree).split("\n\n") == [text(n) + ".", f"Read more: {text(m)}", text(n) + "."], (box, n, m)
+
+
 def test_pages_and_odd_rows(spark):
     import html as H
     import re
