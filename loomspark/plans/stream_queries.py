@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.operators.bucketed import BucketedTable
 from loomspark.operators.folders import scratch
 from loomspark.plans.catalog import query, table
-from loomspark.streaming import jobs
+from loomspark.streaming import jobs, keyed
 
 
 def _folder(spark: SparkSession) -> str:
@@ -28,14 +29,8 @@ def _drained(out: DataFrame, mode: str = "append") -> DataFrame:
     def keep(rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")  # a batch that comes again replaces itself
 
-    # Timeouts by processing time would go on making empty batches.
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
+    with keyed.keyed_state(spark):
         run = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(name, before)
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out").select(*out.columns)
 
@@ -52,9 +47,9 @@ def stream_hours(spark, sf_dir):
 def stream_limit(spark, sf_dir):
     """The sliding log in keyed state; requests of one moment count in the order of their ids."""
     e = _stream(spark, sf_dir, "events")
-    out = _drained(jobs.limited(e, 2, 6 * 3600))
+    out = _drained(keyed.limited(e, 2, 6 * 3600))
     b = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    tied = F.row_number().over(jobs.W.partitionBy("user_id", "ts").orderBy("event_id")) - 1
+    tied = F.row_number().over(Window.partitionBy("user_id", "ts").orderBy("event_id")) - 1
     b = b.withColumn("tied", tied.cast("long"))
     return out.join(b.select("event_id", "tied"), "event_id").select("event_id", "user_id", (F.col("used") - F.col("tied")).alias("before"), "tied")
 
@@ -67,7 +62,7 @@ SELECT claim_id, node_id, agent_id, granted FROM s""")
 def stream_leases(spark, sf_dir):
     """Exclusive leases of a day in keyed state."""
     e = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("claim_id"), (F.col("event_id") % 40).alias("node_id"), F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("agent_id"), "ts")
-    return _drained(jobs.leases(e, 86_400))
+    return _drained(keyed.leases(e, 86_400))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
@@ -75,7 +70,7 @@ SELECT conv_id AS session_id, md5(string_agg(s, chr(10) ORDER BY turn)) AS turns
 def stream_sessions(spark, sf_dir):
     """The last six turns of each conversation in keyed state (digests)."""
     c = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    out = _drained(jobs.sessions_memory(c), "update")
+    out = _drained(keyed.sessions_memory(c), "update")
     return out.groupBy("session_id").agg(F.max_by("turns", F.length("turns")).alias("turns")).select("session_id", F.md5(F.col("turns").cast("binary")).alias("turns"))
 
 

@@ -12,7 +12,7 @@ from loomspark.operators import analytics, graph, ingest, memory, retrieval, sim
 from loomspark.operators.bucketed import BucketedTable
 from loomspark.plans import text_queries
 from loomspark.sources import connectors, star
-from loomspark.streaming import jobs
+from loomspark.streaming import jobs, keyed
 
 SF = "/root/testdata/sf0.001"
 
@@ -180,11 +180,10 @@ def test_streamed_limit_matches_batch(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [(i, t + dt.timedelta(seconds=i * 7 % 100), i % 3) for i in range(60)]
     schema = "event_id long, ts timestamp, user_id long"
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would go on making batches
-    out = jobs.limited(_stream(spark, str(tmp_path / "in"), rows, schema), 5, 30)
-    query = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out = keyed.limited(_stream(spark, str(tmp_path / "in"), rows, schema), 5, 30)
+    with keyed.keyed_state(spark):
+        query = out.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(60)
-    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     batch = analytics.rate_limit(spark.createDataFrame(rows, schema), 5, 30).select("event_id", "used").collect()
     # Events of equal time count together in the batch form, one after the other in the stream.
     streamed = {r.event_id: r.used for r in spark.table("limited").collect()}
