@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
 
 WRITES = re.compile(r"\b(create|merge|delete|set|remove|detach|drop|insert|update|truncate|alter|replace|refresh|cache|load|grant|call)\b", re.I)
 
@@ -160,9 +163,12 @@ def kafka_sink(servers: str, topic: str) -> dict[str, str]:
 
 
 class SqlPages(DataSource):
-    """A data source 'sql_pages': the rows of a query on a DB-API database, by keyset pages.
+    """A data source 'sql_pages': the rows of a query on a DB-API database by keyset pages, as a table or as a stream.
 
-    Options: module (sqlite3), database, query, cursor (an ascending column), batch, and after, a cursor to go on from.
+    Options: module (sqlite3), database, query, cursor (an ascending column), batch, and after, a cursor to go on from. A
+    stream's offset is the last cursor value read; rows that come later must have greater ones. For it `rows` bounds a
+    batch, once the reader knows where it stands (not the first batch after a restart, which takes all there is), and
+    whole-number cursors are dealt into `partitions` ranges of the batch's rows, read by as many tasks.
     Register it with spark.dataSource.register(SqlPages) and give the schema with the read.
     """
 
@@ -173,27 +179,155 @@ class SqlPages(DataSource):
     def reader(self, schema) -> SqlPagesReader:  # noqa: ANN001
         return SqlPagesReader(schema.fieldNames(), dict(self.options))
 
+    def streamReader(self, schema) -> SqlPagesStream:  # noqa: ANN001, N802
+        return SqlPagesStream(schema.fieldNames(), dict(self.options))
+
+
+class _Pages:
+    """Pages of a guarded query between two values of its cursor."""
 
-class SqlPagesReader(DataSourceReader):
     def __init__(self, columns: list[str], options: dict[str, str]) -> None:
         query, cursor = options["query"].strip().rstrip(";"), options["cursor"]
         if not re.match(r"(select|with)\b", query, re.I) or ";" in query or WRITES.search(query) or not re.fullmatch(r"[A-Za-z_]\w*", cursor):
             raise ValueError("only a reading query and a plain cursor column are allowed")
         self.columns, self.options, self.query, self.cursor = columns, options, query, cursor
 
-    def read(self, partition) -> Iterator[tuple]:  # noqa: ANN001, ARG002
+    def _asked(self, sql: str, values: tuple) -> list[tuple]:
         import importlib
 
         connection = importlib.import_module(self.options.get("module", "sqlite3")).connect(self.options["database"])
-        batch, after = int(self.options.get("batch", "500")), self.options.get("after")
-        names = ", ".join(self.columns)
         try:
-            while True:
-                where = "" if after is None else f" WHERE {self.cursor} > ?"
-                rows = connection.execute(f"SELECT {names}, {self.cursor} FROM ({self.query}) q{where} ORDER BY {self.cursor} LIMIT {batch}", () if after is None else (after,)).fetchall()
-                yield from (r[:-1] for r in rows)
-                if len(rows) < batch:
-                    return
-                after = rows[-1][-1]
+            return connection.execute(sql, values).fetchall()
         finally:
             connection.close()
+
+    def _between(self, after, upto) -> tuple[str, tuple]:  # noqa: ANN001
+        bounds = [(f"{self.cursor} > ?", after), (f"{self.cursor} <= ?", upto)]
+        used = [(c, v) for c, v in bounds if v is not None]
+        return (" WHERE " + " AND ".join(c for c, _ in used) if used else ""), tuple(v for _, v in used)
+
+    def pages(self, after, upto=None) -> Iterator[tuple]:  # noqa: ANN001
+        batch, names = int(self.options.get("batch", "500")), ", ".join(self.columns)
+        while True:
+            where, values = self._between(after, upto)
+            rows = self._asked(f"SELECT {names}, {self.cursor} FROM ({self.query}) q{where} ORDER BY {self.cursor} LIMIT {batch}", values)
+            yield from (r[:-1] for r in rows)
+            if len(rows) < batch:
+                return
+            after = rows[-1][-1]
+
+
+class SqlPagesReader(_Pages, DataSourceReader):
+    def read(self, partition) -> Iterator[tuple]:  # noqa: ANN001, ARG002
+        return self.pages(self.options.get("after"))
+
+
+class KeyRange(InputPartition):
+    def __init__(self, after, upto) -> None:  # noqa: ANN001
+        self.after, self.upto = after, upto
+
+
+class SqlPagesStream(_Pages, DataSourceStreamReader):
+    """The rows of a batch are those with a cursor after its start and up to its end, so a batch read again gives the same rows."""
+
+    at = None  # where the next batch begins, once that is known
+    known = False
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        self.at, self.known = self.options.get("after"), True
+        return {"cursor": self.at}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        where, values = self._between(self.at, None)
+        rows = int(self.options.get("rows", "0"))
+        found = self._asked(f"SELECT {self.cursor} FROM ({self.query}) q{where} ORDER BY {self.cursor} LIMIT 1 OFFSET {rows - 1}", values) if rows and self.known else []
+        last = found[0][0] if found else self._asked(f"SELECT MAX({self.cursor}) FROM ({self.query}) q{where}", values)[0][0]
+        return {"cursor": self.at if last is None else last}
+
+    def partitions(self, start: dict, end: dict) -> list[KeyRange]:
+        after, upto = start["cursor"], end["cursor"]
+        self.at, self.known = upto, True
+        if upto is None or after == upto:
+            return []
+        parts = int(self.options.get("partitions", "1"))
+        if parts > 1 and isinstance(upto, int):
+            where, values = self._between(after, upto)
+            least = self._asked(f"SELECT MIN({self.cursor}) FROM ({self.query}) q{where}", values)[0][0]
+            if least is not None:
+                cuts = sorted({least - 1 + (upto - least + 1) * i // parts for i in range(1, parts)} - {least - 1, upto})
+                return [KeyRange(a, b) for a, b in zip([after, *cuts], [*cuts, upto], strict=True)]
+        return [KeyRange(after, upto)]
+
+    def read(self, partition: KeyRange) -> Iterator[tuple]:
+        return self.pages(partition.after, partition.upto)
+
+
+class EpochFiles(DataSource):
+    """A streaming sink 'epoch_files': JSON lines that count only once their epoch is committed.
+
+    Option path, a folder (a local path or a URI that pyarrow knows). Each task writes one file under the epoch's folder and
+    reports it; the commit writes the epoch's list of files, in one step. A task or an epoch that fails leaves no
+    list, an epoch that comes again replaces its list, and what no list names is never read. committed() reads the rest.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "epoch_files"
+
+    def streamWriter(self, schema, overwrite: bool) -> EpochWriter:  # noqa: ANN001, ARG002, N802
+        return EpochWriter(dict(self.options)["path"], schema.fieldNames())
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    file: str
+    rows: int
+
+
+class EpochWriter(DataSourceStreamWriter):
+    def __init__(self, path: str, columns: list[str]) -> None:
+        self.path, self.columns = path, columns
+
+    def _store(self):  # noqa: ANN202
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+
+    def write(self, iterator) -> Written:  # noqa: ANN001
+        store, root = self._store()
+        store.create_dir(f"{root}/data", recursive=True)
+        file, n = f"data/{uuid.uuid4().hex}.jsonl", 0
+        with store.open_output_stream(f"{root}/{file}") as out:
+            for row in iterator:
+                out.write((json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False) + "\n").encode())
+                n += 1
+        return Written(file, n)
+
+    def commit(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
+        store, root = self._store()
+        store.create_dir(f"{root}/epochs", recursive=True)
+        listed = [m.file for m in messages if m and m.rows]
+        with store.open_output_stream(f"{root}/_{batchId}.tmp") as out:
+            out.write(json.dumps(listed).encode())
+        store.move(f"{root}/_{batchId}.tmp", f"{root}/epochs/{batchId:012d}.json")
+        self._remove(store, root, [m.file for m in messages if m and not m.rows])
+
+    def abort(self, messages: list[Written | None], batchId: int) -> None:  # noqa: ARG002, N803
+        store, root = self._store()
+        self._remove(store, root, [m.file for m in messages if m])
+
+    def _remove(self, store, root: str, files: list[str]) -> None:  # noqa: ANN001
+        for f in files:
+            store.delete_file(f"{root}/{f}")
+
+
+def committed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of an epoch_files sink whose epochs were committed."""
+    lists = spark.read.text(f"{path}/epochs", wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("f")) if _has(spark, f"{path}/epochs") else None
+    files = [f"{path}/{r.f}" for r in lists.collect()] if lists is not None else []  # names of files, not rows
+    return spark.read.schema(schema).json(files) if files else spark.createDataFrame([], schema)
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
