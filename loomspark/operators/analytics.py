@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,26 +72,52 @@ def until_budget(rows: DataFrame, size: str, budget: int, order: list[Column]) -
     return own.withColumn("before", F.col("_start") + within).where(F.col("before") < budget).drop("_pid", "_start", *keys)
 
 
-def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
-    """A number from 0 to n - 1 that the seed, the resample and the draw decide, alike in any engine that has md5."""
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), i.cast("string")).cast("binary")), 1, 8)
-    return F.conv(digits, 16, 10).cast("long") % n
+PRIME = 2_147_483_647
+#: x of a draw from 0 to PRIME - 1 stands for as many copies of a task as there are limits up to x: the Poisson law of mean 1.
+COPIES = tuple(math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(10))
 
 
-def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """arm, mean, low, high: the mean of task means and its 95 % interval by resampling tasks. scores (arm, task, score)."""
+def drawn(resample, task, seed: int):  # noqa: ANN001, ANN201
+    """A number from 0 to PRIME - 1 for whole numbers resample and task under PRIME (arrays too), the same in any engine of 64-bit integers."""
+    b, i = resample + 1, task + 1
+    x = (b * 1_103_515_245 + i * 12_345 + seed) % PRIME
+    y = (x * x + i * 69_621) % PRIME
+    z = (y * y + b * 48_271) % PRIME
+    return (z * z + x) % PRIME
+
+
+def bootstrap(scores: DataFrame, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+    """arm, mean, low, high: the mean of task means and its 95 % interval by resampling tasks. scores (arm, task, score).
+
+    A resample takes each task as often as a Poisson variable of mean 1 says, which a hash of (resample, task) gives; so
+    tasks need no numbers, and a task of Spark adds its rows to one vector of sums an arm as they pass. What is shuffled is
+    a row for each arm and resample. Resamples without any task are left out.
+    """
     tasks = scores.groupBy("arm", "task").agg(F.avg("score").alias("m"))
-    ordered = tasks.withColumn("i", F.row_number().over(W.partitionBy("arm").orderBy("task")) - 1).withColumn("n", F.count("*").over(W.partitionBy("arm")))
-    draws = ordered.select("arm", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    draws = draws.select("arm", "b", draw(seed, F.col("b"), F.col("i"), F.col("n")).alias("i"))
-    means = draws.join(ordered.select("arm", "i", "m"), ["arm", "i"]).groupBy("arm", "b").agg(F.avg("m").alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(W.partitionBy("arm").orderBy("m", "b")) - 1)
-    at = lambda q: F.max(F.when(F.col("r") == int(q * resamples), F.col("m")))
+    code = F.conv(F.substring(F.md5(F.coalesce(F.col("task").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % PRIME
+    kind = scores.schema["arm"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+        numbers, limits = np.arange(resamples, dtype=np.int64), np.array(COPIES)
+        for batch in batches:
+            for arm, i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                w = np.searchsorted(limits, drawn(numbers, i, seed), side="right")
+                held = sums.setdefault(arm, np.zeros((2, resamples)))
+                held[0] += w * m
+                held[1] += w
+        for arm, (total, copies) in sums.items():
+            yield pa.RecordBatch.from_pydict({"arm": [arm] * resamples, "b": numbers, "total": total, "copies": copies}, schema=None)
+
+    drawn_rows = tasks.where("m IS NOT NULL").select("arm", code.alias("i"), "m").mapInArrow(run, f"arm {kind}, b long, total double, copies double")
+    means = drawn_rows.groupBy("arm", "b").agg(F.sum("total").alias("total"), F.sum("copies").alias("copies")).where("copies > 0").select("arm", "b", (F.col("total") / F.col("copies")).alias("m"))
+    ranked = means.withColumns({"r": F.row_number().over(W.partitionBy("arm").orderBy("m", "b")) - 1, "n": F.count("*").over(W.partitionBy("arm"))})  # as many rows an arm as resamples
+    at = lambda q: F.max(F.when(F.col("r") == F.floor(F.col("n") * q), F.col("m")))
     ends = ranked.groupBy("arm").agg(at(0.025).alias("low"), at(0.975).alias("high"))
     return tasks.groupBy("arm").agg(F.avg("m").alias("mean")).join(ends, "arm")
 
 
-def paired_lift(scores: DataFrame, arm: str, base: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
+def paired_lift(scores: DataFrame, arm: str, base: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """The bootstrap of arm - base per task, and whether the interval leaves out 0."""
     tasks = scores.groupBy("arm", "task").agg(F.avg("score").alias("m"))
     a, b = tasks.where(F.col("arm") == arm).select("task", F.col("m").alias("a")), tasks.where(F.col("arm") == base).select("task", F.col("m").alias("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import properties, texts
-from loomspark.operators import access, analytics, context, graph, ingest, retrieval, similarity, training, upkeep
+from loomspark.operators import access, analytics, context, graph, ingest, model_calls, retrieval, similarity, training, upkeep
 from loomspark.plans.catalog import query, table
 from loomspark.sources.star import DOCS, EDGES, NODES, VECTORS, document_edges, document_nodes, edges, nodes, vector_nodes
 
@@ -310,12 +310,26 @@ def vector_check(spark, sf_dir):
     return ingest.checked_vectors(rows, 64, False).select("vec_id", F.col("vector_state").alias("state"))
 
 
-@query("SELECT user_id AS doc_id, count(DISTINCT event_type) AS chunks, count(DISTINCT CASE WHEN event_id % 4 <> 0 THEN event_type END) AS good FROM events WHERE event_id % 5 < 3 GROUP BY 1 HAVING good > 0")
+@query("""WITH c AS (SELECT conv_id AS doc_id, turn AS chunk_no, length(text) AS n FROM conversations), r AS (SELECT *, CASE WHEN n % 5 = 4 THEN 9 ELSE 1 + n % 5 END AS need FROM c),
+g AS (SELECT doc_id, max(CASE WHEN need <= 3 THEN 1 ELSE 0 END) AS ok FROM r GROUP BY 1)
+SELECT doc_id, chunk_no, least(need, 3)::INT AS attempts, CASE WHEN need <= 3 THEN md5('{"n": ' || n || '}') END AS answer, CASE WHEN need > 3 THEN CASE WHEN n % 5 = 4 THEN 'ValueError: too long' ELSE 'not JSON' END END AS error, g.ok = 0 AS aside FROM r JOIN g USING (doc_id)""")
 def extraction_retry(spark, sf_dir):
-    """Documents of which some chunk succeeded within three attempts."""
-    k = F.col("event_id")
-    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("chunk_no"), (k % 5 + 1).alias("attempt"), (k % 4 != 0).alias("ok"))
-    return ingest.retries(a)[0].select("doc_id", "chunks", "good")
+    """A stand-in model that says 'not yet' until it has been told of its error so often as the length of a text asks; some texts always fail."""
+
+    def call(said, errors):  # noqa: ANN001, ANN202
+        out = []
+        for text, error in zip(said, errors, strict=True):
+            n, tries = len(text), 1 + (0 if error is None else error.count("not JSON") + error.count("again"))
+            out.append('{"n": %d}' % n if n % 5 < tries else "not yet" + " again" * (tries - 1) if n % 5 != 4 else "too long")
+        return out
+
+    def check(answer):  # noqa: ANN001, ANN202
+        return F.when(answer == "too long", "ValueError: too long").when(~answer.startswith("{"), F.concat(F.lit("not JSON"), F.regexp_replace(answer, "^not yet", "")))
+
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"), "text")
+    done, aside = model_calls.attempted(chunks, call, check)
+    error = F.when(F.col("error").startswith("not JSON"), "not JSON").otherwise(F.col("error"))
+    return done.join(aside.withColumn("aside", F.lit(True)), "doc_id", "left").select("doc_id", "chunk_no", "attempts", F.md5(F.col("answer").cast("binary")).alias("answer"), error.alias("error"), F.coalesce("aside", F.lit(False)).alias("aside"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['the ' || lang || ' one'] ELSE ['A ' || lang, 'b', 'c', 'd', 'e'] END AS questions FROM documents")

@@ -100,10 +100,13 @@ def session_last_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("r", r).where("r <= 6").select("conv_id", "turn", "role")
 
 
-BOOT = """, t AS (SELECT arm, task, avg(score) AS m FROM scores GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY task) - 1 AS i, count(*) OVER (PARTITION BY arm) AS n FROM t),
-d AS (SELECT arm, b, ('0x' || substr(md5('7:' || b || ':' || i), 1, 8))::BIGINT % n AS i FROM o, range(200) x(b)),
-s AS (SELECT d.arm, d.b, avg(o.m) AS m FROM d JOIN o ON o.arm = d.arm AND o.i = d.i GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY m, b) - 1 AS r FROM s)
-SELECT arm, round((SELECT avg(m) FROM t WHERE t.arm = k.arm), 5) AS mean, round(max(m) FILTER (WHERE r = 5), 5) AS low, round(max(m) FILTER (WHERE r = 195), 5) AS high"""
+RESAMPLES = 500
+BOOT = f""", t AS (SELECT arm, task, avg(score) AS m, ('0x' || substr(md5(task::VARCHAR), 1, 8))::BIGINT % 2147483647 AS i FROM scores GROUP BY 1, 2),
+x AS (SELECT arm, m, i + 1 AS i, b + 1 AS b, ((b + 1) * 1103515245 + (i + 1) * 12345 + 7) % 2147483647 AS x FROM t, range({RESAMPLES}) r(b)),
+y AS (SELECT *, (x * x + i * 69621) % 2147483647 AS y FROM x), z AS (SELECT *, (y * y + b * 48271) % 2147483647 AS z FROM y), u AS (SELECT arm, b, m, (z * z + x) % 2147483647 AS u FROM z),
+w AS (SELECT arm, b, m, {" + ".join(f"(u >= {c})::INT" for c in analytics.COPIES)} AS w FROM u), s AS (SELECT arm, b, sum(w * m) / sum(w) AS m FROM w GROUP BY 1, 2 HAVING sum(w) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY m, b) - 1 AS r, count(*) OVER (PARTITION BY arm) AS n FROM s)
+SELECT arm, round((SELECT avg(m) FROM t WHERE t.arm = k.arm), 5) AS mean, round(max(m) FILTER (WHERE r = floor(n * 0.025::DOUBLE)), 5) AS low, round(max(m) FILTER (WHERE r = floor(n * 0.975::DOUBLE)), 5) AS high"""
 SCORES = "WITH scores AS (SELECT event_type AS arm, user_id AS task, value AS score FROM events)"
 
 
@@ -113,15 +116,15 @@ def _scores(spark, sf_dir):
 
 @query(SCORES + BOOT + " FROM k GROUP BY arm")
 def bootstrap_ci(spark, sf_dir):
-    out = analytics.bootstrap(_scores(spark, sf_dir), 200)
+    out = analytics.bootstrap(_scores(spark, sf_dir), RESAMPLES)
     return out.select("arm", *[F.round(c, 5).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("""WITH base AS (SELECT event_type AS arm, user_id AS task, avg(value) AS m FROM events GROUP BY 1, 2),
 scores AS (SELECT 'click - error' AS arm, a.task, a.m - b.m AS score FROM base a JOIN base b ON b.task = a.task AND a.arm = 'click' AND b.arm = 'error')"""
-       + BOOT + ", max(m) FILTER (WHERE r = 5) > 0 OR max(m) FILTER (WHERE r = 195) < 0 AS significant FROM k GROUP BY arm")
+       + BOOT + ", max(m) FILTER (WHERE r = floor(n * 0.025::DOUBLE)) > 0 OR max(m) FILTER (WHERE r = floor(n * 0.975::DOUBLE)) < 0 AS significant FROM k GROUP BY arm")
 def paired_lift(spark, sf_dir):
-    out = analytics.paired_lift(_scores(spark, sf_dir), "click", "error", 200)
+    out = analytics.paired_lift(_scores(spark, sf_dir), "click", "error", RESAMPLES)
     return out.select("arm", *[F.round(c, 5).alias(c) for c in ("mean", "low", "high")], "significant")
 
 
