@@ -66,3 +66,11 @@ def keep_schema(rows, path: str) -> None:  # noqa: ANN001
 def parts_of(spark: SparkSession, path: str):  # noqa: ANN201
     """The table at path, with the columns that keep_schema() noted; without parts it is empty."""
     return spark.read.schema(spark.read.parquet(f"{path}-columns").schema).parquet(path)
+
+
+def staged(rows, name: str = "rows"):  # noqa: ANN001, ANN201
+    """rows by way of a table in the shared folder. A loop of many rounds needs this rather than checkpoints, which hand on
+    what the optimizer has inferred of their columns, more with each round."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

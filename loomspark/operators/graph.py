@@ -177,13 +177,29 @@ def breadth_first_paths(edges: DataFrame, starts: DataFrame, shortest: int = 2,
     return found.select("path", "relations")
 
 
+def hubs_of(rows: DataFrame, key: str, share: int = 8) -> DataFrame:
+    """key: the ids with more than one in share * partitions of all rows; there can be no more than share * partitions of them."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = max(1024, rows.count() // (share * parts))
+    return cut_lineage(rows.groupBy(F.col(key).alias("hub")).agg(F.count("*").alias("n")).where(F.col("n") > bound).select("hub"))
+
+
+def hub_join(rows: DataFrame, key: str, table: DataFrame, hubs: DataFrame) -> DataFrame:
+    """rows joined with table (one row a key): the rows of hubs stay where they are and meet a broadcast, the rest is shuffled."""
+    if hubs.isEmpty():
+        return rows.join(table, key)
+    own = F.broadcast(hubs.withColumnRenamed("hub", key))
+    return rows.join(own, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(table.join(own, key, "left_semi")), key))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component (its least id): labels spread along undirected edges and jump to their own label, so rounds are few."""
     both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("to"))).where("id <> to").distinct()
     both = cut_lineage(both)
+    hubs = hubs_of(both, "id")
     labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
     while True:
-        heard = both.join(labels, "id").groupBy(F.col("to").alias("id")).agg(F.min("component").alias("heard"))
+        heard = hub_join(both, "id", labels, hubs).groupBy(F.col("to").alias("id")).agg(F.min("component").alias("heard"))
         spread = labels.join(heard, "id", "left").select("id", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
         of = spread.select(F.col("id").alias("component"), F.col("component").alias("jump"))
         after = cut_lineage(spread.join(of, "component").select("id", F.least("component", "jump").alias("component"), "old"))
@@ -192,18 +208,25 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = after.drop("old")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """id, rank after so many rounds; parallel edges count once, nodes without out-edges spread over all."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """id, rank after so many rounds, or earlier once the ranks move by less than tolerance for each node on average; parallel edges count once, nodes without out-edges spread over all."""
     pairs = cut_lineage(edges.select("source_id", "target_id").distinct())
+    hubs = hubs_of(pairs, "source_id")
     out = pairs.groupBy("source_id").agg(F.count("*").alias("n_out"))
     base = cut_lineage(nodes.select("id").join(out.withColumnRenamed("source_id", "id"), "id", "left"))
     n = base.count()
     ranks = base.select("id", "n_out", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(rounds):
+        before = ranks
         lost = ranks.where("n_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        given = pairs.join(ranks.select(F.col("id").alias("source_id"), (F.col("rank") / F.col("n_out")).alias("share")), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum("share").alias("got"))
+        given = hub_join(pairs, "source_id", ranks.select(F.col("id").alias("source_id"), (F.col("rank") / F.col("n_out")).alias("share")), hubs).groupBy(F.col("target_id").alias("id")).agg(F.sum("share").alias("got"))
         ranks = base.join(given, "id", "left").crossJoin(F.broadcast(lost)).select("id", "n_out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % 3 == 2:
+        if tolerance is not None:
+            ranks = cut_lineage(ranks)
+            moved = ranks.join(before.select("id", F.col("rank").alias("was")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+            if moved < n * tolerance:
+                break
+        elif i % 3 == 2:
             ranks = cut_lineage(ranks)
     return ranks.select("id", "rank")
 
