@@ -136,7 +136,7 @@ def token_estimate(text: Column) -> Column:
 
 def redacted(text: Column, most: int = 2048, shown: str = "[REDACTED]") -> Column:
     """An error text without credentials: bearer tokens, keys, named secrets up to the next white space, and logins in addresses."""
-    for pattern in (
+    for pattern in (  # fixed values: what is taken for a credential
         r"(?i)Bearer\s+\S+", r"\bsk-[A-Za-z0-9_\-]{8,}\b",
         r"(?i)(password|passwd|secret|token|api[_-]?key|access[_-]?key|refresh[_-]?token|client[_-]?secret)\s*[=:]\s*\S+", r"://[^:/\s]+:[^@\s]+@",
     ):

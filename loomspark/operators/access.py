@@ -44,7 +44,7 @@ def caller_clearance(callers: DataFrame, agents: DataFrame, default: int = 1, cl
     """
     level = F.col("clearance_level").cast("int")
     resolved = F.when(level.between(1, 5), level).otherwise(F.lit(0)) if closed else F.coalesce(level, F.lit(default))
-    known = agents.select("agent_id", "clearance_level").dropDuplicates(["agent_id"])
+    known = agents.groupBy("agent_id").agg(F.min("clearance_level").alias("clearance_level"))  # of an agent that repeats the least counts
     return callers.join(known, "agent_id", "left").withColumn("clearance", F.coalesce(resolved, F.lit(0 if closed else default))).drop("clearance_level")
 
 

@@ -20,6 +20,7 @@ from loomspark.operators.vector_index import VectorIndex
 
 FETCHED, SELECTED = 40, 15  # candidates of a ranked search, and those that re-ranking keeps
 CONTEXT_NODES, CONTEXT_EDGES = 40, 5
+# A fixed value.
 NOTHING = "No relevant entities found in the knowledge graph."
 
 

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from loomspark.operators.folders import scratch
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df by way of the shared checkpoint folder, so that loops do not build up plans and survive lost executors.
 
-    The folder is that of spark.checkpoint.dir; only a local master gets one of its own.
+    The folder lies in that of spark.checkpoint.dir; only a local master gets one of its own. It goes when the process ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or f"/tmp/loomspark-checkpoints-{uuid.uuid4().hex[:8]}")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
     return df.checkpoint()
 
 

@@ -130,10 +130,11 @@ def changed_pages(pages: DataFrame, state: DataFrame, most: int = 10 << 20) -> t
     is as before; else emit. The state of a page that is not emitted stays.
     """
     old = state.select("url", F.col("etag").alias("_e"), F.col("last_modified").alias("_m"), F.col("hash").alias("_h"))
-    both = pages.join(old, "url", "left").withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    both = pages.join(old, "url", "left")
     tagged = F.col("etag").isNotNull() & F.col("_e").isNotNull()
     same = F.when(tagged, F.col("etag") == F.col("_e")).otherwise(F.coalesce(F.col("last_modified") == F.col("_m"), F.lit(False)))
-    action = F.when(same, "not_modified").when(F.octet_length("content") > most, "too_large").when(F.col("hash") == F.col("_h"), "same").otherwise("emit")
+    both = both.withColumn("_same", same).withColumn("hash", F.when(~F.col("_same") & (F.octet_length("content") <= most), F.sha2(F.col("content").cast("binary"), 256)))  # a body is hashed only if it is looked at
+    action = F.when(F.col("_same"), "not_modified").when(F.octet_length("content") > most, "too_large").when(F.col("hash") == F.col("_h"), "same").otherwise("emit")
     told = both.withColumn("action", action)
     new = told.where("action = 'emit'").select("url", "etag", "last_modified", "hash")
     return told.select("url", "action"), state.select("url", "etag", "last_modified", "hash").join(new.select("url"), "url", "left_anti").unionByName(new)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomspark.functions.scores import cleared
+from loomspark.operators.graph import coherent
+
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -39,20 +42,26 @@ def fact_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by_end.join(ends.select("id"), "id", "left_semi")
 
 
+def cleared_edges(edges: DataFrame, nodes: DataFrame, caller: int) -> DataFrame:
+    """Edges of which both ends are for the caller to see (no clearance counts as 0): all nodes of a path over them are."""
+    return coherent(edges, nodes.where(cleared(F.col("clearance"), caller, 0)))
+
+
 def dpo_pairs(paths: DataFrame, nodes: DataFrame, high: float = 0.8, low: float = 0.2, good: float = 0.7, bad: float = 0.3) -> DataFrame:
-    """start, chosen, rejected: of the paths from a retrieved start, the best to an end of high energy and the worst to one of low.
+    """start, chosen, rejected: of the paths from a retrieved start, the best to an end of high energy and the worst to one of low energy or, where nodes have the column, one that needs_human.
 
     paths (path, weights); a path is good if its mean weight is at least `good`, bad if at most `bad`. Starts with
     only one kind are left out.
     """
-    ends = nodes.select(F.col("id").alias("end"), F.col("energy").alias("end_energy"))
+    doubt = F.coalesce(F.col("needs_human"), F.lit(False)) if "needs_human" in nodes.columns else F.lit(False)
+    ends = nodes.select(F.col("id").alias("end"), F.col("energy").alias("end_energy"), doubt.alias("doubt"))
     starts = nodes.where("retrieval_count > 0").select(F.col("id").alias("start"))
     mean = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w) / F.size("weights")
     rows = paths.select(F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"), "path", mean.alias("w")).join(starts, "start", "left_semi").join(ends, "end")
     best = W.partitionBy("start").orderBy(F.desc("end_energy"), F.desc("w"), "path")
     worst = W.partitionBy("start").orderBy("end_energy", "w", "path")
     chosen = rows.where((F.col("end_energy") > high) & (F.col("w") >= good)).withColumn("r", F.row_number().over(best)).where("r = 1")
-    rejected = rows.where((F.col("end_energy") < low) & (F.col("w") <= bad)).withColumn("r", F.row_number().over(worst)).where("r = 1")
+    rejected = rows.where(((F.col("end_energy") < low) | F.col("doubt")) & (F.col("w") <= bad)).withColumn("r", F.row_number().over(worst)).where("r = 1")
     shown = lambda df, name: df.select("start", F.array_join("path", " -> ").alias(name))
     return shown(chosen, "chosen").join(shown(rejected, "rejected"), "start").where("chosen <> rejected")
 
@@ -83,6 +92,7 @@ def reasoning_responses(chain: Column, text: Column, label: Column) -> tuple[Col
     return chosen, F.concat(F.lit("ANSWER: "), F.coalesce(answer, missing))
 
 
+# A fixed value.
 RELATION_TASK = "Extract the relationship between entities mentioned in the following text."
 
 

@@ -209,14 +209,17 @@ def simple_paths(spark, sf_dir):
 
 
 @query(G + """, p AS (SELECT a.source_id AS start, b.target_id AS fin, a.source_id || ' -> ' || a.target_id || ' -> ' || b.target_id AS path, (a.weight + b.weight) / 2 AS w
-  FROM edges a JOIN edges b ON b.source_id = a.target_id WHERE a.relation = 'CREATED' AND b.relation = 'CONTAINS'),
-q AS (SELECT p.*, n.energy FROM p JOIN nodes n ON n.id = p.fin WHERE p.start IN (SELECT id FROM nodes WHERE retrieval_count > 0)),
+  FROM edges a JOIN edges b ON b.source_id = a.target_id JOIN nodes u ON u.id = a.source_id JOIN nodes v ON v.id = a.target_id JOIN nodes z ON z.id = b.target_id
+  WHERE a.relation = 'CREATED' AND b.relation = 'CONTAINS' AND greatest(coalesce(u.clearance, 0), coalesce(v.clearance, 0), coalesce(z.clearance, 0)) <= 4),
+q AS (SELECT p.*, n.energy, n.retrieval_count = 4 AS doubt FROM p JOIN nodes n ON n.id = p.fin WHERE p.start IN (SELECT id FROM nodes WHERE retrieval_count > 0)),
 c AS (SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY energy DESC, w DESC, path) AS r FROM q WHERE energy > 0.8 AND w >= 0.7),
-x AS (SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY energy, w, path) AS r FROM q WHERE energy < 0.2 AND w <= 0.45)
+x AS (SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY energy, w, path) AS r FROM q WHERE (energy < 0.2 OR doubt) AND w <= 0.45)
 SELECT c.start, c.path AS chosen, x.path AS rejected FROM c JOIN x ON x.start = c.start WHERE c.r = 1 AND x.r = 1 AND c.path <> x.path""")
 def dpo_pairs(spark, sf_dir):
+    """Chosen and rejected paths of which the caller may see every node; ends that wait for a human are rejected too."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir).where(F.col("relation").isin("CREATED", "CONTAINS"))
-    return training.dpo_pairs(graph.simple_paths(e, n.where("type = 'PERSON'"), 2, 2), n, bad=0.45)
+    n = n.withColumn("needs_human", F.col("retrieval_count") == 4)
+    return training.dpo_pairs(graph.simple_paths(training.cleared_edges(e, n, 4), n.where("type = 'PERSON'"), 2, 2), n, bad=0.45)
 
 
 @query(G + """, x AS (SELECT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id HAVING count(*) >= 2),
