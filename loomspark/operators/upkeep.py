@@ -70,15 +70,37 @@ def pruned(nodes: DataFrame, edges: DataFrame, now: Column, days: int = 7) -> Da
     return orphans(nodes, edges).where(F.col("created_at") < now - F.make_dt_interval(days=F.lit(days)))
 
 
-def consolidate(nodes: DataFrame, edges: DataFrame, now: Column, days: int = 7, threshold: float = 0.95, rate: float = 0.99) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, edges and a report (n_pruned, n_fused, n_decayed, n_nodes, n_edges): prune, fuse, decay."""
-    gone = cut_lineage(pruned(nodes, edges, now, days).select("id"))
-    left = nodes.join(gone, "id", "left_anti")
-    left, joined, canonical = fused(left, edges, cut_lineage(fusion_pairs(left, edges, threshold)))
-    left, decayed = cut_lineage(left), cut_lineage(decay_edges(joined, rate))
-    count = lambda df, n: df.agg(F.count("*").alias(n))
-    report = count(gone, "n_pruned").crossJoin(count(canonical, "n_fused")).crossJoin(count(decayed.where("changed"), "n_decayed")).crossJoin(count(left, "n_nodes")).crossJoin(count(decayed, "n_edges"))
-    return left, decayed.drop("changed"), report
+def consolidate(
+    nodes: DataFrame, edges: DataFrame, now: Column, days: int = 7, threshold: float = 0.95, rate: float = 0.99, propose: Callable[[DataFrame], DataFrame] | None = None, low: float = 0.78, high: float = 0.92,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and a report: prune, fuse, propose links (if propose is given, see proposed_links), decay.
+
+    The report has n_pruned, n_agents (scanned for duplicates), n_fused, n_proposed, n_decayed, n_nodes, n_edges and error. It
+    never raises: a step that fails ends the pass, its error is told, and the tables are those of the step before.
+    """
+    done = dict.fromkeys(("n_pruned", "n_agents", "n_fused", "n_proposed", "n_decayed"), 0)
+    error = None
+    try:
+        gone = cut_lineage(pruned(nodes, edges, now, days).select("id"))
+        nodes = cut_lineage(nodes.join(gone, "id", "left_anti"))
+        done["n_pruned"] = gone.count()
+        done["n_agents"] = nodes.select("agent_id").distinct().count()
+        left, joined, canonical = fused(nodes, edges, cut_lineage(fusion_pairs(nodes, edges, threshold)))
+        nodes, edges = cut_lineage(left), cut_lineage(joined)
+        done["n_fused"] = canonical.count()
+        if propose is not None:
+            new = cut_lineage(proposed_links(nodes, edges, propose, low, high))
+            tenants = nodes.select(F.col("id").alias("source_id"), "agent_id")
+            links = new.join(tenants, "source_id").withColumns({"id": F.concat_ws(">", F.col("source_id").cast("string"), F.col("target_id").cast("string"), "relation"), "weight": F.lit(1.0)})
+            edges = cut_lineage(edges.unionByName(links.select(*[c for c in edges.columns if c in links.columns]), allowMissingColumns=True))
+            done["n_proposed"] = new.count()
+        decayed = cut_lineage(decay_edges(edges, rate))
+        edges, done["n_decayed"] = decayed.drop("changed"), decayed.where("changed").count()
+    except Exception as e:  # a schedule of passes goes on; the report says what failed
+        error = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
+    done |= {"n_nodes": nodes.count(), "n_edges": edges.count()}
+    report = nodes.sparkSession.createDataFrame([(*done.values(), error)], ", ".join(f"{k} long" for k in done) + ", error string").coalesce(1)
+    return nodes, edges, report
 
 
 def nodes_per_agent(agents: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -263,18 +263,24 @@ def link_proposal(spark, sf_dir):
     return upkeep.proposed_links(n, e, propose, 0.25, 0.92)
 
 
-@query(FUSED + """, alone AS (SELECT id + 300000 AS id FROM vecs WHERE id % 50 = 0),
-fs AS (SELECT id FROM cm),
-e2 AS (SELECT DISTINCT coalesce(x.k, s) AS s, coalesce(y.k, t) AS t FROM ed LEFT JOIN cm x ON x.id = s LEFT JOIN cm y ON y.id = t WHERE coalesce(x.k, s) <> coalesce(y.k, t))
-SELECT (SELECT count(*) FROM alone WHERE id % 100 = 0) AS n_pruned, (SELECT count(*) FROM fs) AS n_fused, (SELECT count(*) FROM e2) AS n_decayed, (SELECT count(*) FROM n) + (SELECT count(*) FROM alone WHERE id % 100 <> 0) - (SELECT count(*) FROM fs) AS n_nodes, (SELECT count(*) FROM e2) AS n_edges""")
+@query(FUSED + """, alone AS MATERIALIZED (SELECT id + 300000 AS id, agent_id FROM vecs WHERE id % 50 = 0), left_ AS MATERIALIZED (SELECT * FROM n WHERE id NOT IN (SELECT id FROM cm)),
+e2 AS MATERIALIZED (SELECT DISTINCT coalesce(x.k, s) AS s, coalesce(y.k, t) AS t FROM ed LEFT JOIN cm x ON x.id = s LEFT JOIN cm y ON y.id = t WHERE coalesce(x.k, s) <> coalesce(y.k, t)),
+pr AS (SELECT a.id AS a, b.id AS b FROM left_ a JOIN left_ b ON a.id < b.id AND a.agent_id = b.agent_id WHERE """ + COS + """ BETWEEN 0.25 AND 0.92 AND (a.id + b.id) % 3 <> 0
+  AND NOT EXISTS (SELECT 1 FROM e2 WHERE (e2.s = a.id AND e2.t = b.id) OR (e2.s = b.id AND e2.t = a.id)) AND EXISTS (SELECT 1 FROM ed JOIN vecs v ON v.id = ed.s % 100000 WHERE v.agent_id = a.agent_id))
+SELECT (SELECT count(*) FROM alone WHERE id % 100 = 0) AS n_pruned, (SELECT count(DISTINCT agent_id) FROM n) AS n_agents, (SELECT count(*) FROM cm) AS n_fused, (SELECT count(*) FROM pr) AS n_proposed,
+(SELECT count(*) FROM e2) + (SELECT count(*) FROM pr) AS n_decayed, (SELECT count(*) FROM n) + (SELECT count(*) FROM alone WHERE id % 100 <> 0) - (SELECT count(*) FROM cm) AS n_nodes, (SELECT count(*) FROM e2) + (SELECT count(*) FROM pr) AS n_edges, NULL::VARCHAR AS error""")
 def consolidation_report(spark, sf_dir):
-    """Prune, fuse, decay, and what came of it. Nodes without edges are added, half of them old."""
+    """Prune, fuse, propose links, decay, and what came of it. Nodes without edges are added, half of them old."""
     n, e = _twins(spark, sf_dir)
     alone = vector_nodes(spark, sf_dir).where("id % 50 = 0").select((F.col("id") + 300_000).alias("id"), F.lit("CONCEPT").alias("type"), "agent_id", F.lit(None).cast("array<double>").alias("embedding"))
     at = F.lit("2024-01-31").cast("timestamp")
     aged = lambda df, old: df.withColumn("created_at", F.when(old, at - F.expr("INTERVAL 8 DAYS")).otherwise(at))
     both = aged(n, F.lit(False)).unionByName(aged(alone, F.col("id") % 100 == 0))
-    return upkeep.consolidate(both, e, at)[2]
+
+    def propose(pairs):  # noqa: ANN001, ANN202
+        return pairs.select("a", "b", ((F.col("a") + F.col("b")) % 3 != 0).alias("is_related"), F.lit("R").alias("proposed_label"), F.lit(0.9).alias("confidence"))
+
+    return upkeep.consolidate(both, e, at, propose=propose, low=0.25)[2]
 
 
 # Text to graph
