@@ -37,7 +37,7 @@ def _drained(out: DataFrame, mode: str = "append") -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS start, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_hours(spark, sf_dir):
-    """Hourly windows in complete mode; the last batch holds all."""
+    """Hourly windows in update mode; of each window the state of its last batch counts. Files come in no order of time, so rows may be late by the whole span."""
     out = _drained(jobs.hourly_stream(_stream(spark, sf_dir, "events"), "400 days"), "update")
     best = out.groupBy("start", "user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("x"))
     return best.select("start", "user_id", "x.n", F.round("x.total", 4).alias("total"))
