@@ -123,21 +123,23 @@ def incremental(current: DataFrame, state: DataFrame) -> DataFrame:
     return hashed.select("uri", action.alias("action"), "hash")
 
 
-def changed_pages(pages: DataFrame, state: DataFrame, most: int = 10 << 20) -> tuple[DataFrame, DataFrame]:
+def changed_pages(pages: DataFrame, state: DataFrame, most: int = 10 << 20, key: str = "url") -> tuple[DataFrame, DataFrame]:
     """url, action, and the new state (url, etag, last_modified, hash) of pages (url, etag, last_modified, content) fetched again.
 
     not_modified if the tag, or without tags the time, is as before; too_large beyond `most` bytes; same if the content
-    is as before; else emit. The state of a page that is not emitted stays.
+    is as before; else emit. The state of a page that is not emitted stays. Pages are known by their url, or by another `key`
+    of both tables where urls repeat; it is then a column of both results.
     """
-    old = state.select("url", F.col("etag").alias("_e"), F.col("last_modified").alias("_m"), F.col("hash").alias("_h"))
-    both = pages.join(old, "url", "left")
+    keys = ["url"] if key == "url" else [key, "url"]
+    old = state.select(key, F.col("etag").alias("_e"), F.col("last_modified").alias("_m"), F.col("hash").alias("_h"))
+    both = pages.join(old, key, "left")
     tagged = F.col("etag").isNotNull() & F.col("_e").isNotNull()
     same = F.when(tagged, F.col("etag") == F.col("_e")).otherwise(F.coalesce(F.col("last_modified") == F.col("_m"), F.lit(False)))
     both = both.withColumn("_same", same).withColumn("hash", F.when(~F.col("_same") & (F.octet_length("content") <= most), F.sha2(F.col("content").cast("binary"), 256)))  # a body is hashed only if it is looked at
     action = F.when(F.col("_same"), "not_modified").when(F.octet_length("content") > most, "too_large").when(F.col("hash") == F.col("_h"), "same").otherwise("emit")
     told = both.withColumn("action", action)
-    new = told.where("action = 'emit'").select("url", "etag", "last_modified", "hash")
-    return told.select("url", "action"), state.select("url", "etag", "last_modified", "hash").join(new.select("url"), "url", "left_anti").unionByName(new)
+    new = told.where("action = 'emit'").select(*keys, "etag", "last_modified", "hash")
+    return told.select(*keys, "action"), state.select(*keys, "etag", "last_modified", "hash").join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def checked_vectors(rows: DataFrame, dims: int, strict: bool, vector: str = "embedding") -> DataFrame:

@@ -309,12 +309,12 @@ def due_connectors(spark, sf_dir):
 
 @query("""SELECT url, CASE WHEN page_id % 4 = 0 THEN 'not_modified' WHEN page_id % 4 = 1 THEN 'not_modified' WHEN page_id % 4 = 2 THEN 'same' ELSE 'emit' END AS action FROM pages""")
 def conditional_pages(spark, sf_dir):
-    """Tag, time, content: what a second fetch of each page leads to."""
+    """Tag, time, content: what a second fetch of each page leads to. Pages are known by their number, as several have one url."""
     p, k = table(spark, sf_dir, "pages"), F.col("page_id")
     tag = F.concat(F.lit("t"), k.cast("string"))
-    fetched = p.select("url", F.when(k % 4 != 1, F.when(k % 4 == 0, tag).otherwise(F.concat(tag, F.lit("'")))).alias("etag"), F.lit("now").alias("last_modified"), F.when(k % 4 == 3, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("content"))
-    state = p.select("url", tag.alias("etag"), F.lit("now").alias("last_modified"), F.sha2(F.col("html").cast("binary"), 256).alias("hash"))
-    return ingest.changed_pages(fetched, state)[0]
+    fetched = p.select("page_id", "url", F.when(k % 4 != 1, F.when(k % 4 == 0, tag).otherwise(F.concat(tag, F.lit("'")))).alias("etag"), F.lit("now").alias("last_modified"), F.when(k % 4 == 3, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("content"))
+    state = p.select("page_id", "url", tag.alias("etag"), F.lit("now").alias("last_modified"), F.sha2(F.col("html").cast("binary"), 256).alias("hash"))
+    return ingest.changed_pages(fetched, state, key="page_id")[0].select("url", "action")
 
 
 @query(D + ", a AS (SELECT DISTINCT agent_id FROM docs UNION SELECT 'agent9') SELECT a.agent_id, count(docs.id) AS n_nodes FROM a LEFT JOIN docs USING (agent_id) GROUP BY 1")
