@@ -79,26 +79,27 @@ SELECT 'node' AS kind, id::VARCHAR AS id, agent_id, label, NULL AS to_id FROM d
 UNION ALL SELECT 'edge', d.id || '>', d.agent_id, CASE WHEN d.id % 2 = 0 THEN 'EVEN' ELSE 'ODD' END, o.id::VARCHAR FROM d JOIN d o ON o.id = d.id - 5
 UNION ALL SELECT 'left', d.id || '>', d.agent_id, NULL, (d.id - 5)::VARCHAR FROM d WHERE d.id - 5 NOT IN (SELECT id FROM d)""")
 def stream_tenants(spark, sf_dir):
-    """Batches of several tenants, nodes and edges, upserted into buckets; rows without a tenant and edges without ends are set aside."""
+    """Batches of several tenants, nodes and edges, upserted into buckets; rows without a tenant and edges without ends are set aside, and edges offered again when all batches are in."""
     folder = _folder(spark)
     k = F.col("doc_id")
     d = _stream(spark, sf_dir, "documents").select(
         k.alias("id"), F.when(k % 5 != 4, F.concat(F.lit("agent"), (k % 5).cast("string"))).alias("agent_id"), F.md5(F.col("text").cast("binary")).alias("label"), F.lit(0).alias("ordinal"))
     nodes = BucketedTable.create(spark.createDataFrame([], "id long, agent_id string, label string, updated_at timestamp"), f"{folder}/nodes")
     edges = BucketedTable.create(spark.createDataFrame([], "id string, source_id long, target_id long, relation string, agent_id string, updated_at timestamp"), f"{folder}/edges")
-    left: list[str] = []
 
     def reject(rows: DataFrame, epoch: int) -> None:
-        left.append(f"{folder}/left-{len(left)}")
-        rows.write.mode("overwrite").parquet(left[-1])
+        rows.write.mode("overwrite").parquet(f"{folder}/left-{'edges' if 'source_id' in rows.columns else 'nodes'}/epoch={epoch}")  # a batch that comes again replaces itself
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         n = F.col("id")
         return rows, rows.select(F.concat(n.cast("string"), F.lit(">")).alias("id"), n.alias("source_id"), (n - 5).alias("target_id"), F.when(n % 2 == 0, "EVEN").otherwise("ODD").alias("relation"), "agent_id")
 
-    step = jobs.tenant_batches(nodes, edges, split, F.lit("2024-01-31").cast("timestamp"), reject)
+    at = F.lit("2024-01-31").cast("timestamp")
+    step = jobs.tenant_batches(nodes, edges, split, at, reject)
     d.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    aside = spark.read.schema("id string, source_id long, target_id long, relation string, agent_id string").parquet(f"{folder}/left-edges")
+    left = jobs.offered_again(nodes, edges, aside, at)
     text = lambda c: F.col(c).cast("string")
     out = nodes.read().select(F.lit("node").alias("kind"), text("id").alias("id"), "agent_id", "label", F.lit(None).cast("string").alias("to_id"))
     out = out.unionByName(edges.read().select(F.lit("edge").alias("kind"), "id", "agent_id", F.col("relation").alias("label"), text("target_id").alias("to_id")))
-    return out.unionByName(spark.read.parquet(left[-1]).select(F.lit("left").alias("kind"), "id", "agent_id", F.lit(None).cast("string").alias("label"), text("target_id").alias("to_id")))
+    return out.unionByName(left.select(F.lit("left").alias("kind"), "id", "agent_id", F.lit(None).cast("string").alias("label"), text("target_id").alias("to_id")))

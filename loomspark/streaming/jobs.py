@@ -54,7 +54,8 @@ def tenant_batches(nodes: BucketedTable, edges: BucketedTable | None, split: Cal
 
     split gives the nodes and the edges of the batch. Rows without tenant or id, and edges without both ends among the
     tenant's nodes, are rejected. Only the buckets of the rows are rewritten. If a write fails the batch fails, and it is
-    delivered again; what was written whole is then left as it is.
+    delivered again; what was written whole is then left as it is. An end may come in a later batch than its edge:
+    offered_again() takes such edges.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
@@ -73,6 +74,14 @@ def tenant_batches(nodes: BucketedTable, edges: BucketedTable | None, split: Cal
     return batch
 
 
+def offered_again(nodes: BucketedTable, edges: BucketedTable, left: DataFrame, at: Column, epoch: int | None = None) -> DataFrame:
+    """Take the edges that tenant_batches() left for want of their ends, where the ends have come since; returns those that are left still."""
+    left = cut_lineage(left)
+    ends = cut_lineage(nodes.of(left.select(F.explode(F.array("source_id", "target_id")).alias("id"))).select("id", "agent_id"))
+    edges.upsert(left, lambda old, new: memory.upsert_edges(old, new, ends, at)[0], epoch)
+    return memory.upsert_edges(edges.read().limit(0), left, ends)[1]
+
+
 def triage(messages: DataFrame, failed: Column, fatal: Column, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages that are done, that are tried again with attempts + 1, and that go to the dead-letter sink.
 

@@ -27,3 +27,8 @@ def test_conditional_pages_with_a_url_of_several_pages(spark, against_sql):
     p = spark.read.parquet(f"{SF}/pages.parquet")
     again = p.where("page_id < 9").withColumn("page_id", (F.col("page_id") + 100_001).cast(p.schema["page_id"].dataType))
     against_sql("conditional_pages", pages=[p, again])
+
+
+def test_stream_tenants_with_ends_in_later_batches(spark, against_sql):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    against_sql("stream_tenants", documents=[d.where(f"doc_id % 3 = {i}") for i in (2, 0, 1)])
