@@ -13,9 +13,8 @@ from loomspark.functions.properties import context_line, swarm_line
 from loomspark.functions.scores import cleared, synaptic_score
 from loomspark.functions.texts import cut
 from loomspark.operators import retrieval
-from loomspark.operators.folders import scratch
 from loomspark.operators.graph import coherent, cut_lineage, relation_lines
-from loomspark.operators.text_index import TextIndex, question_terms
+from loomspark.operators.text_index import TextIndex, best_of_texts, question_terms
 from loomspark.operators.vector_index import VectorIndex
 
 FETCHED, SELECTED = 40, 15  # candidates of a ranked search, and those that re-ranking keeps
@@ -99,18 +98,17 @@ def relationship_lines(nodes: DataFrame, edges: DataFrame, records: DataFrame, a
     return relation_lines(visible(nodes, allowed, clearance), edges, records, limit)
 
 
-def fused_seeds(nodes: DataFrame, questions: DataFrame, top_k: int = 8, tenant: Column | None = None, vectors: VectorIndex | None = None, words: TextIndex | None = None) -> DataFrame:
+def fused_seeds(nodes: DataFrame, questions: DataFrame, top_k: int = 8, tenant: Column | None = None, vectors: VectorIndex | None = None, words: TextIndex | None = None, embedded: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank: vector and keyword lists of each question (query_id, vector, question), fused by rank; twice top_k of them.
 
-    All questions are answered at once. Without indexes on disk, vectors are scanned and a text index is made for the
-    call; given ones must cover the same nodes (the tenant's).
+    All questions are answered at once. Without indexes on disk, vectors and texts are scanned; given ones must cover the
+    same nodes (the tenant's). Vectors may stand in a table of their own (embedded: id, embedding), of the same nodes.
     """
     mine = nodes.where(tenant) if tenant is not None else nodes
     asked = questions.select("query_id", "vector")
-    near = vectors.search(asked, top_k) if vectors is not None else retrieval.vector_topk(mine.select("id", "embedding"), asked, top_k)
-    if words is None:
-        words = TextIndex.build(mine, "id", [F.col(c) for c in ("label", "description", "source_text")], scratch(nodes.sparkSession, "seeds"))
-    said = words.top(questions.select("query_id", question_terms(F.col("question")).alias("terms")), top_k)
+    near = vectors.search(asked, top_k) if vectors is not None else retrieval.vector_topk((mine if embedded is None else embedded).select("id", "embedding"), asked, top_k)
+    terms = questions.select("query_id", question_terms(F.col("question")).alias("terms"))
+    said = words.top(terms, top_k) if words is not None else best_of_texts(mine, "id", [F.col(c) for c in ("label", "description", "source_text")], terms, top_k)
     lists = near.select("query_id", F.lit("vector").alias("list"), "rank", "id").unionByName(said.select("query_id", F.lit("words").alias("list"), "rank", F.col("key").alias("id")))
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return retrieval.rrf(lists).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= 2 * top_k).select("query_id", "id", "score", "rank")

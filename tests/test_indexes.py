@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import retrieval
 from loomspark.operators.folders import drop, scratch
-from loomspark.operators.text_index import TextIndex, question_terms
+from loomspark.operators.text_index import TextIndex, best_of_texts, question_terms
 from loomspark.operators.vector_index import VectorIndex
 
 VECTORS = "id long, agent_id string, clearance int, embedding array<double>"
@@ -123,6 +123,18 @@ def test_text_index_gives_the_scores_of_a_scan(spark, folder, ranges):
     assert [r.key for r in top] == [k for k, _ in sorted(got[1].items(), key=lambda x: (-round(x[1], 9), x[0]))[:3]]
 
 
+def test_best_of_texts_gives_the_top_of_the_index_without_one(spark, folder, monkeypatch):
+    docs, fields = docs_of(spark), [F.col("label"), F.col("text")]
+    many = spark.createDataFrame([(1, ["the", "news"]), (2, ["alpha"]), (3, []), (4, None), (5, ["the", "the"]), (6, ["nothing"]), (7, ["Été", "x", "_", "a", "t"])], "query_id long, terms array<string>")
+    want = {(r.query_id, r["rank"]): (r.key, r.score) for r in TextIndex.build(docs, "id", fields, folder, 6).top(many, 9).collect()}
+    monkeypatch.setattr(TextIndex, "build", None)  # no index is made
+    for size in (16_384, 2):
+        monkeypatch.setattr("loomspark.operators.text_index.QUESTIONS", size)
+        got = {(r.query_id, r["rank"]): (r.key, r.score) for r in best_of_texts(docs, "id", fields, many, 9).collect()}
+        assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and got[x][1] == pytest.approx(want[x][1]) for x in want)
+    assert best_of_texts(docs.limit(0), "id", fields, many, 9).count() == 0
+
+
 def test_text_index_opens_only_the_ranges_of_a_prefix(spark, folder):
     words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
     docs = spark.createDataFrame([(i, " ".join(words[i::7])) for i in range(7)], "id long, text string")
