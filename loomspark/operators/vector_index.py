@@ -26,7 +26,9 @@ SAMPLE = 10_000  # vectors that centroids are fitted on, at most
 MOST_CELLS = 1024
 ROUNDS = 5
 PROBE = 3  # cells that each query reads before it has a bound
-QUERY_BYTES = 32 << 20  # of query vectors that go to all tasks at once
+QUERY_BYTES = 32 << 20  # of query vectors that go to all tasks at once, with what a task keeps for them
+KEPT_BYTES = 100  # of a row that a task keeps for a query, about
+ROWS_AT_ONCE, QUERIES_AT_ONCE = 1024, 1024  # of a block of scores
 SLACK = 1e-9
 
 
@@ -165,7 +167,7 @@ class VectorIndex:
         Queries go to the tasks in blocks of at most QUERY_BYTES, so any number is answered and no vector is shuffled.
         """
         n, most = visits.agg(F.count("*"), F.max(F.size("vector") + F.size("cells"))).first()
-        blocks = max(1, -(-n * (most or 0) * 8 // QUERY_BYTES))
+        blocks = max(1, -(-n * ((most or 0) * 8 + k * KEPT_BYTES) // QUERY_BYTES))
         parts = [self._scan_block(visits.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else visits, k, allowed) for i in range(blocks)]
         return reduce(DataFrame.unionByName, parts)
 
@@ -175,29 +177,38 @@ class VectorIndex:
         for i, cells in enumerate(rows["cells"]):
             for c in cells:
                 by_cell.setdefault(int(c), []).append(i)
-        held = self.spark.sparkContext.broadcast((rows["query_id"].tolist(), [list(v) for v in rows["vector"]], by_cell))
+        vectors = np.array([np.asarray(v, np.float64) for v in rows["vector"]]) if len(rows) else np.empty((0, 0))
+        held = self.spark.sparkContext.broadcast((rows["query_id"].tolist(), vectors, {c: np.array(qs, np.int32) for c, qs in by_cell.items()}))
         found = self.vectors().where(F.col("cell").isin(sorted(by_cell)))
         found = (found.where(allowed) if allowed is not None else found).select("id", "embedding", "cell")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vectors, asking = held.value
-            asks = unit(pa.array(vectors, pa.list_(pa.float64()))) if ids else np.empty((0, 0))
+            n = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+            asks = np.divide(vectors, n, out=np.zeros_like(vectors), where=n > 0)
             best: dict[int, list[tuple[float, object]]] = {}
-            for b in batches:
+            low = np.full(len(ids), -np.inf)  # what a row must reach to be among the k best
+            for b in (x.slice(i, ROWS_AT_ONCE) for x in batches for i in range(0, x.num_rows, ROWS_AT_ONCE)):
                 cell = b.column(2).to_numpy(zero_copy_only=False)
                 for c in np.unique(cell):
                     at = np.flatnonzero(cell == c)
                     part, qs = b.take(pa.array(at)), asking[int(c)]
-                    names, scores = part.column(0).to_pylist(), asks[qs] @ unit(part.column(1)).T
-                    for q, row in zip(qs, scores, strict=True):
-                        near = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-                        held_ = best.setdefault(q, [])
-                        held_ += [(-float(row[i]), names[i]) for i in near]
-                        if len(held_) > 4 * k:
-                            best[q] = sorted(held_)[:k]
-            for q, pairs in best.items():
-                pairs = sorted(pairs)[:k]
-                yield pa.RecordBatch.from_pydict({"query_id": [ids[q]] * len(pairs), "id": [x for _, x in pairs], "score": [-s for s, _ in pairs]})
+                    names, x = part.column(0).to_pylist(), unit(part.column(1)).T
+                    for some in (qs[i : i + QUERIES_AT_ONCE] for i in range(0, len(qs), QUERIES_AT_ONCE)):
+                        scores = asks[some] @ x
+                        reach = np.fmax.reduce(scores, 1) >= low[some]
+                        for q, row in zip(some[reach].tolist(), scores[reach], strict=True):
+                            near = np.flatnonzero(row >= low[q])
+                            if len(near) > k:
+                                near = near[row[near] >= np.partition(row[near], len(near) - k)[len(near) - k]]
+                            best[q] = sorted(best.get(q, []) + [(-float(row[i]), names[i]) for i in near])[:k]
+                            if len(best[q]) == k:
+                                low[q] = -best[q][-1][0]
+            asked = list(best)
+            for first in range(0, len(asked), QUERIES_AT_ONCE):
+                rows_ = [(ids[q], name, -s) for q in asked[first : first + QUERIES_AT_ONCE] for s, name in best[q]]
+                if rows_:
+                    yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in rows_], "id": [x[1] for x in rows_], "score": [x[2] for x in rows_]})
 
         kinds = visits.schema["query_id"].dataType.simpleString(), found.schema["id"].dataType.simpleString()
         return found.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
