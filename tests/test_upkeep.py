@@ -1,8 +1,10 @@
 """A consolidation pass: links that are proposed, and a step that fails."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import upkeep
+from loomspark.operators import similarity, upkeep
 
 EDGES = "id string, source_id long, target_id long, relation string, weight double, agent_id string"
 
@@ -36,3 +38,30 @@ def test_a_failing_step_is_told_and_the_rest_stays(spark):
     assert after.where("weight = 1.0").count() >= 1  # nothing has decayed
     untimed = upkeep.consolidate(nodes.drop("created_at"), edges, F.lit("2024-03-01").cast("timestamp"))
     assert untimed[2].first().error and untimed[0].count() == 4
+
+
+@pytest.mark.parametrize("longest", [0, 1, 2, 3])
+def test_alike_and_unconnected_as_pairs_joined_with_edges(spark, longest):
+    """The filter where pairs are formed, over several parts, and the join of all pairs with what their ends reach."""
+    rng = np.random.default_rng(longest)
+    nodes = spark.createDataFrame([(i, f"t{i % 2}", [float(x) for x in rng.standard_normal(6)]) for i in range(300)] + [(900, "t0", None)], "id long, agent_id string, embedding array<double>")
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(i, 7) for i in range(0, 300, 6)], "source_id long, target_id long")  # 7 is a hub
+    got = [(r.a, r.b) for r in upkeep.unconnected_alike(nodes, edges, 0.2, 0.9, longest, rows=40).select("a", "b").collect()]
+    pairs = similarity.similar_pairs(nodes, 0.2, 0.9)
+    want = upkeep.unconnected(pairs, edges, longest) if longest else pairs
+    assert len(got) == len(set(got)) and set(got) == {(r.a, r.b) for r in want.select("a", "b").collect()}
+
+
+def test_pairs_are_not_shuffled_for_their_links(spark):
+    nodes, edges = _graph(spark)
+    propose = lambda pairs: pairs.withColumns({"is_related": F.lit(True), "proposed_label": F.lit("R"), "confidence": F.lit(0.9)})
+    plan = upkeep.proposed_links(nodes, edges, propose)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("FlatMapGroupsInArrow")]  # what is done with the pairs
+    assert "LeftSemi" in above and "LeftAnti" not in above and above.count("Join") == 1
+
+
+def test_vectors_of_floats_are_dealt_as_floats(spark):
+    def kind(x):
+        return similarity.dealt(spark.createDataFrame([(1, "t", [x, 1.0])], "id long, agent_id string, embedding array<double>"), 0.9).schema["embedding"].dataType.simpleString()
+
+    assert kind(0.5) == "array<float>" and kind(0.1) == "array<double>"
