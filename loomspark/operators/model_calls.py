@@ -18,6 +18,7 @@ from loomspark.operators.graph import cut_lineage
 
 PARTS = 16  # directories of the cache, by the first hex digit of the key
 BATCH = 256  # texts handed to a call at once, at most
+BROADCAST_KEYS = 400_000
 
 
 class CallCache:
@@ -42,10 +43,17 @@ class CallCache:
         """key, answer; two runs that asked at one time leave one answer."""
         return parts_of(self.spark, f"{self.path}/answers").where(F.col("model") == model).groupBy("key").agg(F.min_by("answer", F.xxhash64("answer")).alias("answer"))
 
-    def ask(self, rows: DataFrame, text: str, model: str, call: Callable[[list[str]], Sequence], out: str = "answer") -> DataFrame:
-        """rows with the column out: the answer to each text, null for null texts. Only keys that are not held are called for."""
-        rows = rows.withColumn("_key", self.key(model, F.col(text)))
-        wanted = rows.where("_key IS NOT NULL").groupBy(F.col("_key").alias("key")).agg(F.first(text).alias("text"))  # texts of one key are equal
+    def ask(self, rows: DataFrame, text: str, model: str, call: Callable[[list[str]], Sequence], out: str = "answer", key: str | None = None) -> DataFrame:
+        """rows with the column out: the answer to each text, null for null texts. Only keys that are not held are called for.
+
+        Keys are looked up without the texts; only texts that are called for are shuffled, once. With the name of a key the
+        rows get such a column, and rows that have it (of this model and text) are not hashed anew, so a later call need not carry the text.
+        """
+        name = key or "_key"
+        rows = rows if name in rows.columns else rows.withColumn(name, self.key(model, F.col(text)))
+        asked = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("key"))
+        new = cut_lineage(asked.distinct().join(self.answers(model).select("key"), "key", "left_anti"))
+        n = new.count()
         kind = self.kind
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,10 +62,13 @@ class CallCache:
                     part = pdf.iloc[at : at + BATCH]
                     yield pd.DataFrame({"key": part["key"].to_numpy(), "answer": list(call(part["text"].tolist()))})
 
-        missing = wanted.join(self.answers(model).select("key"), "key", "left_anti").mapInPandas(run, f"key string, answer {kind}")
-        missing = missing.withColumns({"model": F.lit(model), "part": F.substring("key", 1, 1)})
-        missing.select("key", "model", "answer", "part").write.mode("append").partitionBy("part").parquet(f"{self.path}/answers")  # one job: each key is called for once
-        return rows.join(self.answers(model).select(F.col("key").alias("_key"), F.col("answer").alias(out)), "_key", "left").drop("_key")
+        if n:
+            some = F.broadcast(new) if n <= BROADCAST_KEYS else new
+            wanted = rows.select(F.col(name).alias("key"), F.col(text).alias("text")).join(some, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))  # texts of one key are equal
+            missing = wanted.mapInPandas(run, f"key string, answer {kind}").withColumns({"model": F.lit(model), "part": F.substring("key", 1, 1)})
+            missing.select("key", "model", "answer", "part").write.mode("append").partitionBy("part").parquet(f"{self.path}/answers")  # one job: each key is called for once
+        out_rows = rows.join(self.answers(model).select(F.col("key").alias(name), F.col("answer").alias(out)), name, "left")
+        return out_rows.select(*rows.columns, out) if key else out_rows.drop(name)
 
 
 def attempted(chunks: DataFrame, call: Callable[[list[str], list[str | None]], Sequence[str | None]], check: Callable[[Column], Column], most: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -247,14 +247,14 @@ def reembed(spark, sf_dir):
 def embed_batch(spark, sf_dir):
     """Every distinct text is embedded once, and not at all in a second run; answers are joined back by key."""
     cache = CallCache.create(spark, scratch(spark, "calls"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").isNotNull().alias("has_text"))
     half = cache.ask(d.where("doc_id % 2 = 0"), "text", "lengths", _lengths)  # a run before, over some of the rows
     half.write.format("noop").mode("overwrite").save()
-    first = cache.ask(d, "text", "lengths", _lengths, "one")
-    out = cache.ask(first, "text", "lengths", _lengths, "two")
+    first = cache.ask(d, "text", "lengths", _lengths, "one", "call_key")
+    out = cache.ask(first, "text", "lengths", _lengths, "two", "call_key")
     kept = parts_of(spark, f"{cache.path}/answers")
     counts = kept.agg(F.countDistinct("key").alias("n_cached"), (F.count("*") - F.countDistinct("key")).alias("n_twice"))
-    return out.crossJoin(F.broadcast(counts)).select("doc_id", F.col("text").isNotNull().alias("has_text"), F.col("one")[0].alias("a"), F.col("two")[0].alias("again"), "n_cached", "n_twice")
+    return out.crossJoin(F.broadcast(counts)).select("doc_id", "has_text", F.col("one")[0].alias("a"), F.col("two")[0].alias("again"), "n_cached", "n_twice")
 
 
 @query(D + "SELECT id, CASE WHEN id % 8 = 0 THEN 'critic' WHEN id % 8 = 4 THEN NULL WHEN id % 4 = 1 THEN 'old' END AS needs_agent FROM docs")

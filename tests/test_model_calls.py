@@ -97,3 +97,21 @@ def test_draws_follow_the_law_and_the_interval_covers(spark):
     half = 1.96 * statistics.pstdev(range(100)) / math.sqrt(2000)
     assert r.low == pytest.approx(49.5 - half, abs=0.15) and r.high == pytest.approx(49.5 + half, abs=0.15)
     assert time.perf_counter() - began < 60
+
+
+def test_texts_stay_where_they_are_once_answers_are_held(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def lengths(texts):
+        calls.add(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    made = spark.createDataFrame([(1, "same"), (2, "same"), (3, None), (4, "other"), (5, "")], "id long, t string")
+    made.write.parquet(str(tmp_path / "rows"))
+    cache = CallCache.create(spark, str(tmp_path / "c"))
+    first = cache.ask(spark.read.parquet(str(tmp_path / "rows")), "t", "m", lengths, "one", "call_key")
+    out = cache.ask(first, "t", "m", lengths, "two", "call_key").select("id", "one", "two")
+    assert sorted(map(tuple, out.collect())) == [(1, [4.0], [4.0]), (2, [4.0], [4.0]), (3, None, None), (4, [5.0], [5.0]), (5, [0.0], [0.0])] and calls.value == 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2") == 1  # one key by text, and it is joined without the text
+    assert plan.index("sha2") > plan.rindex("Join LeftOuter")
