@@ -87,9 +87,12 @@ def decay_edges(edges: DataFrame, rate: float = 0.99, floor: float = 0.1) -> Dat
 
 
 def among(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges between two different nodes of ids (id)."""
-    a, b = ids.select(F.col("id").alias("source_id")).distinct(), ids.select(F.col("id").alias("target_id")).distinct()
-    return edges.where("source_id <> target_id").join(a, "source_id", "left_semi").join(b, "target_id", "left_semi")
+    """Edges between two different nodes of ids (id).
+
+    Edges are streamed past a hash table of a partition's ids, never sorted, so a task's memory goes by ids and not by edges.
+    """
+    a, b = ids.select(F.col("id").alias("source_id")), ids.select(F.col("id").alias("target_id"))
+    return edges.where("source_id <> target_id").join(a.hint("shuffle_hash"), "source_id", "left_semi").join(b.hint("shuffle_hash"), "target_id", "left_semi")
 
 
 def feedback(edges: DataFrame, ids: DataFrame, success: bool, step: float = 0.1, low: float = 0.1, high: float = 2.0) -> DataFrame:
