@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomspark.operators.folders import staged
 from loomspark.operators.graph import cut_lineage
 
 
@@ -43,9 +44,12 @@ def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, at: Column |
     """
     keys = ["id", "source_id", "target_id", "agent_id"]
     ids = nodes.select("id", "agent_id")
-    a, b = ids.select(F.col("id").alias("source_id"), "agent_id"), ids.select(F.col("id").alias("target_id"), "agent_id")
-    good = new.join(a, ["source_id", "agent_id"], "left_semi").join(b, ["target_id", "agent_id"], "left_semi")
-    bad = new.join(good.select(*keys).distinct(), keys, "left_anti")
+    a, b = ids.select(F.col("id").alias("source_id"), "agent_id"), ids.select(F.col("id").alias("target_id"), "agent_id", F.lit(True).alias("_there")).distinct()
+    # An edge is its source's tenant's, so it is mostly the target that is missing: that is looked for first, and once.
+    told = staged(new.join(b, ["target_id", "agent_id"], "left"), "edges")
+    there = told.where("_there").drop("_there")
+    good = there.join(a, ["source_id", "agent_id"], "left_semi")
+    bad = told.where("_there IS NULL").drop("_there").unionByName(there.join(a, ["source_id", "agent_id"], "left_anti")).select(*new.columns)
     order = F.struct("ordinal") if "ordinal" in new.columns else F.struct(*[c for c in new.columns if c not in keys])
     rest = [c for c in new.columns if c not in (*keys, "ordinal")]
     one = good.groupBy(*keys).agg(*[(F.max_by if c == "properties" else F.min_by)(F.struct(c), order)[c].alias(c) for c in rest], F.lit(True).alias("_new"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import similarity, upkeep
+from loomspark.operators import memory, similarity, upkeep
 
 EDGES = "id string, source_id long, target_id long, relation string, weight double, agent_id string"
 
@@ -65,3 +65,24 @@ def test_vectors_of_floats_are_dealt_as_floats(spark):
         return similarity.dealt(spark.createDataFrame([(1, "t", [x, 1.0])], "id long, agent_id string, embedding array<double>"), 0.9).schema["embedding"].dataType.simpleString()
 
     assert kind(0.5) == "array<float>" and kind(0.1) == "array<double>"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_among_ids_are_not_sorted(spark):
+    edges = spark.range(2000).selectExpr("id", "id % 50 AS source_id", "id % 70 AS target_id", "1.0D AS weight")
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 70, 3), 3, 6]], "id long")  # two of them twice
+    got = memory.among(edges, ids)
+    assert sorted(r.id for r in got.collect()) == [k for k in range(2000) if k % 50 != k % 70 and k % 50 % 3 == 0 and k % 70 % 3 == 0]
+    assert _plan(got).count("strategy=shuffle_hash") == 2
+
+
+def test_new_edges_are_looked_at_once(spark):
+    """Rows left for want of a source, a target or a tenant, and which joins are made for them."""
+    schema = "id string, source_id string, target_id string, relation string, weight double, agent_id string"
+    new = spark.createDataFrame([("1", "a", "b", "R", 1.0, "t"), ("2", "a", "z", "R", 1.0, "t"), ("3", "z", "b", "R", 1.0, "t"), ("4", "a", "b", "R", 1.0, None), ("5", None, "b", "R", 1.0, "t"), ("5", None, "b", "R", 1.0, "t")], schema)
+    merged, bad = memory.upsert_edges(new.limit(0), new, spark.createDataFrame([("a", "t"), ("b", "t"), ("b", "t")], "id string, agent_id string"))
+    assert [r.id for r in merged.collect()] == ["1"] and sorted(r.id for r in bad.collect()) == ["2", "3", "4", "5", "5"]
+    assert _plan(bad).count("Join") == 1
