@@ -68,3 +68,31 @@ def test_nodes_of_one_hash_stay_apart(spark, monkeypatch):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
     known, pairs = graph.numbered(nodes, spark.createDataFrame([("a", "b")], "source_id string, target_id string"))
     assert known.select("n").distinct().count() == 4 and pairs.join(known, F.col("u") == F.col("n")).first().id == "a"
+
+
+def test_pagerank_shuffles_what_is_given(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of 1 GB are joined
+    try:
+        assert shuffled(spark, "pagerank_fixed_iter") < 65
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_pagerank_with_a_hub_strange_ends_and_parallel_edges(spark):
+    edges = [(0, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(1, 1400, 7)] + [(3, 0), (3, 0), (5, 9000), (9001, 4), (8, 8)]
+    got = graph.pagerank(spark.range(1500).select("id"), spark.createDataFrame(edges, "source_id long, target_id long"), 4)
+    targets = {}
+    for a, b in set(edges):
+        targets.setdefault(a, []).append(b)
+    ranks = dict.fromkeys(range(1500), 1 / 1500)
+    for _ in range(4):
+        lost = sum(r for i, r in ranks.items() if i not in targets)
+        after = dict.fromkeys(ranks, 0.15 / 1500 + 0.85 * lost / 1500)
+        for a, bs in targets.items():
+            for b in bs:
+                if a in ranks and b in ranks:
+                    after[b] += 0.85 * ranks[a] / len(bs)
+        ranks = after
+    assert {r.id: r["rank"] for r in got.collect()} == pytest.approx(ranks, abs=1e-12)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
