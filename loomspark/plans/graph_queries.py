@@ -219,7 +219,10 @@ def dpo_pairs(spark, sf_dir):
     """Chosen and rejected paths of which the caller may see every node; ends that wait for a human are rejected too."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir).where(F.col("relation").isin("CREATED", "CONTAINS"))
     n = n.withColumn("needs_human", F.col("retrieval_count") == 4)
-    return training.dpo_pairs(graph.simple_paths(training.cleared_edges(e, n, 4), n.where("type = 'PERSON'"), 2, 2), n, bad=0.45)
+    seen = n.where(cleared(F.col("clearance"), 4, 0))
+    ends = seen.where((F.col("energy") > 0.8) | (F.col("energy") < 0.2) | F.col("needs_human"))  # others are neither chosen nor rejected
+    starts = seen.where("type = 'PERSON' and retrieval_count > 0")
+    return training.dpo_pairs(graph.simple_paths(e, starts, 2, 2, through=seen, ends=ends), n, bad=0.45)
 
 
 @query(G + """, x AS (SELECT id FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id HAVING count(*) >= 2),

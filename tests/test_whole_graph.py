@@ -70,11 +70,12 @@ def test_nodes_of_one_hash_stay_apart(spark, monkeypatch):
     assert known.select("n").distinct().count() == 4 and pairs.join(known, F.col("u") == F.col("n")).first().id == "a"
 
 
-def test_pagerank_shuffles_what_is_given(spark):
+@pytest.mark.parametrize(("name", "most"), [("pagerank_fixed_iter", 65), ("dpo_pairs", 67)])
+def test_shuffled_without_broadcasts(spark, name, most):
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of 1 GB are joined
     try:
-        assert shuffled(spark, "pagerank_fixed_iter") < 65
+        assert shuffled(spark, name) < most
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
