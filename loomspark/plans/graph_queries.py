@@ -311,7 +311,7 @@ def fuzzy_labels(spark, sf_dir):
     """Pairs of suppliers of one nation whose names are alike, equal ones among them."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.col("s_nationkey").cast("string").alias("agent_id"))
     equal = F.lower("label").alias("l")
-    same = s.select("agent_id", "id", equal).join(s.select("agent_id", F.col("id").alias("match_id"), equal), ["agent_id", "l"]).select("id", "match_id", F.lit(1.0).alias("similarity"))
+    same = retrieval.joined_by_label(s.select("agent_id", "id", equal), s.select("agent_id", F.col("id").alias("match_id"), equal), ["agent_id", "l"]).select("id", "match_id", F.lit(1.0).alias("similarity"))
     found = retrieval.fuzzy_pairs(s, s, "agent_id").unionByName(same).where("id < match_id")
     return found.select(F.col("id").alias("a"), F.col("match_id").alias("b"), F.round("similarity", 6).alias("similarity"))
 

@@ -71,6 +71,19 @@ def test_labels_with_a_common_part_do_not_all_meet(spark):
     assert retrieval.label_candidates(names, names, "agent_id").count() < 3000 * 40  # nearly nine million meet by their parts
 
 
+def test_labels_that_number_on_meet_few_others_and_are_never_broadcast(spark):
+    """What labels meet by is many times their size, whatever the optimizer takes it for."""
+    names = spark.range(2000).select("id", F.lit("t").alias("agent_id"), F.format_string("Supplier#%09d", "id").alias("label"))
+    names = names.unionByName(names.where("id < 50").withColumn("label", F.expr("left(label, length(label) - 1 - cast(id % 2 as int))")))
+    met = retrieval.label_candidates(names, names, "agent_id")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    apart = F.levenshtein("l", "kl")
+    assert met.where((F.length("l") == F.length("kl")) & (apart > 2)).isEmpty()
+    labels = names.select("agent_id", F.lower("label").alias("l")).distinct()
+    near = labels.join(labels.select(F.col("l").alias("kl")), F.col("l") != F.col("kl")).where(apart <= 2)
+    assert met.where(apart <= 2).count() == near.count()
+
+
 def test_products_of_vectors_are_bounded(spark, monkeypatch):
     """A block of scores holds a bounded number of queries and rows, and a task keeps no more than k rows for a query."""
     rng = np.random.default_rng(8)
